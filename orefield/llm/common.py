@@ -49,3 +49,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def row_key(*cols: Column) -> Column:
     """A 64-bit key of a row's content: rows alike in all the columns share it, nulls included."""
     return F.xxhash64(*cols)
+
+
+def let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often, or however deep in a lambda, body refers to it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

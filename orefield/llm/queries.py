@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import bpe
+from orefield.llm import bpe, langid, line_dedup, mixing, quality, sstable
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,11 +28,50 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), id_digest("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return quality.judge(docs).drop("text", "lang")
+
+
+def op4_sstable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sstable.read_shards(sstable.write_shards(docs, WORD_BPE, end_id=1))
+
+
+def language_model(docs: DataFrame) -> langid.Model:
+    return langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+
+
+def op5_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.drop("lang"), language_model(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", F.map_entries("lang_shares").alias("lang_shares"))
+
+
+#: Powers that flatten the present shares of each margin.
+MIX_TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
+
+
+def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, MIX_TARGETS).select("doc_id", "source", "lang", "mix_probability", "mix_weight")
+
+
+def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
+        "op2_divergence_rules": op2_divergence_rules,
+        "op4_sstable_ids": op4_sstable_ids,
+        "op5_language_mixture": op5_language_mixture,
+        "op6_raked_mixture": op6_raked_mixture,
+        "op9_line_windows": op9_line_windows,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_line_windows": line_dedup.ORACLE}
