@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import bpe, langid, line_dedup, mixing, quality, sstable
+from orefield.llm import bpe, langid, line_dedup, mixing, neardup, quality, sstable
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -57,6 +57,11 @@ def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, MIX_TARGETS).select("doc_id", "source", "lang", "mix_probability", "mix_weight")
 
 
+def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return neardup.near_duplicates(docs).select("doc_id", "class_id", "exact_id", "n_links", "copies")
+
+
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -69,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_sstable_ids": op4_sstable_ids,
         "op5_language_mixture": op5_language_mixture,
         "op6_raked_mixture": op6_raked_mixture,
+        "op7_minhash_forest": op7_minhash_forest,
         "op9_line_windows": op9_line_windows,
     }
 
