@@ -120,8 +120,8 @@ def features(image: np.ndarray) -> str:
     return f"mean={flat.mean():.4f};std={flat.std():.4f};entropy={entropy:.4f};thumb={int(bits, 2):016x}"
 
 
-def write_archives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", folder: str | None = None) -> DataFrame:
-    """Store each row's text; a table (folder, path) of the archives that count, written once.
+def write_archives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", folder: str | None = None) -> tuple[DataFrame, str]:
+    """Store each row's text; a table (path) of the archives that count, written once, and their folder.
 
     A retried task writes under other names, and only names in that table are read.
     """
@@ -153,7 +153,14 @@ def write_archives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fo
         if done:
             yield pa.RecordBatch.from_pydict({"path": done})
 
-    return materialize(rows.mapInArrow(run, "path string").withColumn("folder", F.lit(folder)), "archives")
+    return materialize(rows.mapInArrow(run, "path string"), "archives"), folder
+
+
+def stored(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """Write df's texts as archives and read them back: read_archives() of what write_archives() made."""
+    written, folder = write_archives(df, text, doc_id)
+    names = [r["path"].rsplit("/", 1)[1] for r in written.toLocalIterator()]
+    return read_archives(df.sparkSession, folder, names)
 
 
 @dataclass

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import bpe, langid, line_dedup, mixing, neardup, quality, sstable
+from orefield.llm import bpe, langid, line_dedup, media, mixing, neardup, quality, sstable
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -62,6 +62,11 @@ def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(docs).select("doc_id", "class_id", "exact_id", "n_links", "copies")
 
 
+def op8_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return media.digest(media.describe(media.stored(docs)))
+
+
 def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs)
@@ -75,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_mixture": op5_language_mixture,
         "op6_raked_mixture": op6_raked_mixture,
         "op7_minhash_forest": op7_minhash_forest,
+        "op8_media_archive": op8_media_archive,
         "op9_line_windows": op9_line_windows,
     }
 
