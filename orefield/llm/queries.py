@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import bpe, langid, line_dedup, media, mixing, neardup, quality, sstable
+from orefield.llm import bpe, html_text, langid, line_dedup, media, mixing, neardup, quality, sstable
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -72,6 +72,10 @@ def op9_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op10_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
@@ -82,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_minhash_forest": op7_minhash_forest,
         "op8_media_archive": op8_media_archive,
         "op9_line_windows": op9_line_windows,
+        "op10_page_difference": op10_page_difference,
     }
 
 
