@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import bpe, html_text, langid, line_dedup, media, mixing, neardup, quality, sstable
+from orefield.llm import bpe, html_text, langid, line_dedup, media, mixing, neardup, quality, secrets, sstable
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -33,6 +33,12 @@ def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs).drop("text", "lang")
 
 
+def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs)
+    return found.select("doc_id", "ordinal", "start", F.length("value").alias("length"), F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
 def op4_sstable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sstable.read_shards(sstable.write_shards(docs, WORD_BPE, end_id=1))
@@ -80,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe_codec": op1_bpe_codec,
         "op2_divergence_rules": op2_divergence_rules,
+        "op3_secret_forest": op3_secret_forest,
         "op4_sstable_ids": op4_sstable_ids,
         "op5_language_mixture": op5_language_mixture,
         "op6_raked_mixture": op6_raked_mixture,

@@ -1,0 +1,37 @@
+import re
+
+from orefield.llm import secrets
+from orefield.llm.common import materialize
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_held_out_findings(spark):
+    words = materialize(secrets.dictionary(spark.read.parquet(f"{SF}/documents.parquet")), "words")
+    likelihoods = secrets.pair_likelihoods(words)
+    model = secrets.train(secrets.made_findings(spark, seed=1), words, likelihoods)
+    rows = secrets.scored(secrets.made_findings(spark, per_kind=60, seed=2), model, words, likelihoods).collect()
+    assert len(rows) == 16 * 60
+    assert sum(r.is_secret == (r.label == 1) for r in rows) / len(rows) > 0.97
+
+
+def test_documents(spark):
+    from orefield.llm.queries import op3_secret_forest
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    rows = op3_secret_forest(spark, SF).collect()
+    got = {(r.doc_id, r.start): r for r in rows}
+    wanted = {(d, m.start()) for d, t in docs.items() for m in re.finditer(secrets.CANDIDATE, t) if re.search(r"\d", m.group()) or (re.search(secrets.SECRET_WORDS, t[max(0, m.start() - 40) : m.start()]) and re.search(secrets.ASSIGNED, t[max(0, m.start() - 40) : m.start()]))}
+    assert set(got) == wanted and len(rows) == len(wanted)
+    for (d, start), r in got.items():
+        value = docs[d][start : start + r.length]
+        assert r.is_secret == bool(re.fullmatch(r"[0-9a-fA-F]{40}", value)), value
+
+
+def test_frames(spark):
+    text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" x 4111111111111111 y'
+    rows = [(1, text, "v"), (1, text, "v"), (None, text, "w"), (2, None, "x"), (3, "", "y"), (4, "plainwordsonlyherewithoutdigits " * 9000, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, value string")
+    got = secrets.scan(df).collect()
+    assert sorted((str(r.doc_id), r.ordinal, r.start, len(r.value), r.is_secret) for r in got) == sorted([("1", 0, 11, 40, True), ("1", 1, 55, 16, False)] * 2 + [("None", 0, 11, 40, True), ("None", 1, 55, 16, False)])
+    assert secrets.scan(df.limit(0)).count() == 0
