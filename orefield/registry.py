@@ -1,15 +1,23 @@
-"""All queries of the reference's own operators, with their SQL twins."""
+"""All queries of the relational, award, vector and text operators, with their SQL twins."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").count()
+from pyspark.sql import DataFrame, SparkSession
 
+from orefield.plans import awards, relational, text, vectors
 
-def queries():
-    return {}
+MODULES = (relational, awards, vectors, text)
 
 
-def oracle_sql():
-    return {}
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.facets_disjunctive(spark, sf_dir)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
