@@ -25,7 +25,7 @@ def blank(text: Column) -> Column:
 
 def buyer_from_chain(chain: Column) -> Column:
     """The two top levels of 'a||b||c' that aren't empty."""
-    parts = F.filter(F.transform(F.split(chain, r"\|\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(chain, r"\|\|"), lambda p: F.trim(p)), lambda p: p != "")
     return F.array_join(F.slice(parts, 1, 2), " || ")
 
 

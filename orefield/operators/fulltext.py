@@ -23,6 +23,11 @@ def stem(word: Column) -> Column:
     return F.regexp_replace(word, f"^([a-z]{{3,}}?)(?:{'|'.join(ENDINGS)})$", "$1")
 
 
+def stem_word(word: str) -> str:
+    """stem() of a question's word."""
+    return re.sub(f"^([a-z]{{3,}}?)(?:{'|'.join(ENDINGS)})$", r"\1", word)
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda w: w != "")
 
@@ -81,6 +86,8 @@ def search(posted: DataFrame, question: Question, by: str, any_term: bool = Fals
     Postings are filtered to the question's prefixes before anything is shuffled; a document's few hits are then
     grouped once. The score sums, per term, its best label weight times 1 + log(hits).
     """
+    stems = lambda term: tuple(map(stem_word, term))
+    question = Question(tuple(tuple(map(stems, c)) for c in question.clauses), tuple(map(stems, question.negated)))
     terms = [t for clause in question.clauses for t in clause]
     words = sorted({w for t in [*terms, *question.negated] for w in t})
     if not terms:
@@ -155,7 +162,7 @@ def similar(df: DataFrame, target: dict, k: int, as_of: str, text: str = "title"
 def running_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
     """(doc, line): lines on at least three, and six in ten, of a document's pages, digits masked."""
     total = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("pages"))
-    masked = F.transform(F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != ""), lambda x: F.regexp_replace(x, r"\d+", "#"))
+    masked = F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.regexp_replace(x, r"\d+", "#"))
     lines = pages.select(doc, page, F.explode(F.array_distinct(masked)).alias("line"))
     seen = lines.groupBy(doc, "line").agg(F.count(F.lit(1)).alias("n")).join(total, doc)
     return seen.where((F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(3.0), 0.6 * F.col("pages")))).select(doc, "line", "n")

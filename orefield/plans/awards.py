@@ -107,7 +107,7 @@ ext AS (SELECT * FROM idx UNION ALL SELECT series, country, y, v * pow(coalesce(
 
 
 @query(f"""WITH {AWARD_SQL}, {_INDEX_SQL}, {_EXT_SQL}, a AS (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'INR' WHEN 1 THEN 'USD' ELSE 'EUR' END AS currency FROM award)
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, currency, round(CASE currency WHEN 'INR' THEN award_value WHEN 'USD' THEN award_value * i.value ELSE award_value / x.value * i.value END * (SELECT value FROM ext WHERE series = 'cpi' AND year = 2002) / c.value, 0) AS inr_real
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, currency, round(round(CASE currency WHEN 'INR' THEN award_value WHEN 'USD' THEN award_value * i.value ELSE award_value / x.value * i.value END * (SELECT value FROM ext WHERE series = 'cpi' AND year = 2002) / c.value, 2), 0) AS inr_real
 FROM a LEFT JOIN ext i ON i.series = 'fx' AND i.country = 'IN' AND i.year = greatest(a.year, 1995) LEFT JOIN ext x ON x.series = 'fx' AND x.country = 'XC' AND x.year = greatest(a.year, 1996)
 LEFT JOIN ext c ON c.series = 'cpi' AND c.country = 'IN' AND c.year = greatest(a.year, 1995)""")
 def deflate_real(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -272,7 +272,8 @@ def ocds_reasoned(df: DataFrame, currency: str, since: int | None = None) -> Dat
     """One row per release without a scope and per scope, with the first reason against it, 'emitted' if none."""
     allowed = [currency, "USD", "EUR"]
     paid = F.upper(F.coalesce("tender.value.currency", F.lit("")))
-    rows = scopes(df.where("ocid is not null or id is not null")).select("*", F.explode_outer("scopes").alias("s"), paid.alias("paid"))
+    # a release that is refused as a whole is one row
+    rows = scopes(df.where("ocid is not null or id is not null")).select("*", F.explode_outer(F.when(paid.isin(*allowed), F.col("scopes"))).alias("s"), paid.alias("paid"))
     value = _money(F.col("s.award.value"))
     awarded, published = F.left("s.award.date", F.lit(10)).try_cast("date"), F.left("tender.datePublished", F.lit(10)).try_cast("date")
     year = F.year(F.coalesce(awarded, published))

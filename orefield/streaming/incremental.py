@@ -81,13 +81,13 @@ def due_alerts(subscriptions: DataFrame, rows: DataFrame, delivered: DataFrame,
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Events per window and type; on a stream, rows later than the watermark are dropped and windows close."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
     return rows.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def first_of_each(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
     """Redeliveries out: one row per key, within the watermark on a stream."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).dropDuplicatesWithinWatermark(keys) if events.isStreaming else events.dropDuplicates(keys)
 
 
 def stale_runs(runs: DataFrame, as_of: str, hours: int = 6) -> DataFrame:
