@@ -1,8 +1,8 @@
 """Language identification as inference of a mixture: which languages a document is made of, and in what shares.
 
 Training counts character n-grams (one to four characters, word edges marked) of a bounded sample of labelled
-documents, per language, into a fixed number of bins. A word's likelihood in a language is the mean-field product of
-its n-grams' smoothed likelihoods. A document is a bag of words, each from one of the languages of an unknown mixture:
+documents, per language, into a fixed number of bins. A word (its letters, between white space) has in each language
+the damped product of its n-grams' smoothed likelihoods. A document is a bag of words, each from one of the languages of an unknown mixture:
 expectation-maximisation finds the shares; the set of languages is the one whose likelihood, less a penalty for each
 further language, is greatest.
 
@@ -13,7 +13,8 @@ first in alphabetical order; with no labelled row every text is `und`; repeated
 from __future__ import annotations
 
 import re
-import zlib
+import uuid
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -34,22 +35,34 @@ ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
 #: n-grams overlap, so their log likelihoods are added at this weight.
 OVERLAP = 0.5
-ROUNDS = 12
+ROUNDS = 8
 #: Penalty for each further language: this many times log(number of words).
 PENALTY = 3.0
 MOST_LANGUAGES = 5
 LETTERS = re.compile(r"[^\W\d_]+")
-ROWS_PER_BATCH = 256
-NOT_CHARACTERS = " \t\n\r"
-
-
-def grams(word: str) -> list[str]:
-    marked = f"<{word}>"
-    return [marked[i : i + n] for n in ORDERS for i in range(len(marked) - n + 1) if n > 1 or 0 < i < len(marked) - 1]
-
-
-def bin_of(gram: str) -> int:
-    return zlib.crc32(gram.encode("utf-8", "surrogatepass")) % BINS
+ROWS_PER_BATCH = 512
+
+
+def word_bins(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bins of the words' n-grams, edges marked, and for each the number of the word it is from."""
+    codes = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words])
+    owner = np.repeat(np.arange(len(words)), sizes)
+    edge = np.zeros(len(codes), bool)
+    ends = np.cumsum(sizes)
+    edge[ends - 1] = edge[ends - sizes] = True
+    bins, owners = [], []
+    h = np.zeros(len(codes), np.uint64)
+    for n in range(1, max(ORDERS) + 1):
+        h = h[: len(codes) - n + 1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
+        inside = owner[: len(h)] == owner[n - 1 :]
+        if n == 1:
+            inside = ~edge
+        x = h[inside]
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        bins.append((x >> np.uint64(40)).astype(np.int64) % BINS)
+        owners.append(owner[: len(h)][inside])
+    return np.concatenate(bins), np.concatenate(owners)
 
 
 @dataclass(frozen=True)
@@ -61,19 +74,12 @@ class Model:
 def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bins of the words' n-grams, with their counts, summed within the task."""
     found: dict[str, np.ndarray] = {}
-    memo: dict[str, list[int]] = {}
     for batch in batches:
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
             counts = found.setdefault(lang, np.zeros(BINS, np.int64))
-            bins: list[int] = []
-            for word in LETTERS.findall(text.lower()):
-                b = memo.get(word)
-                if b is None:
-                    if len(memo) > CACHE_ENTRIES:
-                        memo.clear()
-                    b = memo[word] = [bin_of(g) for g in grams(word)]
-                bins += b
-            counts += np.bincount(bins, minlength=BINS) if bins else 0
+            words = LETTERS.findall(text.lower())
+            for at in range(0, len(words), 8192):
+                counts += np.bincount(word_bins(words[at : at + 8192])[0], minlength=BINS)
     for lang, counts in found.items():
         (at,) = counts.nonzero()
         yield pa.RecordBatch.from_pydict({"lang": [lang] * len(at), "bin": at, "n": counts[at]})
@@ -101,31 +107,38 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
 
 
 class _Words(dict):
-    """Word -> row of a growing matrix of log likelihoods; starts anew when full."""
+    """Word -> row of a growing matrix of log likelihoods; words without a letter have row 0."""
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model = model
-        self.rows = np.empty((1 << 12, len(model.languages)), np.float64)
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.rows):
+        self.model, self.used = model, 1
+        self.rows = np.zeros((1 << 14, len(model.languages)))
+
+    def learn(self, words: list[str]) -> None:
+        cut = [(w, w if w.isalpha() else "><".join(LETTERS.findall(w))) for w in words]
+        self.update((w, 0) for w, letters in cut if not letters)
+        cut = [x for x in cut if x[1]]
+        while self.used + len(cut) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[k] = self.model.table[[bin_of(g) for g in grams(word)]].sum(0) * OVERLAP
-        self[word] = k
-        return k
+        for at in range(0, len(cut), 8192):
+            some = cut[at : at + 8192]
+            bins, owner = word_bins([letters for _, letters in some])
+            rows = range(self.used, self.used + len(some))
+            for k in range(len(self.model.languages)):
+                self.rows[rows.start : rows.stop, k] = np.bincount(owner, self.model.table[bins, k], len(some)) * OVERLAP
+            self.update(zip((w for w, _ in some), rows))
+            self.used = rows.stop
 
 
 def _shares(like: np.ndarray, weights: np.ndarray, starts: np.ndarray, owner: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mixture shares of each document among its allowed languages, and their log likelihood."""
-    total = np.add.reduceat(weights, starts)[:, None]
-    share = allowed / allowed.sum(1, keepdims=True)
+    """Mixture shares of each document among its allowed languages, and their log likelihood; languages come first."""
+    scale = 1 / np.add.reduceat(weights, starts)
+    share = allowed / allowed.sum(0)
     for _ in range(ROUNDS):
-        each = like * share[owner]
-        each *= (weights / np.maximum(each.sum(1), 1e-300))[:, None]
-        share = np.add.reduceat(each, starts, axis=0) / total
-    mixed = np.maximum((like * share[owner]).sum(1), 1e-300)
+        each = like * share[:, owner]
+        each *= weights / np.maximum(each.sum(0), 1e-300)
+        share = np.add.reduceat(each, starts, axis=1) * scale
+    mixed = np.maximum((like * share[:, owner]).sum(0), 1e-300)
     return share, np.add.reduceat(np.log(mixed) * weights, starts)
 
 
@@ -135,53 +148,91 @@ class Predictor:
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, dict[str, float]]]:
         """Language, its score, and the shares of the chosen set, per text."""
-        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        found = [Counter(t.lower().split()) if t else Counter() for t in texts]
         out: list[tuple[str, float, dict[str, float]]] = [(UNKNOWN, 0.0, {})] * len(texts)
-        where = [k for k, words in enumerate(found) if words]
-        if not where or not self.model.languages:
+        if not self.model.languages:
+            return out
+        known = self.words
+        new = set().union(*found).difference(known)
+        if len(known) + len(new) > CACHE_ENTRIES:
+            known = self.words = _Words(self.model)
+            new = set().union(*found)
+        known.learn(sorted(new))
+        get, where, ids, weights = known.__getitem__, [], [], []
+        for k, words in enumerate(found):
+            i = np.fromiter(map(get, words), np.int64, len(words))
+            n = np.fromiter(words.values(), np.float64, len(words))
+            lettered = i > 0
+            if lettered.any():
+                where.append(k)
+                ids.append(i[lettered])
+                weights.append(n[lettered])
+        if not where:
             return out
-        if len(self.words) > CACHE_ENTRIES:
-            self.words = _Words(self.model)
-        get, ids, weights, sizes = self.words.__getitem__, [], [], []
-        for k in where:
-            i, n = np.unique(np.fromiter(map(get, found[k]), np.int64, len(found[k])), return_counts=True)
-            ids.append(i)
-            weights.append(n)
-            sizes.append(len(i))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        sizes = np.array([len(i) for i in ids])
+        starts = np.cumsum(sizes) - sizes
         owner = np.repeat(np.arange(len(where)), sizes)
-        like = self.words.rows[np.concatenate(ids)]
-        top = like.max(1, keepdims=True)
-        share, best = self._choose(np.exp(like - top), np.concatenate(weights).astype(float), starts, owner)
+        like = self.words.rows[np.concatenate(ids)].T
+        share = self._choose(like - like.max(0), np.concatenate(weights), starts, owner)
+        best = share.argmax(0)
         for row, k in enumerate(where):
-            chosen = {self.model.languages[j]: float(share[row, j]) for j in np.flatnonzero(share[row] > 1e-9)}
             j = int(best[row])
-            out[k] = (self.model.languages[j], min(1.0, float(share[row, j])), chosen)
+            one = float(share[j, row])
+            chosen = {self.model.languages[j]: 1.0} if one > 1 - 1e-9 else {self.model.languages[i]: float(share[i, row]) for i in np.flatnonzero(share[:, row] > 1e-9)}
+            out[k] = (self.model.languages[j], min(1.0, one), chosen)
         return out
 
-    def _choose(self, like, weights, starts, owner) -> tuple[np.ndarray, np.ndarray]:
-        """The best set of languages per document, of those nested by their shares in the full mixture."""
-        n, langs = len(starts), like.shape[1]
-        share, _ = _shares(like, weights, starts, owner, np.ones((n, langs)))
-        rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
+    def _choose(self, loglike: np.ndarray, weights: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Shares of the best set of languages per document, of those nested by their shares in the full mixture.
+
+        loglike: of each word relative to its best language, so no mixture of languages comes to more than 0. Any set
+        of two or more costs a penalty at least, which settles most documents before a mixture is fitted.
+        """
+        langs = len(loglike)
         cost = PENALTY * np.log(np.add.reduceat(weights, starts) + 1)
-        top = np.full(n, -np.inf)
-        chosen = np.zeros_like(share)
-        for size in range(1, min(langs, MOST_LANGUAGES) + 1):
-            part, loglike = _shares(like, weights, starts, owner, (rank < size).astype(float))
-            value = loglike - cost * (size - 1)
-            better = value > top
-            top = np.where(better, value, top)
-            chosen[better] = part[better]
-        return chosen, np.argmax(chosen, axis=1)
+        single = np.add.reduceat(loglike * weights, starts, axis=1)
+        chosen, top = np.eye(langs)[single.argmax(0)].T, single.max(0)
+
+        def of(docs: np.ndarray) -> tuple[np.ndarray, ...]:
+            there = np.isin(owner, docs)
+            own = np.searchsorted(docs, owner[there])
+            return np.exp(loglike[:, there]), weights[there], np.searchsorted(own, np.arange(len(docs))), own
+
+        docs = np.flatnonzero(-cost > top)
+        if len(docs):
+            share, full = _shares(*of(docs), np.ones((langs, len(docs))))
+            more = full - cost[docs] > top[docs]
+            docs, share = docs[more], share[:, more]
+        if len(docs):
+            rank = np.argsort(np.argsort(-share, axis=0, kind="stable"), axis=0)
+            best, parts, data = top[docs], chosen[:, docs], of(docs)
+            for size in range(2, min(langs, MOST_LANGUAGES) + 1):
+                part, value = _shares(*data, (rank < size).astype(float))
+                value -= cost[docs] * (size - 1)
+                better = value > best
+                best = np.where(better, value, best)
+                parts[:, better] = part[:, better]
+            chosen[:, docs] = parts
+        return chosen
+
+
+_predictors: dict[str, Predictor] = {}
+
+
+def _predictor(sent, name: str) -> Predictor:
+    """One predictor per worker process and model, so that its memo outlives a task."""
+    if name not in _predictors:
+        _predictors.clear()
+        _predictors[name] = Predictor(sent.value)
+    return _predictors[name]
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add `lang_pred`, `score` and `lang_shares` (map) to df; columns of these names are replaced."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Predictor(sent.value)
+        own = _predictor(sent, name)
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_PER_BATCH):
                 part = batch.slice(at, ROWS_PER_BATCH)

@@ -249,7 +249,8 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     )
     routed = materialize(routed.join(measure.select("place", "blocks"), "place"), "places")
     # one text for each class; rows alike in identifier and text come more than once and are told apart later
-    texts = docs.select("row", "text").join(routed, "row").select("node", "place", "blocks", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "text")
+    # (a merge join at any size, so that small inputs tell what large ones take)
+    texts = docs.select("row", "text").join(routed.hint("merge"), "row").select("node", "place", "blocks", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "text")
     sets = texts.mapInArrow(_as_sets, "node long, place long, blocks int, copies long, block int, found binary")
     across = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = across.select("node", "place", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "found")

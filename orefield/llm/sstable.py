@@ -22,6 +22,7 @@ import bisect
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import groupby
@@ -47,6 +48,7 @@ BLOCK_BYTES = 1 << 18
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 ROWS_PER_BATCH = 512
 MISSES_AT_ONCE = 4096
+SENTENCE_MARKS = frozenset(".,;:!?")
 
 
 class WordIds(dict):
@@ -65,16 +67,26 @@ class WordIds(dict):
         so a text's ids are those of its parts between blanks and line breaks.
         """
         parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list({w for words in parts for w in words if w not in self})
-        if len(self) + len(new) > CACHE_ENTRIES:
+        new = {w for words in parts for w in words if w not in self}
+        if len(self) + 2 * len(new) > CACHE_ENTRIES:
             self.clear()
-            new = list({w for words in parts for w in words})
-        for at in range(0, len(new), MISSES_AT_ONCE):
-            some = new[at : at + MISSES_AT_ONCE]
+            new = {w for words in parts for w in words}
+        cut = {w: self._cut(w) for w in new}
+        cores = list({c for core, mark in cut.values() for c in (core, mark) if c not in self})
+        for at in range(0, len(cores), MISSES_AT_ONCE):
+            some = cores[at : at + MISSES_AT_ONCE]
             for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self[w] = np.array(e.ids, "<u4").tobytes()
+                self[w] = array("I", e.ids).tobytes()
+        for w, (core, mark) in cut.items():
+            self[w] = self[core] + self[mark]
         return [b"".join(map(self.__getitem__, words)) for words in parts]
 
+    @staticmethod
+    def _cut(word: str) -> tuple[str, str]:
+        """A word in the case that it is encoded in, and a mark after it: pieces of their own, so encoded apart."""
+        core, mark = (word[:-1], word[-1:]) if word[-1:] in SENTENCE_MARKS and word[:-1].isalpha() else (word, "")
+        return (core.lower() if core.isascii() and "<" not in core else core), mark
+
 
 @lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
@@ -92,9 +104,8 @@ def key_value(key: bytes) -> int | None:
 
 
 def _bloom_places(key: bytes, bits: int) -> list[int]:
-    h = xxhash.xxh3_128_intdigest(key)
-    a, b = h & 0xFFFFFFFFFFFFFFFF, h >> 64 | 1
-    return [(a + k * b) % bits for k in range(BLOOM_HASHES)]
+    a, b = struct.unpack(">QQ", xxhash.xxh3_128_digest(key))
+    return [(a + k * (b | 1)) % (1 << 64) % bits for k in range(BLOOM_HASHES)]
 
 
 class ShardWriter:
@@ -133,10 +144,10 @@ class ShardWriter:
 
     def _bloom(self) -> bytes:
         n = max(64, -(-self.docs * BLOOM_BITS_PER_KEY // 8) * 8)
-        pairs = np.frombuffer(bytes(self.hashes), ">u8").reshape(-1, 2).astype(object)
+        a, b = np.frombuffer(bytes(self.hashes), ">u8").reshape(-1, 2).astype(np.uint64).T
         bits = np.zeros(n, np.uint8)
-        for high, low in pairs:
-            bits[[(low + k * (high | 1)) % n for k in range(BLOOM_HASHES)]] = 1
+        for k in range(BLOOM_HASHES):
+            bits[(a + np.uint64(k) * (b | np.uint64(1))) % np.uint64(n)] = 1
         return struct.pack("<I", BLOOM_HASHES) + np.packbits(bits, bitorder="little").tobytes()
 
     def close(self) -> None:

@@ -32,13 +32,11 @@ def is_heading(line: Column) -> Column:
 
 
 def lines(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
-    """(doc, page, ord, line, heading, section): a document's lines without headers and footers that run through it."""
+    """(doc, page, ord, line, heading): a document's lines without headers and footers that run through it."""
     skip = running_lines(pages, doc, page, text).select(doc, F.col("line").alias("__masked"))
     cut = pages.select(doc, page, F.posexplode(F.split(text, "\n")).alias("ord", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
-    masked = F.regexp_replace("line", r"\d+", "#")
-    kept = cut.withColumn("__masked", masked).join(skip, [doc, "__masked"], "left_anti").withColumn("heading", is_heading(F.col("line")))
-    order = W.partitionBy(doc).orderBy(page, "ord").rowsBetween(W.unboundedPreceding, 0)
-    return kept.withColumn("section", F.sum(F.col("heading").cast("int")).over(order)).select(doc, page, "ord", "line", "heading", "section")
+    kept = cut.withColumn("__masked", F.regexp_replace("line", r"\d+", "#")).join(skip, [doc, "__masked"], "left_anti")
+    return kept.select(doc, page, "ord", "line", is_heading(F.col("line")).alias("heading"))
 
 
 def _tokens(text: str) -> int:
@@ -93,20 +91,30 @@ def pack(sections: list[tuple[str, list[tuple[int, str]]]], target: int = TARGET
     return chunks
 
 
+CHUNKS = T.ArrayType(T.StructType([T.StructField(n, t) for n, t in (("page_from", T.IntegerType()), ("page_to", T.IntegerType()), ("heading", T.StringType()), ("text", T.StringType()), ("tokens", T.IntegerType()))]))
+
+
+@F.pandas_udf(CHUNKS)
+def packed(documents: pd.Series) -> pd.Series:
+    """Chunks of each document, given as its lines (page, ord, line, heading) in order."""
+
+    def one(rows) -> list[tuple]:
+        sections: list[tuple[str, list[tuple[int, str]]]] = []
+        for r in rows:
+            if r["heading"] or not sections:
+                sections.append((r["line"] if r["heading"] else "", []))
+            sections[-1][1].append((r["page"], r["line"]))
+        return pack(sections)
+
+    return documents.map(lambda rows: [dict(zip(("page_from", "page_to", "heading", "text", "tokens"), c)) for c in one(rows)])
+
+
 def chunk(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
-    """(doc, ord, page_from, page_to, heading, text, tokens). Packing is a fold, so a document is one group."""
-    kind = pages.schema[doc].dataType.simpleString()
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([page, "ord"])
-        sections = []
-        for _, part in rows.groupby("section", sort=True):
-            first = part.iloc[0]
-            sections.append((first["line"] if first["heading"] else "", list(zip(part[page], part["line"]))))
-        found = [(rows[doc].iloc[0], k, *c) for k, c in enumerate(pack(sections))]
-        return pd.DataFrame(found, columns=[doc, "ord", "page_from", "page_to", "heading", "text", "tokens"])
-
-    return lines(pages, doc, page, text).groupBy(doc).applyInPandas(run, f"{doc} {kind}, ord int, page_from int, page_to int, heading string, text string, tokens int")
+    """(doc, ord, page_from, page_to, heading, text, tokens). Packing is a fold over a document's lines, which are
+    gathered as one value per document."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col(page).cast("int").alias("page"), "ord", "line", "heading")))
+    gathered = lines(pages, doc, page, text).groupBy(doc).agg(ordered.alias("rows"))
+    return gathered.select(doc, F.posexplode(packed("rows")).alias("ord", "c")).select(doc, "ord", "c.*")
 
 
 def passage(context: Column, heading: Column, text: Column) -> Column:

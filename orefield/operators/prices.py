@@ -34,12 +34,14 @@ def upsert_index(index: DataFrame, batch: DataFrame) -> DataFrame:
 def to_real(df: DataFrame, index: DataFrame, target: int, amount: str, currency: str = "currency", country: str = "country", year: str = "year", out: str = "inr_real") -> DataFrame:
     """df with `out`: the amount in rupees of the target year, or null where a rate or an index is missing.
 
-    Years before a series' first one use its first value. The index is joined three times as a broadcast dimension of
-    a few thousand rows (countries times years), whatever df's size.
+    Years before a series' first one use its first value. The index has countries times years rows, a few thousand
+    whatever df's size: it is extended once, on the driver's side of the plan, and joined three times by broadcast.
     """
-    full = F.broadcast(extended(index, target))
-    first = index.groupBy("series", "country").agg(F.min("year").alias("first"))
-    firsts = {(r["series"], r["country"]): r["first"] for r in first.collect()}
+    rows = extended(index, target).collect()
+    full = F.broadcast(df.sparkSession.createDataFrame(rows, "series string, country string, year int, value double"))
+    firsts: dict[tuple[str, str], int] = {}
+    for r in rows:
+        firsts[r["series"], r["country"]] = min(r["year"], firsts.get((r["series"], r["country"]), r["year"]))
     cpi_first, inr_first = firsts.get(("cpi", "IN")), firsts.get(("fx", "IN"))
     code = F.upper(F.coalesce(currency, F.lit("")))
     area = F.when(code.isin(list(AREAS)), F.create_map(*[F.lit(x) for kv in AREAS.items() for x in kv])[code]).otherwise(F.upper(country))
@@ -49,7 +51,7 @@ def to_real(df: DataFrame, index: DataFrame, target: int, amount: str, currency:
     })
     pick = lambda series, name: full.where(F.col("series") == series).select(F.col("country").alias(f"{name}_c"), F.col("year").alias(f"{name}_y"), F.col("value").alias(name))
     rate, inr, cpi = pick("fx", "rate"), pick("fx", "inr").where("inr_c = 'IN'"), pick("cpi", "cpi").where("cpi_c = 'IN'")
-    now = {r["year"]: r["value"] for r in extended(index, target).where("series = 'cpi' and country = 'IN'").collect()}.get(target)
+    now = next((r["value"] for r in rows if (r["series"], r["country"], r["year"]) == ("cpi", "IN", target)), None)
     joined = marked.join(rate, (F.col("__area") == F.col("rate_c")) & (F.col("__fy") == F.col("rate_y")), "left").join(inr, F.col("__iy") == F.col("inr_y"), "left").join(cpi, F.col("__cy") == F.col("cpi_y"), "left")
     value = F.col(amount).cast("double")
     usd = F.when(F.col("__code") == "USD", value).otherwise(F.try_divide(value, F.col("rate")))
