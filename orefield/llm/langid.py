@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from orefield.llm.common import CACHE_ENTRIES
 
 UNKNOWN = "und"
-#: Bound of the training sample: about this many documents of each language, chosen by a hash of their text.
+#: Bound of the training sample: about this many different texts of each language at most, chosen by a hash of the text.
 SAMPLE_PER_LANGUAGE = 1500
 #: Bins that n-grams are counted in; the model has one number for each bin and language.
 BINS = 1 << 16
@@ -96,7 +96,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
         return Model([], np.zeros((BINS, 0)))
     share = F.create_map(*[x for k, n in total.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.where(drawn < share[F.col("lang")])
+    # copies are drawn together, so of each text one stays: else a hot group would be most of the sample
+    sample = rows.where(drawn < share[F.col("lang")]).dropDuplicates(["lang", "text"])
     counts = sample.mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     languages = sorted(total)
     place = {k: i for i, k in enumerate(languages)}
