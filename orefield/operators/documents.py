@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orefield.operators.fulltext import running_lines
+from orefield.operators.fulltext import BLANKS, running_lines
 
 TARGET, MOST, OVERLAP = 500, 800, 60
 HEADING_CHARS, HEADING_WORDS = 90, 10
@@ -34,7 +34,7 @@ def is_heading(line: Column) -> Column:
 def lines(pages: DataFrame, doc: str = "doc_id", page: str = "page", text: str = "text") -> DataFrame:
     """(doc, page, ord, line, heading): a document's lines without headers and footers that run through it."""
     skip = running_lines(pages, doc, page, text).select(doc, F.col("line").alias("__masked"))
-    cut = pages.select(doc, page, F.posexplode(F.split(text, "\n")).alias("ord", "raw")).withColumn("line", F.trim("raw")).where("line <> ''")
+    cut = pages.select(doc, page, F.posexplode(F.split(text, "\n")).alias("ord", "raw")).withColumn("line", F.btrim("raw", F.lit(BLANKS))).where("line <> ''")
     kept = cut.withColumn("__masked", F.regexp_replace("line", r"\d+", "#")).join(skip, [doc, "__masked"], "left_anti")
     return kept.select(doc, page, "ord", "line", is_heading(F.col("line")).alias("heading"))
 

@@ -159,13 +159,17 @@ def similar(df: DataFrame, target: dict, k: int, as_of: str, text: str = "title"
     return scored.where("tier is not null").orderBy("tier", F.desc("similarity"), F.asc_nulls_last("closes_at"), "id").limit(k)
 
 
-def running_lines(pages: DataFrame, doc: str, page: str, text: str) -> DataFrame:
-    """(doc, line): lines on at least three, and six in ten, of a document's pages, digits masked."""
+#: What is taken off a line's ends.
+BLANKS = " \t\n\r"
+
+
+def running_lines(pages: DataFrame, doc: str, page: str, text: str, share: float = 0.6) -> DataFrame:
+    """(doc, line, n): lines on at least three, and a share of six in ten, of a document's pages, digits masked."""
     total = pages.groupBy(doc).agg(F.count(F.lit(1)).alias("pages"))
-    masked = F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != ""), lambda x: F.regexp_replace(x, r"\d+", "#"))
+    masked = F.transform(F.filter(F.transform(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: x != ""), lambda x: F.regexp_replace(x, r"\d+", "#"))
     lines = pages.select(doc, page, F.explode(F.array_distinct(masked)).alias("line"))
     seen = lines.groupBy(doc, "line").agg(F.count(F.lit(1)).alias("n")).join(total, doc)
-    return seen.where((F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(3.0), 0.6 * F.col("pages")))).select(doc, "line", "n")
+    return seen.where((F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(3.0), share * F.col("pages")))).select(doc, "line", "n")
 
 
 def exact_first(df: DataFrame, exact: Column, *order: Column) -> DataFrame:

@@ -98,6 +98,18 @@ def ratio_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_brand", F.explode(F.arrays_zip(F.array(F.lit(1).cast("long"), F.lit(10).cast("long"), F.lit(19).cast("long")).alias("q"), F.col("v").alias("quantile"))).alias("z")).select("p_brand", "z.q", "z.quantile")
 
 
+#: The nineteen quantiles, .05 to .95.
+QUANTILES = [k / 20 for k in range(1, 20)]
+
+
+@query(WITH + f"""SELECT p_brand, unnest(range(1, 20)) AS q, unnest(quantile_cont(raw_ratio, {QUANTILES!r})) AS quantile FROM award WHERE {IN_BAND} GROUP BY p_brand""")
+def ratio_quantiles_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RUL-04: all nineteen quantiles of the ratio per group."""
+    kept = awards(spark, sf_dir).where(F.col("raw_ratio").between(RATIO_MIN, RATIO_MAX))
+    found = kept.groupBy("p_brand").agg(F.percentile("raw_ratio", F.array(*map(F.lit, QUANTILES))).alias("v"))
+    return found.select("p_brand", F.posexplode("v").alias("k", "quantile")).select("p_brand", (F.col("k") + 1).cast("long").alias("q"), "quantile")
+
+
 #: A small literal price index: consumer prices of India, rupees and euros per dollar; 1999 of the euro is missing.
 INDEX = [("cpi", "IN", y, 50.0 + 5 * (y - 1995)) for y in range(1995, 2000)] + [("fx", "IN", y, 35.0 + y - 1995) for y in range(1995, 2000)] + [("fx", "XC", y, 0.8 + 0.02 * (y - 1995)) for y in range(1996, 2001) if y != 1999]
 _INDEX_SQL = "idx(series, country, year, value) AS (VALUES " + ", ".join(f"('{s}', '{c}', {y}, {v}::DOUBLE)" for s, c, y, v in INDEX) + ")"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.functions import scalars
-from orefield.functions.sectors import classify
+from orefield.functions.sectors import DISTINCTIVE, FALLBACK, GENERIC, KEYWORDS, SPECIFIC, classify
 from orefield.operators import documents, entities, fulltext
 from orefield.sources import pages as portal
 from orefield.sources.tables import table, tenders
@@ -63,10 +63,7 @@ _MASK = "SELECT doc_id, unnest(list_distinct(list_filter([regexp_replace(trim(x,
 def running_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-21, over sources as documents of many pages, from one page in twenty on."""
     docs = table(spark, sf_dir, "documents").select(F.col("source").alias("doc"), "doc_id", "text")
-    masked = F.transform(F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\r"))), lambda x: x != ""), lambda x: F.regexp_replace(x, r"\d+", "#"))
-    total = docs.groupBy("doc").agg(F.count(F.lit(1)).alias("pages"))
-    seen = docs.select("doc", F.explode(F.array_distinct(masked)).alias("line")).groupBy("doc", "line").agg(F.count(F.lit(1)).alias("n"))
-    return seen.join(total, "doc").where((F.col("pages") >= 3) & (F.col("n") >= F.greatest(F.lit(3.0), 0.05 * F.col("pages")))).select("doc", "line", "n")
+    return fulltext.running_lines(docs, "doc", "doc_id", "text", share=0.05)
 
 
 @query("""WITH k AS (SELECT c_custkey AS id, n_name AS state, CAST(c_custkey % 97 AS VARCHAR) AS token FROM customer JOIN nation ON c_nationkey = n_nationkey)
@@ -93,6 +90,34 @@ def sector_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(sector.alias("sector")).agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Made titles: words that meet each rule of the cascade, two rules at once, or none.
+PHRASES = [
+    "sale of scrap", "Security guards", "fire alarm and road", "software for hospital equipment", "Wi-Fi in laboratory", "optical fibre", "housekeeping", "pest control of roads", "NH-44 widening", "4 laning",
+    "bituminous pavement", "water supply", "tube wells and pumps", "sewage treatment", "11 kVA transformer", "HVAC", "surgical items", "X-ray for ambulance", "microscopes", "chemicals", "hiring of cars", "logistics",
+    "feasibility study", "DPR for buildings", "boundary wall", "M/O quarters", "roadside broadside", "plain goods", "",
+]
+PRODUCTS = [*(name for g in (SPECIFIC, GENERIC) for names in g.values() for name in names.split("|")), "Unknown", ""]
+CATEGORIES = ["Works", "Goods", "Services"]
+
+
+def _cascade_sql() -> str:
+    """The cascade in SQL, by its five steps."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    words = lambda rules: [f"WHEN regexp_matches(title, {quoted('(?i)' + p)}) THEN '{s}'" for s, p in rules]
+    names = lambda rules: [f"WHEN product IN ({', '.join(map(quoted, n.split('|')))}) THEN '{s}'" for s, n in rules.items()]
+    main = [f"WHEN category = '{c}' THEN '{s}'" for c, s in FALLBACK.items()]
+    return " ".join(["CASE", *words(DISTINCTIVE), *names(SPECIFIC), *words(KEYWORDS), *names(GENERIC), *main, "ELSE 'other' END"])
+
+
+@query(f"""WITH t AS (SELECT p_partkey, p_name || ' ' || {PHRASES!r}[p_partkey % {len(PHRASES)} + 1] AS title, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE {PRODUCTS!r}[p_partkey % {len(PRODUCTS)} + 1] END AS product, {CATEGORIES!r}[p_partkey % {len(CATEGORIES)} + 1] AS category FROM part)
+SELECT p_partkey, {_cascade_sql()} AS sector FROM t""")
+def sector_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-05: the sector of titles, products and categories that meet the rules of every step."""
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % len(values) + 1).cast("int"))
+    product = F.when(F.col("p_partkey") % 2 == 0, "").otherwise(pick(PRODUCTS))
+    return table(spark, sf_dir, "part").select("p_partkey", classify(F.concat_ws(" ", "p_name", pick(PHRASES)), product, pick(CATEGORIES)).alias("sector"))
+
+
 @query()
 def text_search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FTS-01 to FTS-07, SRT-02: documents for a question of an OR, a phrase and a negation."""
@@ -108,6 +133,14 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunk(pages)
 
 
+@query()
+def chunk_pack_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-01 to DOC-03: conversations as documents, a turn a page, each with a numbered header and footer."""
+    said = F.concat_ws("\n", F.concat(F.lit("Conversation "), "conv_id"), "text", F.concat(F.lit("Turn "), F.col("turn") + 1))
+    pages = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), said.alias("text"))
+    return documents.chunk(pages)
+
+
 @query()
 def html_title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-04 to SRC-07."""

@@ -129,6 +129,28 @@ def test_chunks(spark):
     assert [r[0] for r in heads.select(documents.is_heading(F.col("x"))).collect()] == [True, True, True, False, False, False]
 
 
+def test_running_lines_by_share_and_with_tabs(spark):
+    rows = [(1, p, f"body {'abcde'[p]}\n\tHeader of {p}\t\r" + ("\nnow and then" if p < 3 else "")) for p in range(5)]
+    pages = spark.createDataFrame(rows, "doc_id int, page int, text string")
+    lines = lambda **k: {(r.line, r.n) for r in fulltext.running_lines(pages, "doc_id", "page", "text", **k).collect()}
+    assert lines() == {("Header of #", 5), ("now and then", 3)} and lines(share=0.8) == {("Header of #", 5)}
+    assert [r.line for r in documents.lines(pages).orderBy("page", "ord").collect()] == [f"body {c}" for c in "abcde"]
+
+
+def test_queries_over_the_whole_of_their_operators(spark):
+    from orefield import registry
+
+    sf = "/root/testdata/sf0.001"
+    query = registry.queries()
+    assert {r.q for r in query["ratio_quantiles_all"](spark, sf).collect()} == set(range(1, 20))
+    sectors = "roads buildings water electrical it security health lab facility transport consultancy supplies other"
+    assert {r.sector for r in query["sector_cascade"](spark, sf).collect()} == set(sectors.split())
+    chunks = query["chunk_pack_turns"](spark, sf).collect()
+    assert any(r.page_to > r.page_from for r in chunks)
+    turns = {r.conv_id: r["count"] for r in spark.read.parquet(f"{sf}/conversations.parquet").groupBy("conv_id").count().collect()}
+    assert {r.doc_id for r in chunks} == set(turns) and not any("Turn" in r.text for r in chunks if turns[r.doc_id] >= 3)
+
+
 def test_search(spark):
     rows = [(1, "Road repair", "PWD"), (2, "Bridge", "Road works office"), (3, "Repair of roads and drains", "X"), (4, "Drain cleaning", "Y")]
     posted = fulltext.postings(spark.createDataFrame(rows, "id int, title string, buyer string"), "id", {"title": "A", "buyer": "C"})
