@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.common import materialize
+from orefield.llm.common import discard, materialize
 
 #: The steps halve distances, so this many rounds are never needed; more means that something else is wrong.
 MOST_ROUNDS = 60
@@ -38,5 +38,6 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
         if not state["n"] or state == before:
             break
         before = state
-        now = materialize(_small_star(_large_star(now)), "edges")
+        last, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(last)
     return now.select(F.col("v").alias("node"), F.col("u").alias("component")).union(now.select(F.col("u").alias("node"), F.col("u").alias("component"))).distinct()

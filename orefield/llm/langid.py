@@ -6,13 +6,14 @@ the damped product of its n-grams' smoothed likelihoods. A document is a bag of
 expectation-maximisation finds the shares; the set of languages is the one whose likelihood, less a penalty for each
 further language, is greatest.
 
-Defined results: a null text, or one without a letter, is `und` with score 0; ties between languages go to the one
-first in alphabetical order; with no labelled row every text is `und`; repeated rows get the same answer.
+Defined results: a null text, or one without a letter (Unicode category L), is `und` with score 0; ties between
+languages go to the one first in alphabetical order; with no labelled row every text is `und`; repeated rows get the
+same answer; a very long text is read whole and costs memory for its different words only; an empty table gives an
+empty one; all other columns are kept, and those named like an output are replaced.
 """
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -20,11 +21,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from orefield.llm.common import CACHE_ENTRIES
+from orefield.llm.common import kept_by_worker, slices
 
 UNKNOWN = "und"
 #: Bound of the training sample: about this many different texts of each language at most, chosen by a hash of the text.
@@ -35,12 +37,13 @@ ORDERS = (1, 2, 3, 4)
 SMOOTHING = 0.5
 #: n-grams overlap, so their log likelihoods are added at this weight.
 OVERLAP = 0.5
-ROUNDS = 8
+#: Expectation-maximisation goes on until the log likelihood is so near its maximum, per document or per word.
+GAP, GAP_PER_WORD = 0.1, 1e-4
 #: Penalty for each further language: this many times log(number of words).
 PENALTY = 3.0
-MOST_LANGUAGES = 5
-LETTERS = re.compile(r"[^\W\d_]+")
-ROWS_PER_BATCH = 512
+#: Words that a worker remembers, with their log likelihoods (some 50 MB at four languages).
+WORDS_KEPT = 300_000
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def word_bins(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -88,15 +91,16 @@ def _count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """A model from labelled rows; rows without text or language teach nothing.
 
-    The driver gets one count per language and, for each, at most BINS numbers.
+    The driver gets one count per language and, for each, at most BINS numbers; languages are as many as there are labels.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    different = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
+    total = {r["lang"]: r["n"] for r in different.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not total:
         return Model([], np.zeros((BINS, 0)))
     share = F.create_map(*[x for k, n in total.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
     drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    # copies are drawn together, so of each text one stays: else a hot group would be most of the sample
+    # the share is that of different texts; copies are drawn together, and of each text one stays
     sample = rows.where(drawn < share[F.col("lang")]).dropDuplicates(["lang", "text"])
     counts = sample.mapInArrow(_count, "lang string, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n"))
     languages = sorted(total)
@@ -132,15 +136,27 @@ class _Words(dict):
 
 
 def _shares(like: np.ndarray, weights: np.ndarray, starts: np.ndarray, owner: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Mixture shares of each document among its allowed languages, and their log likelihood; languages come first."""
-    scale = 1 / np.add.reduceat(weights, starts)
-    share = allowed / allowed.sum(0)
-    for _ in range(ROUNDS):
-        each = like * share[:, owner]
-        each *= weights / np.maximum(each.sum(0), 1e-300)
-        share = np.add.reduceat(each, starts, axis=1) * scale
-    mixed = np.maximum((like * share[:, owner]).sum(0), 1e-300)
-    return share, np.add.reduceat(np.log(mixed) * weights, starts)
+    """Mixture shares of each document among its allowed languages, and their log likelihood; languages come first.
+
+    The likelihood is concave in the shares, so its slopes bound what further rounds can gain; documents for which that
+    is small enough take no further part.
+    """
+    total = np.add.reduceat(weights, starts)
+    gap = np.maximum(GAP, GAP_PER_WORD * total)
+    share, value = allowed / allowed.sum(0), np.empty(len(starts))
+    todo = np.arange(len(starts))
+    while len(todo):
+        mixed = np.maximum((like * share[:, todo][:, owner]).sum(0), 1e-300)
+        slope = np.add.reduceat(like * (weights / mixed), starts, axis=1)
+        value[todo] = np.add.reduceat(np.log(mixed) * weights, starts)
+        more = (slope * allowed[:, todo]).max(0) - total[todo] > gap[todo]
+        share[:, todo[more]] *= slope[:, more] / total[todo[more]]
+        if not more.all():
+            there = more[owner]
+            like, weights, owner = like[:, there], weights[there], (np.cumsum(more) - 1)[owner[there]]
+            todo = todo[more]
+            starts = np.searchsorted(owner, np.arange(len(todo)))
+    return share, value
 
 
 class Predictor:
@@ -155,7 +171,7 @@ class Predictor:
             return out
         known = self.words
         new = set().union(*found).difference(known)
-        if len(known) + len(new) > CACHE_ENTRIES:
+        if len(known) + len(new) > WORDS_KEPT:
             known = self.words = _Words(self.model)
             new = set().union(*found)
         known.learn(sorted(new))
@@ -190,7 +206,8 @@ class Predictor:
         of two or more costs a penalty at least, which settles most documents before a mixture is fitted.
         """
         langs = len(loglike)
-        cost = PENALTY * np.log(np.add.reduceat(weights, starts) + 1)
+        n_words = np.add.reduceat(weights, starts)
+        cost, gap = PENALTY * np.log(n_words + 1), np.maximum(GAP, GAP_PER_WORD * n_words)
         single = np.add.reduceat(loglike * weights, starts, axis=1)
         chosen, top = np.eye(langs)[single.argmax(0)].T, single.max(0)
 
@@ -202,12 +219,15 @@ class Predictor:
         docs = np.flatnonzero(-cost > top)
         if len(docs):
             share, full = _shares(*of(docs), np.ones((langs, len(docs))))
-            more = full - cost[docs] > top[docs]
+            more = full + gap[docs] - cost[docs] > top[docs]
             docs, share = docs[more], share[:, more]
         if len(docs):
             rank = np.argsort(np.argsort(-share, axis=0, kind="stable"), axis=0)
             best, parts, data = top[docs], chosen[:, docs], of(docs)
-            for size in range(2, min(langs, MOST_LANGUAGES) + 1):
+            # no set of this size can be better once its penalty alone is too much, so this ends by itself
+            for size in range(2, langs + 1):
+                if not (-cost[docs] * (size - 1) > best).any():
+                    break
                 part, value = _shares(*data, (rank < size).astype(float))
                 value -= cost[docs] * (size - 1)
                 better = value > best
@@ -217,34 +237,21 @@ class Predictor:
         return chosen
 
 
-_predictors: dict[str, Predictor] = {}
-
-
-def _predictor(sent, name: str) -> Predictor:
-    """One predictor per worker process and model, so that its memo outlives a task."""
-    if name not in _predictors:
-        _predictors.clear()
-        _predictors[name] = Predictor(sent.value)
-    return _predictors[name]
-
-
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add `lang_pred`, `score` and `lang_shares` (map) to df; columns of these names are replaced."""
     sent, name = df.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _predictor(sent, name)
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_PER_BATCH):
-                part = batch.slice(at, ROWS_PER_BATCH)
-                found = own.predict(part.column(text).to_pylist())
-                added = {
-                    "lang_pred": pa.array([f[0] for f in found], pa.string()),
-                    "score": pa.array([f[1] for f in found], pa.float64()),
-                    "lang_shares": pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64())),
-                }
-                kept = [(n, c) for n, c in zip(part.schema.names, part.columns) if n not in added]
-                yield pa.RecordBatch.from_arrays([c for _, c in kept] + [*added.values()], [n for n, _ in kept] + [*added])
+        own = kept_by_worker(f"predictor {name}", lambda: Predictor(sent.value))
+        for part in slices(batches, text, rows=512):
+            found = own.predict(part.column(text).to_pylist())
+            added = {
+                "lang_pred": pa.array([f[0] for f in found], pa.string()),
+                "score": pa.array([f[1] for f in found], pa.float64()),
+                "lang_shares": pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64())),
+            }
+            kept = [(n, c) for n, c in zip(part.schema.names, part.columns) if n not in added]
+            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [*added.values()], [n for n, _ in kept] + [*added])
 
     added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_shares", T.MapType(T.StringType(), T.DoubleType()))]
     kept = [f for f in df.schema.fields if f.name not in {a.name for a in added}]

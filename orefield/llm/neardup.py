@@ -1,23 +1,30 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 Shingles are runs of five words (lower case, cut at white space); a text of fewer words is one shingle. Texts with the
-same shingles form one class, so copies are compared once. Each class gets a MinHash signature, cut into the keys of
-several trees. A tree is a prefix trie of its keys in sorted order: classes with a long common prefix are candidates.
-The prefix is shortened from the whole key until a pair at the threshold is found, in some tree, with the target
-recall. Classes that share such a prefix are routed to one place, over all trees, and there all pairs are compared by
-exact intersections of their shingle sets; large places are cut into blocks, and pairs of blocks into tasks of bounded
-size. Links are counted in the tasks, and only a spanning forest of them leaves, so nothing grows with the pairs.
+same shingles form one class, so copies are compared once. Each class has a whole key of DEPTH values in each of TREES
+trees. A tree is a prefix trie, held as its keys in sorted order over the cluster's range partitions: the neighbours of
+a key have the longest prefixes in common with it. A class's prefix is shortened from the whole key until its recall is
+TARGET_RECALL, by the least similarity that a set of its size can have with another and still be linked; classes that
+then share a prefix in a tree are candidates, and only these pairs are compared, by exact intersections of their sets.
+
+To compare them, each class goes into one block: classes go together by the most frequent prefix that they, or those
+they share a prefix with, have, and what goes together is cut into blocks by hash. Pairs of blocks that have a shared prefix between them are compared, each once; inside them only candidates
+count. So tasks are bounded, and their number grows with what really shares prefixes: a group of n mutual near copies
+costs as many pairs of blocks as an exact count of its links must. Links are counted in the tasks, and only a spanning
+forest of them leaves.
 
 Defined results: per document `class_id` (least identifier of all documents linked with it, directly or through others),
 `exact_id` (least identifier with the same shingles) and `n_links` (other documents of similarity at least the threshold;
 copies count each). Null, empty and blank texts have no shingles and are each their own class without links. Null
-identifiers are kept; a class with no other identifier has a null name. Shingles and classes are told apart by 64-bit
-hashes. Every link between texts in one place is found; the recall of routing is `recall()`.
+identifiers are kept; a class with no other identifier has a null name. Rows alike in identifier and text each count.
+Very long texts are compared whole. Other columns are not read (`keep_one` keeps them, whatever their names). Shingles
+and classes are told apart by 64-bit hashes. Results don't depend on partitions. `recall()` is the chance that a link is found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +32,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.common import CACHE_ENTRIES, materialize, row_key
+from orefield.llm.common import CACHE_ENTRIES, discard, kept_by_worker, materialize, own_name, row_key, slices
 from orefield.llm.components import connected_components
 
 SHINGLE = 5
 #: Similarity at which documents are linked, as a fraction of whole numbers so that the test is exact.
 OVER, UNDER = 4, 5
+#: A key has DEPTH values of eight bits.
 TREES, DEPTH = 32, 8
 TARGET_RECALL = 0.9999
-#: A block has about so many classes, and so many shingles.
-BLOCK_CLASSES, BLOCK_SHINGLES = 256, 400_000
-COLUMNS_AT_ONCE = 4096
+#: A block has about so many classes, and so many shingles, at most.
+BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
+COLUMNS_AT_ONCE = 2048
 SEED = 20240607
 
 
@@ -44,8 +52,22 @@ def recall(depth: int, similarity: float = OVER / UNDER, trees: int = TREES) ->
     return 1 - (1 - similarity**depth) ** trees
 
 
-def prefix_depth(target: float = TARGET_RECALL, similarity: float = OVER / UNDER) -> int:
-    """The longest prefix that reaches the target, found by shortening from the whole key."""
+def least_similarity(size: int) -> float | None:
+    """The least similarity at which a set of this size is linked with another one; none if it can't be."""
+    most = size * UNDER // OVER
+    found = [both / (size + other - both) for other in range(size * OVER // UNDER, most + 1) for both in range(min(size, other) + 1) if UNDER * both >= OVER * (size + other - both) and not both == size == other]
+    return min(found, default=None)
+
+
+@lru_cache(maxsize=256)
+def prefix_depth(size: int, target: float = TARGET_RECALL) -> int:
+    """How long a prefix a set of this size keeps: shortened from the whole key until the recall is reached.
+
+    More than DEPTH for a set that no other can be linked with, so that it shares no prefix.
+    """
+    similarity = least_similarity(size) if size < 64 else OVER / UNDER
+    if similarity is None:
+        return DEPTH + 1
     depth = DEPTH
     while depth > 1 and recall(depth, similarity) < target:
         depth -= 1
@@ -59,9 +81,6 @@ class _WordHashes(dict):
         return h
 
 
-_words = _WordHashes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -74,9 +93,10 @@ def shingles(text: str | None) -> np.ndarray:
     words = text.lower().split() if text else []
     if not words:
         return np.empty(0, np.uint64)
-    if len(_words) > CACHE_ENTRIES:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = kept_by_worker("hashes of words", _WordHashes)
+    if len(known) > CACHE_ENTRIES:
+        known.clear()
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - SHINGLE + 1)
     out = np.full(n, min(len(h), SHINGLE), np.uint64)
     for k in range(min(len(h), SHINGLE)):
@@ -85,14 +105,12 @@ def shingles(text: str | None) -> np.ndarray:
 
 
 class Forest:
-    """Keys of the trees for a set of shingles."""
+    """Whole keys of a set of shingles, one for each tree."""
 
-    def __init__(self, depth: int):
+    def __init__(self):
         rng = np.random.default_rng(SEED)
-        self.depth = depth
-        self.a = (rng.integers(0, 1 << 31, (TREES * depth, 1), np.uint32) << np.uint32(1)) | np.uint32(1)
-        self.b = rng.integers(0, 1 << 32, (TREES * depth, 1), np.uint32)
-        self.tree = np.arange(TREES, dtype=np.uint64) << np.uint64(7)
+        self.a = (rng.integers(0, 1 << 31, (TREES * DEPTH, 1), np.uint32) << np.uint32(1)) | np.uint32(1)
+        self.b = rng.integers(0, 1 << 32, (TREES * DEPTH, 1), np.uint32)
 
     def signature(self, found: np.ndarray) -> np.ndarray:
         x = (found >> np.uint64(32)).astype(np.uint32)
@@ -104,12 +122,13 @@ class Forest:
         return least
 
     def keys(self, found: np.ndarray) -> np.ndarray:
-        """One number per tree: the prefix of its key, hashed with the tree's own number."""
-        prefix = self.signature(found).reshape(TREES, self.depth)
-        out = self.tree.copy()
-        for k in range(self.depth):
-            out = _mix(out + prefix[:, k])
-        return out.view(np.int64)
+        """Numbers whose order is that of the keys' values, the first value in the highest byte."""
+        values = ((self.signature(found) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).reshape(TREES, DEPTH)
+        return (values.view(">u8").ravel().astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _prefixes(keys: np.ndarray, depth: int) -> np.ndarray:
+    return keys.view(np.uint64) >> np.uint64(8 * (DEPTH - depth))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -117,144 +136,209 @@ def class_of(found: np.ndarray) -> int:
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    forest = Forest(prefix_depth())
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            sets = [shingles(t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    part.column("row"),
-                    pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([forest.keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
-                ],
-                ["doc_id", "row", "node", "size", "keys"],
-            )
-
-
-def candidates(classes: DataFrame) -> DataFrame:
-    """(node, place): classes that share a prefix in a tree, and those that share one with them, have one place.
-
-    Within a trie node each class is tied to the least one only, so edges are no more than classes times trees.
+    forest = Forest()
+    for part in slices(batches, "text"):
+        sets = [shingles(t) for t in part.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [
+                part.column("doc_id"),
+                part.column("row"),
+                pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array([prefix_depth(min(len(s), 64)) for s in sets], pa.int32()),
+                pa.array([forest.keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
+            ],
+            ["doc_id", "row", "node", "size", "depth", "keys"],
+        )
+
+
+def _walk(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(prefix, node) of classes that share a prefix; rows come sorted by tree and key.
+
+    What lies before or after a batch isn't known, so its first and last run count as shared; a prefix that no other
+    class has after all goes when they are counted. A class is in the run of its own depth, and in those of longer
+    prefixes if a class that keeps such a one is there.
     """
-    spots = classes.select("node", F.explode("keys").alias("key"))
-    shared = spots.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
-    edges = spots.join(shared, "key").where("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
-    return connected_components(edges).withColumnRenamed("component", "place")
+    for batch in batches:
+        tree, key, node, depth = (np.asarray(batch.column(c)) for c in ("tree", "key", "node", "depth"))
+        out = []
+        for level in range(int(depth.min(initial=DEPTH)), DEPTH + 1):
+            prefix = _prefixes(key, level)
+            new = np.ones(len(key), bool)
+            new[1:] = (prefix[1:] != prefix[:-1]) | (tree[1:] != tree[:-1])
+            starts, run = np.flatnonzero(new), np.cumsum(new) - 1
+            edge = (run == 0) | (run == run[-1])
+            kept_here = np.maximum.reduceat(depth == level, starts)[run]
+            several = np.diff(np.append(starts, len(key)))[run] > 1
+            (at,) = ((depth <= level) & (edge | (several & kept_here))).nonzero()
+            out.append((_mix(_mix(prefix[at] + np.uint64(level)) + tree[at].astype(np.uint64)).view(np.int64), node[at]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*out)], ["prefix", "node"])
+
+
+def shared_prefixes(classes: DataFrame) -> DataFrame:
+    """(prefix, node, n): the trie nodes that each class shares with another, and how many classes have them."""
+    keys = classes.where(F.col("depth") <= DEPTH).select("node", "depth", F.posexplode("keys").alias("tree", "key"))
+    order = [F.col(c) for c in ("tree", "key", "node")]  # the node too, so that equal keys may fill several partitions
+    walked = keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk, "prefix long, node long")
+    walked = materialize(walked, "prefixes")
+    counts = walked.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return walked.join(counts, "prefix")
+
+
+def blocks(shared: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, block), a block for each class, and (block, low, high), the pairs of blocks to compare, for both sides."""
+    # the most frequent prefix of a class; then, over all its prefixes, that of those who share them
+    top = F.max(F.struct("n", "prefix"))
+    own = materialize(shared.groupBy("node").agg(top.alias("top")), "tops")
+    around = shared.select("prefix", "node").join(own, "node").groupBy("prefix").agg(F.max("top").alias("top"))
+    kin = shared.select("prefix", "node").join(around, "prefix").groupBy("node").agg(F.max("top").alias("top"))
+    kin = materialize(kin.select("node", F.col("top.prefix").alias("kin")).join(classes.select("node", "size"), "node"), "kin")
+    measure = kin.groupBy("kin").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
+    homes = kin.join(measure, "kin").select("node", F.xxhash64("kin", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    homes = materialize(homes, "homes")
+    present = shared.select("prefix", "node").join(homes, "node").select("prefix", "block").distinct()
+    other = present.withColumnRenamed("block", "other")
+    across = present.join(other, "prefix").where("block < other").select(F.col("block").alias("low"), F.col("other").alias("high")).distinct()
+    within = homes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("block").alias("low"), F.col("block").alias("high"))
+    pairs = materialize(across.union(within), "blocks")
+    discard(own, kin)
+    return homes, pairs.select(F.col("low").alias("block"), "low", "high").union(pairs.where("low <> high").select(F.col("high").alias("block"), "low", "high"))
 
 
 def _as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            sets = [shingles(t).tobytes() for t in part.column("text").to_pylist()]
-            kept = [n for n in part.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(sets, pa.binary())], [*kept, "found"])
-
-
-def linked(sets: list[np.ndarray]) -> np.ndarray:
-    """The matrix of which sets are similar enough, by exact intersection sizes."""
-    n = len(sets)
-    size = np.array([len(s) for s in sets])
-    if n == 2:
-        both = np.intersect1d(sets[0], sets[1], assume_unique=True).size
-        hit = UNDER * both >= OVER * (size.sum() - both)
-        return np.array([[False, hit], [hit, False]])
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(n), size)
-    _, column, times = np.unique(every, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    column, owner = column[shared], owner[shared]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], np.cumsum(np.concatenate([[0], np.diff(column[order]) != 0])) if len(order) else column
-    both = np.zeros((n, n), np.float32)
-    ends = np.searchsorted(column, np.arange(0, (column[-1] if len(column) else -1) + 1 + COLUMNS_AT_ONCE, COLUMNS_AT_ONCE))
-    for a, b in zip(ends, ends[1:]):
-        if b > a:
-            there = np.zeros((n, COLUMNS_AT_ONCE), np.float32)
-            there[owner[a:b], column[a:b] % COLUMNS_AT_ONCE] = 1
-            both += there @ there.T
-    both = np.rint(both).astype(np.int64)
-    out = UNDER * both >= OVER * (size[:, None] + size[None, :] - both)
-    np.fill_diagonal(out, False)
+    for part in slices(batches, "text"):
+        sets = [shingles(t).tobytes() for t in part.column("text").to_pylist()]
+        kept = [n for n in part.schema.names if n != "text"]
+        yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), pa.array(sets, pa.binary())], [*kept, "found"])
+
+
+def candidates(keys: tuple[np.ndarray, np.ndarray], depth: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The matrix of which classes of the one side share a prefix, in some tree, with which of the other, as long as both
+    of them keep."""
+    need = np.maximum(depth[0][:, None], depth[1][None, :])
+    out = np.zeros(need.shape, bool)
+    for level in np.unique(need):
+        same = np.zeros(need.shape, bool)
+        for a, b in zip(_prefixes(keys[0], int(level)).T, _prefixes(keys[1], int(level)).T):
+            same |= a[:, None] == b[None, :]
+        out |= same & (need == level)
     return out
 
 
-def _roots(links: np.ndarray) -> list[int]:
-    """For each row the first row that it is connected with."""
-    root = [-1] * len(links)
-    for start in range(len(links)):
+def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The matrix of which sets of the one list are similar enough to which of the other, by exact intersection sizes."""
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    if len(left) == len(right) == 1:
+        both = np.array([[np.intersect1d(left[0], right[0], assume_unique=True).size]])
+    else:
+        owner = np.concatenate([np.repeat(np.arange(len(n)), n) for n in sizes])
+        _, column, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+        n = sizes[0].sum()
+        # only what both sides have counts; these columns are numbered anew
+        there = np.zeros((2, len(times)), bool)
+        there[0, column[:n]] = there[1, column[n:]] = True
+        number = np.cumsum(there.all(0)) - 1
+        kept = there.all(0)[column]
+        parts = [(owner[p][kept[p]], number[column[p][kept[p]]]) for p in (slice(0, n), slice(n, None))]
+        parts = [(o[order], c[order]) for o, c in parts for order in [np.argsort(c, kind="stable")]]
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(number[-1]) + 1, COLUMNS_AT_ONCE):
+            dense = []
+            for (o, c), count in zip(parts, map(len, (left, right))):
+                a, b = np.searchsorted(c, [at, at + COLUMNS_AT_ONCE])
+                x = np.zeros((count, COLUMNS_AT_ONCE), np.float32)
+                x[o[a:b], c[a:b] - at] = 1
+                dense.append(x)
+            both += dense[0] @ dense[1].T
+        both = np.rint(both).astype(np.int64)
+    return UNDER * both >= OVER * (sizes[0][:, None] + sizes[1][None, :] - both)
+
+
+def _roots(links: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the first one that it is connected with; links: of the nodes x with the nodes y."""
+    row, column = np.full(n, -1), np.full(n, -1)
+    row[x], column[y] = np.arange(len(x)), np.arange(len(y))
+    root = np.full(n, -1)
+    for start in range(n):
         if root[start] < 0:
             root[start], todo = start, [start]
             while todo:
-                for k in np.flatnonzero(links[todo.pop()]):
-                    if root[k] < 0:
-                        root[k] = start
-                        todo.append(k)
+                k = todo.pop()
+                near = ([y[links[row[k]]]] if row[k] >= 0 else []) + ([x[links[:, column[k]]]] if column[k] >= 0 else [])
+                for found in near:
+                    new = found[root[found] < 0]
+                    root[new] = start
+                    todo += new.tolist()
     return root
 
 
-def _compare(rows: list[dict]) -> list[tuple[int, int, int]]:
-    """(node, root, links) for the classes of one pair of blocks; within one block all pairs, else those across."""
-    rows = list({r["node"]: r for r in rows}.values())
-    rows.sort(key=lambda r: r["node"])
-    links = linked([np.frombuffer(r["found"], np.uint64) for r in rows])
-    if rows[0]["low"] != rows[0]["high"]:
-        block = np.array([r["block"] for r in rows])
-        links &= block[:, None] != block[None, :]
-    copies = np.array([r["copies"] for r in rows], np.int64)
-    total = links.astype(np.int64) @ copies
-    root = _roots(links)
-    return [(r["node"], rows[root[k]]["node"], int(total[k])) for k, r in enumerate(rows)]
+def _compare(group: pa.Table) -> list[tuple[int, int, int]]:
+    """(node, root, links) for the classes of one pair of blocks; within one block all candidates, else those across."""
+    node = np.asarray(group["node"])
+    group = group.take(np.unique(node, return_index=True)[1])
+    block = np.asarray(group["block"])
+    low = np.flatnonzero(block == np.asarray(group["low"]))
+    within = len(low) == len(block)
+    high = low if within else np.flatnonzero(block == np.asarray(group["high"]))
+    node, copies, depth = (np.asarray(group[c]) for c in ("node", "copies", "depth"))
+    keys = np.asarray(group["keys"].combine_chunks().flatten()).reshape(len(node), TREES)
+    wanted = candidates((keys[low], keys[high]), (depth[low], depth[high]))
+    if within:
+        np.fill_diagonal(wanted, False)
+    rows, columns = wanted.any(1).nonzero()[0], wanted.any(0).nonzero()[0]
+    if not len(rows):
+        return []
+    sets = lambda at: [np.frombuffer(x.as_py(), np.uint64) for x in group["found"].take(at)]
+    links = linked(sets(low[rows]), sets(high[columns])) & wanted[np.ix_(rows, columns)]
+    x, y = low[rows], high[columns]
+    total = np.zeros(len(node), np.int64)
+    total[x] += links @ copies[y]
+    if not within:
+        total[y] += copies[x] @ links
+    root = _roots(links, x, y, len(node))
+    (out,) = total.nonzero()
+    return list(zip(node[out].tolist(), node[root[out]].tolist(), total[out].tolist()))
 
 
 def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (place, low, high); each such group is compared once its last row is here."""
-    group, rows, out = None, [], []
+    """Rows come sorted by (low, high); each such group is compared once its last row is here."""
+    group, parts = None, []
 
-    def flush():
-        nonlocal out
-        out, done = [], out
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*done)], ["node", "root", "links"])
+    def done():
+        rows = _compare(pa.Table.from_batches(parts)) if sum(p.num_rows for p in parts) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), ()))], ["node", "root", "links"])
 
     for batch in batches:
-        for r in batch.to_pylist():
-            if (now := (r["place"], r["low"], r["high"])) != group:
-                if len(rows) > 1:
-                    out += _compare(rows)
-                group, rows = now, []
-            rows.append(r)
-        if len(out) > 4096:
-            yield flush()
-    if len(rows) > 1:
-        out += _compare(rows)
-    if out:
-        yield flush()
+        low, high = np.asarray(batch.column("low")), np.asarray(batch.column("high"))
+        new = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])))
+        for a, b in zip(new, np.append(new[1:], len(low))):
+            if (low[a], high[a]) != group:
+                if parts:
+                    yield done()
+                group, parts = (low[a], high[a]), []
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield done()
 
 
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, row, class_id, exact_id, n_links, copies) per row of df; `row` is row_key(doc_id, text)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-    signed = materialize(docs.mapInArrow(_sign, "doc_id long, row long, node long, size long, keys array<long>"), "signatures")
+    signed = docs.mapInArrow(_sign, "doc_id long, row struct<a: long, b: long>, node long, size long, depth int, keys array<long>")
+    signed = materialize(signed, "signatures")
     one = signed.where("node is not null").groupBy("node").agg(
-        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("exact_id"), F.min("row").alias("row"), F.first("size").alias("size"), F.first("keys").alias("keys")
+        F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("exact_id"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("size", "depth", "keys"))
     )
     classes = materialize(one, "classes")
-    places = candidates(classes)
-    routed = classes.drop("keys", "exact_id").join(places, "node")
-    measure = routed.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("all")).withColumn(
-        "blocks", F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    )
-    routed = materialize(routed.join(measure.select("place", "blocks"), "place"), "places")
+    shared = materialize(shared_prefixes(classes), "shared")
+    homes, pairs = blocks(shared, classes)
+    routed = classes.drop("exact_id", "size").join(homes, "node")
     # one text for each class; rows alike in identifier and text come more than once and are told apart later
     # (a merge join at any size, so that small inputs tell what large ones take)
-    texts = docs.select("row", "text").join(routed.hint("merge"), "row").select("node", "place", "blocks", "copies", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"), "text")
-    sets = texts.mapInArrow(_as_sets, "node long, place long, blocks int, copies long, block int, found binary")
-    across = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pairs = across.select("node", "place", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "found")
-    dealt = pairs.repartition(F.col("place"), F.col("low"), F.col("high")).sortWithinPartitions("place", "low", "high")
+    texts = docs.select("row", "text").join(routed.hint("merge"), "row").drop("row")
+    sets = texts.mapInArrow(_as_sets, "node long, copies long, depth int, keys array<long>, block long, found binary")
+    dealt = sets.join(pairs.hint("merge"), "block").repartition("low", "high").sortWithinPartitions("low", "high")
     compared = materialize(dealt.mapInArrow(_verify, "node long, root long, links long"), "links")
     totals = compared.groupBy("node").agg(F.sum("links").alias("links"))
     component = connected_components(compared.where("node <> root"), "node", "root")
@@ -262,6 +346,7 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     grown = grown.select("node", "exact_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     names = grown.groupBy("component").agg(F.min("exact_id").alias("class_id"))
     named = materialize(grown.join(names, "component").select("node", "class_id", "exact_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")), "named")
+    discard(classes, shared, homes, compared)
     found = signed.select("doc_id", "row", "node").join(named, "node", "left")
     alone = F.col("node").isNull()
     return found.select("doc_id", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("exact_id")).alias("exact_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
@@ -272,10 +357,10 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
 
     Rows without words stay. A class whose identifiers are all null keeps one row of each text.
     """
-    found = near_duplicates(df, text, doc_id)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("row").alias("__row")).distinct()
-    keyed = df.withColumn("__row", row_key(F.col(doc_id), F.col(text)))
-    kept = keyed.join(stays, "__row", "left_semi")
+    found, row = near_duplicates(df, text, doc_id), own_name(df, "row")
+    stays = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("row").alias(row)).distinct()
+    keyed = df.withColumn(row, row_key(F.col(doc_id), F.col(text)))
+    kept = keyed.join(stays, row, "left_semi")
     wordless = F.coalesce(F.col(text), F.lit("")).rlike(r"^\s*$")
-    once = kept.where(~wordless).dropDuplicates(["__row"])
-    return once.unionByName(kept.where(wordless)).drop("__row")
+    once = kept.where(~wordless).dropDuplicates([row])
+    return once.unionByName(kept.where(wordless)).drop(row)

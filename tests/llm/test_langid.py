@@ -1,4 +1,8 @@
-from orefield.llm.langid import UNKNOWN, Predictor, identify, train
+import itertools
+
+import numpy as np
+
+from orefield.llm.langid import GAP, PENALTY, UNKNOWN, Model, Predictor, _shares, identify, train
 from orefield.llm.queries import op5_language_mixture
 
 SF = "/root/testdata/sf0.01"
@@ -33,3 +37,31 @@ def test_frames(spark):
     assert sorted(r.lang_pred for r in got) == ["en", "en", "en", UNKNOWN, UNKNOWN]
     assert identify(df, train(labelled.limit(0))).where("lang_pred = 'und'").count() == 5
     assert identify(df.limit(0), train(labelled)).count() == 0
+
+
+def _grid(langs, steps):
+    return [np.array(x) / steps for x in itertools.product(range(steps + 1), repeat=langs) if sum(x) == steps]
+
+
+def test_mixtures_against_a_grid_of_all_shares():
+    """Expectation-maximisation and the choice of a set, against every mixture of a grid and every set."""
+    rng = np.random.default_rng(3)
+    grid = np.stack(_grid(3, 60))
+    for words in (3, 20, 80):
+        like = np.exp(rng.normal(0, 2, (3, words)))
+        like /= like.max(0)
+        weights = rng.integers(1, 5, words).astype(float)
+        share, value = _shares(like, weights, np.array([0]), np.zeros(words, int), np.ones((3, 1)))
+        all_values = np.log(grid @ like) @ weights
+        assert all_values.max() - GAP - 1e-9 <= value[0] and abs(share.sum() - 1) < 1e-9
+        chosen = Predictor(Model(list("abc"), np.zeros((1, 3))))._choose(np.log(like), weights, np.array([0]), np.zeros(words, int))[:, 0]
+        cost = PENALTY * np.log(weights.sum() + 1)
+        penalised = all_values - cost * ((grid > 0).sum(1) - 1)
+        own = np.log(np.maximum(chosen @ like, 1e-300)) @ weights - cost * ((chosen > 1e-9).sum() - 1)
+        assert own >= penalised.max() - GAP - 1e-9
+
+
+def test_only_letters_count_and_ties_are_alphabetical(spark):
+    model = train(spark.createDataFrame([("aaa bbb", "x"), ("aaa bbb", "w"), ("zzz yyy", "v")], "text string, lang string"))
+    got = Predictor(model).predict(["½ ² 3 _ %", "aaa", "12aaa34"])
+    assert [g[0] for g in got] == [UNKNOWN, "w", "w"] and got[0][1] == 0

@@ -61,6 +61,7 @@ def test_group_larger_than_a_block(spark, monkeypatch):
         for _ in range(rng.randint(0, 6)):
             words[rng.randrange(150)] = f"x{rng.randrange(9)}"
         rows.append((k, " ".join(words)))
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 40)
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert {r.doc_id: (r.class_id, r.exact_id, r.n_links) for r in got} == brute(rows)
 
@@ -77,14 +78,53 @@ def test_frames(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0 and neardup.keep_one(df.limit(0)).count() == 0
 
 
-def test_prefix_reaches_the_target():
-    d = neardup.prefix_depth()
-    assert neardup.recall(d) >= neardup.TARGET_RECALL > neardup.recall(d + 1)
+def test_prefixes_are_shortened_until_the_target():
+    for size in (4, 5, 6, 9, 30, 64, 5000):
+        d, s = neardup.prefix_depth(min(size, 64)), neardup.least_similarity(min(size, 64))
+        assert neardup.recall(d, s) >= neardup.TARGET_RECALL
+        assert d == neardup.DEPTH or neardup.recall(d + 1, s) < neardup.TARGET_RECALL
+    assert neardup.prefix_depth(64) == 6 < neardup.prefix_depth(6)
+    assert neardup.prefix_depth(3) > neardup.DEPTH and neardup.least_similarity(3) is None
+    assert all(neardup.least_similarity(n) >= 0.8 for n in range(4, 80))
+
+
+def test_chain_is_compared_along_its_links_only(spark, monkeypatch):
+    """A long chain, where each text is like the next one but not like those further on, needs few pairs of blocks."""
+    monkeypatch.setattr(neardup, "BLOCK_CLASSES", 8)
+    rng = random.Random(5)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(2000)]
+    rows = [(k, " ".join(words[12 * k : 12 * k + 160])) for k in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.exact_id, r.n_links) for r in neardup.near_duplicates(df).collect()}
+    wanted = brute(rows)
+    assert {k: v[2] for k, v in got.items()} == {k: v[2] for k, v in wanted.items()} and got == wanted
+    assert sum(v[2] for v in got.values()) >= 298
+
+
+def test_any_partitions_give_the_same(spark):
+    rng = random.Random(8)
+    stem = [f"w{rng.randrange(90)}" for _ in range(80)]
+    rows = [(k, " ".join(w if rng.random() > 0.02 else f"y{rng.randrange(50)}" for w in stem)) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [sorted(map(tuple, neardup.near_duplicates(df.repartition(n)).drop("row").collect())) for n in (1, 13)]
+    assert found[0] == found[1] and {(d, c, e, n) for d, c, e, n, _ in found[0]} == {(k, *v) for k, v in brute(rows).items()}
+
+
+def test_recall_by_similarity():
+    """Share of pairs that share a long enough prefix, by similarity; the README has these figures."""
+    rng, forest = np.random.default_rng(4), neardup.Forest()
+    for both, other, least in ((800, 100, 0.97), (848, 76, 0.99), (900, 50, 0.995)):  # similarities 0.8, 0.85, 0.9
+        hits = 0
+        for _ in range(150):
+            x = rng.integers(0, 1 << 63, both + 2 * other).astype(np.uint64)
+            keys = np.stack([forest.keys(x[: both + other]), forest.keys(np.concatenate([x[:both], x[both + other :]]))])
+            hits += bool(neardup.candidates((keys[:1], keys[1:]), (np.array([6], np.int32), np.array([6], np.int32)))[0, 0])
+        assert hits / 150 >= least
 
 
 def test_signature_estimates_similarity():
     rng = np.random.default_rng(1)
-    forest = neardup.Forest(neardup.prefix_depth())
+    forest = neardup.Forest()
     a = rng.integers(0, 1 << 63, 500).astype(np.uint64)
     b = np.concatenate([a[:400], rng.integers(0, 1 << 63, 100).astype(np.uint64)])
     assert abs((forest.signature(a) == forest.signature(b)).mean() - 400 / 600) < 0.12
