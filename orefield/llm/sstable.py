@@ -12,23 +12,23 @@ Shard layout, integers little-endian:
   footer   u64 index offset, u32 index size, u64 filter offset, u32 filter size, u64 documents, u64 ids, 8 bytes magic
 
 Defined results: null text counts as empty, so its document has only the end id; rows of the same identifier are all
-kept, next to each other, in an order given by their text; a null identifier comes before all others; an empty table
-gives no shard and no rows.
+kept, next to each other, in an order given by their text (and the same ids where that is the same); a null identifier comes before all others; an empty table
+gives no shard and no rows; a very long text is one entry of a block of its own; other columns are not read.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import struct
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyarrow import fs as pafs
@@ -38,7 +38,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from orefield.llm.common import CACHE_ENTRIES, materialize, scratch
+from orefield.llm import words
+from orefield.llm.bpe import byte_alphabet
+from orefield.llm.common import kept_by_worker, materialize, scratch, slices
 
 MAGIC = b"ORESST01"
 FOOTER = struct.Struct("<QIQIQQ8s")
@@ -46,52 +48,60 @@ ENTRY = struct.Struct("<HHI")
 #: A block is closed once its entries take this many bytes.
 BLOCK_BYTES = 1 << 18
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
-ROWS_PER_BATCH = 512
-MISSES_AT_ONCE = 4096
-SENTENCE_MARKS = frozenset(".,;:!?")
+ROWS_PER_BATCH = 8192
+PIECES_AT_ONCE = 16_384
 
 
-class WordIds(dict):
-    """Ids of words, each encoded by the tokenizers library once while it stays in this memo of bounded size."""
+class WordIds:
+    """Ids of whole texts, for files that drop white space and cut at it.
+
+    Such a file's pieces never span a blank or a line break, and its normaliser changes no character across one, so a
+    text's ids are those of its words. Of each batch the library gets every different piece of a word once.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-
-    def encode_texts(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of whole texts, for files that drop white space and cut at it.
-
-        Such a file's pieces never span a blank or a line break, and its normaliser changes no character across one,
-        so a text's ids are those of its parts between blanks and line breaks.
-        """
-        parts = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = {w for words in parts for w in words if w not in self}
-        if len(self) + 2 * len(new) > CACHE_ENTRIES:
-            self.clear()
-            new = {w for words in parts for w in words}
-        cut = {w: self._cut(w) for w in new}
-        cores = list({c for core, mark in cut.values() for c in (core, mark) if c not in self})
-        for at in range(0, len(cores), MISSES_AT_ONCE):
-            some = cores[at : at + MISSES_AT_ONCE]
-            for w, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False)):
-                self[w] = array("I", e.ids).tobytes()
-        for w, (core, mark) in cut.items():
-            self[w] = self[core] + self[mark]
-        return [b"".join(map(self.__getitem__, words)) for words in parts]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        # the merges alone, for pieces that need neither normalising nor cutting
+        self.merges = Tokenizer.from_str(json.dumps({**spec, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "truncation": None, "padding": None}))
+        shown = {b: c for c, b in byte_alphabet().items()}
+        self.as_bytes = {c: "".join(shown[b] for b in chr(c).encode()) for c in range(0x80, 0x100)}
+
+    def encode_texts(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Packed ids of each text."""
+        found = words.split_words(texts, " \n\t")
+        codes, pieces = words.parts(found.words)
+        # the file encodes in lower case, and these letters have theirs whatever stands beside them in such a piece
+        low = pc.if_else(pc.match_substring_regex(pieces, words.LATIN), pc.utf8_lower(pieces), pieces).dictionary_encode()
+        codes, pieces = low.indices.take(codes), low.dictionary
+        bare = pc.match_substring_regex(pieces, words.BARE)
+        order = np.argsort(~np.asarray(bare), kind="stable")
+        n = pc.sum(bare).as_py() or 0
+        sorted_pieces = pieces.take(pa.array(order))
+        ids = self._of(self.merges, "\n".join(sorted_pieces[:n].to_pylist()).translate(self.as_bytes).split("\n") if n else [])
+        ids += self._of(self.library, sorted_pieces[n:].to_pylist())
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        of_words = words.assembled(words.packed(ids).take(pa.array(place)), codes, words.every(3, len(found.words)))
+        return words.assembled(of_words, found.codes, found.starts).to_pylist()
 
     @staticmethod
-    def _cut(word: str) -> tuple[str, str]:
-        """A word in the case that it is encoded in, and a mark after it: pieces of their own, so encoded apart."""
-        core, mark = (word[:-1], word[-1:]) if word[-1:] in SENTENCE_MARKS and word[:-1].isalpha() else (word, "")
-        return (core.lower() if core.isascii() and "<" not in core else core), mark
+    def _of(library: Tokenizer, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(pieces), PIECES_AT_ONCE):
+            some = pieces[at : at + PIECES_AT_ONCE]
+            e = library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids, ends = np.array(e.ids, "<u4").tobytes(), np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1)) * 4
+            out += [ids[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
+        return out
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str) -> WordIds:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    return WordIds(path)
+    return kept_by_worker(f"word ids of {path}", lambda: WordIds(path))
 
 
 def key_bytes(doc_id: int | None) -> bytes:
@@ -215,7 +225,8 @@ def write_shards(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
     """
     folder = folder or scratch(df.sparkSession, "sstable")
     rows = df.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(text, F.lit("")).alias("text"))
-    ordered = rows.repartitionByRange(F.col("key").asc_nulls_first()).sortWithinPartitions(F.col("key").asc_nulls_first(), F.col("text"))
+    keys = [F.col("key").asc_nulls_first(), F.xxhash64("text")]  # rows of one identifier may fill more than one shard
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -224,14 +235,12 @@ def write_shards(df: DataFrame, path: str, end_id: int, doc_id: str = "doc_id",
         place = f"{base}/shard-{shard:06d}-{task.taskAttemptId()}.sst"
         own, writer = word_ids(path), None
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_PER_BATCH):
-                part = batch.slice(at, ROWS_PER_BATCH)
-                if writer is None:
-                    fs.create_dir(base, recursive=True)
-                    writer = ShardWriter(fs.open_output_stream(place))
-                for key, ids in zip(part.column("key").to_pylist(), own.encode_texts(part.column("text").to_pylist())):
-                    writer.add(key_bytes(key), ids + end)
+        for part in slices(batches, "text", rows=1 << 16, most=32 << 20):  # the more at once, the fewer pieces are met again
+            if writer is None:
+                fs.create_dir(base, recursive=True)
+                writer = ShardWriter(fs.open_output_stream(place))
+            for key, ids in zip(part.column("key").to_pylist(), own.encode_texts(part.column("text"))):
+                writer.add(key_bytes(key), ids + end)
         if writer:
             writer.close()
             writer.out.close()
@@ -264,7 +273,7 @@ def read_shards(shards: DataFrame) -> DataFrame:
                     n = len(ids) // 4
                     out.append((key_value(key), at, n, zlib.crc32(ids)))
                     at += n
-                    if len(out) == ROWS_PER_BATCH * 16:
+                    if len(out) == ROWS_PER_BATCH:
                         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], schema=DOCS)
                         out = []
                 if out:
