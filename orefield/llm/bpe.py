@@ -1,13 +1,14 @@
 """BPE encoding and decoding as a bounded-lookahead streaming transducer.
 
 A byte-level BPE tokenizer file gives a vocabulary and an ordered merge list. `MergeTable.lookahead` is the number of
-bytes to the right of a token boundary that can still change it, computed from the merge list. The transducer keeps
-one token per byte position (the last token of that prefix's encoding) over a window of that size, and hands a token
+bytes to the right of a token boundary that can still change it, computed from the merge list. Every piece goes
+through the transducer, with a memo of pieces before it. It keeps one token per byte position (the last token of that prefix's encoding) over a window of that size, and hands a token
 on once that many bytes after it have been read. Decoding maps ids to bytes and feeds an incremental UTF-8 decoder.
 
 Defined results: a null text counts as empty and has no ids and an empty decoded text; special tokens in a text become
 their own ids, as in the tokenizers library; repeated rows are each encoded; other columns are kept, and an output
-column that has the name of an input column takes its place.
+column that has the name of an input column takes its place; a text of any length, and a piece of any length, is
+encoded whole, a part at a time; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ import json
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from orefield.llm.common import CACHE_ENTRIES
+from orefield.llm import words
+from orefield.llm.common import CACHE_ENTRIES, kept_by_worker, slices
 
 #: Fixed value: the split pattern of byte-level BPE files that name no pattern of their own.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -35,10 +37,10 @@ HOLD = 3
 #: A piece longer than this many characters is fed to the transducer part by part.
 LONG_PIECE = 4096
 FEED = 1 << 16
-ROWS_PER_BATCH = 512
-SENTENCE_MARKS = frozenset(".,;:!?")
-#: White space other than blanks and line feeds.
-RARE_SPACE = re.compile(r"[^\S \n]")
+#: Pairs of tokens (two numbers each) of which a worker remembers whether they can be neighbours.
+FITS_ENTRIES = 400_000
+#: White space that a text can't be cut at word by word: at its ends, next to other white space, or rare.
+ODD = "  |\n | \n|^[ \n]|[ \n]$|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -143,7 +145,7 @@ class MergeTable:
         key = a << 32 | b
         known = self._fits.get(key)
         if known is None:
-            if len(self._fits) >= CACHE_ENTRIES:
+            if len(self._fits) >= FITS_ENTRIES:
                 self._fits.clear()
             known = self._fits[key] = self._never_joined(a, b)
         return known
@@ -165,52 +167,44 @@ class MergeTable:
                 right_until, b = rb, parts[b][1]
 
 
-    def whole(self, piece: bytes) -> list[int]:
-        """What PieceTransducer gives for a short piece that is here at once; nothing need be handed on early."""
-        step, ends_at, known, fits = self.step.get, self.ends_at, self._fits.get, self.fits
-        last = [-1]
-        for end in range(1, len(piece) + 1):
-            node, start, found = 0, end, -2
-            while start and (node := step(node << 8 | piece[start - 1])):
-                start -= 1
-                token = ends_at[node]
-                if token >= 0 and (before := last[start]) != -2:
-                    if before == -1 or (ok := known(before << 32 | token)) or (ok is None and fits(before, token)):
-                        found = token
-                        break
-            last.append(found)
-        out, end, bytes_of = [], len(piece), self.bytes_of
-        while end:
-            out.append(last[end])
-            end -= len(bytes_of[last[end]])
-        return out[::-1]
-
-
 class PieceTransducer:
-    """Encodes one piece that arrives in parts; holds no more than a window of lookahead + longest token positions."""
+    """Encodes one piece, whole or in parts, then the next; holds a window of some lookahead + longest token positions.
+
+    A token is out once `lookahead` bytes after it are here. That is looked at once the window is half full of such
+    tokens, or at the piece's end, so a piece within one window is handed on at its end.
+    """
 
     def __init__(self, table: MergeTable):
         self.table = table
-        self.data = bytearray()  # bytes from position self.base on
-        self.last: list[int] = [-1]  # last token of the prefix that ends at base, base + 1, ...
-        self.base = 0  # all tokens up to here are out
+        self.window = 2 * (table.lookahead + table.longest)
+        self.data = bytearray()  # bytes that no token handed on covers
+        self.last: list[int] = [-1]  # last token of the prefix that ends before data, after its first byte, ...
 
     def feed(self, part: bytes) -> list[int]:
-        table, data, last = self.table, self.data, self.last
-        step, ends_at, fits = table.step.get, table.ends_at, table.fits
-        for byte in part:
-            data.append(byte)
-            node, start, found = 0, len(data), -2
+        out: list[int] = []
+        for at in range(0, len(part), self.window):
+            self._read(part[at : at + self.window])
+            if len(self.data) >= self.window:
+                out += self._emit(len(self.data) - self.table.lookahead)
+        return out
+
+    def _read(self, part: bytes) -> None:
+        table, data, last, end = self.table, self.data, self.last, len(self.data)
+        step, ends_at, known, fits = table.step.get, table.ends_at, table._fits.get, table.fits
+        data += part
+        for end in range(end + 1, len(data) + 1):
+            node, start, found = 0, end, -2
             while start and (node := step(node << 8 | data[start - 1])):
                 start -= 1
                 token = ends_at[node]
-                if token >= 0 and (before := last[start]) != -2 and (before == -1 or fits(before, token)):
-                    found = token
-                    break
+                if token >= 0 and (before := last[start]) != -2:
+                    if before == -1 or (ok := known(before << 32 | token)) or (ok is None and fits(before, token)):
+                        found = token
+                        break
             last.append(found)
-        if len(data) < 2 * (table.lookahead + table.longest):
-            return []
-        return self._emit(len(data) - table.lookahead)
+
+    def encode(self, piece: bytes) -> list[int]:
+        return self.feed(piece) + self.flush()
 
     def _path(self) -> list[tuple[int, int]]:
         path, end = [], len(self.data)
@@ -246,21 +240,19 @@ class StreamingEncoder:
 
     def __init__(self, table: MergeTable, memo: dict[str, bytes] | None = None):
         self.table, self.memo = table, {} if memo is None else memo
-        self.buffer = ""
+        self.buffer, self.own = "", PieceTransducer(table)
         self.long: tuple[PieceTransducer, regex.Pattern] | None = None
         self.split = regex.compile(SPLIT)
         self.kinds = [regex.compile(x) for x in (r"\p{L}+", r"\p{N}+", r"\s+", r"[^\s\p{L}\p{N}]+")]
 
-    def _piece(self, piece: str) -> bytes:
+    def piece(self, piece: str) -> bytes:
         out = self.memo.get(piece)
         if out is None:
-            if len(self.memo) >= CACHE_ENTRIES:
-                self.memo.clear()
+            out = array("i", self.own.encode(piece.encode())).tobytes()
             if len(piece) <= 64:
-                out = self.memo[piece] = array("i", self.table.whole(piece.encode())).tobytes()
-            else:
-                t = PieceTransducer(self.table)
-                out = np.asarray(t.feed(piece.encode()) + t.flush(), np.int32).tobytes()
+                if len(self.memo) >= CACHE_ENTRIES:
+                    self.memo.clear()
+                self.memo[piece] = out
         return out
 
     def _go_on(self, final: bool) -> list[int]:
@@ -294,7 +286,7 @@ class StreamingEncoder:
             for m in self.split.finditer(self.buffer):
                 if m.end() > sure or (m.end() == len(self.buffer) and not final):
                     break
-                yield self._piece(m.group())
+                yield self.piece(m.group())
                 start = m.end()
             self.buffer = self.buffer[start:]
             if final or len(self.buffer) <= LONG_PIECE:
@@ -315,60 +307,48 @@ class StreamingEncoder:
         return b"".join(out)
 
 
-class _SpacedWords(dict):
-    """Memo of ' word' -> packed ids for words with no white space at either end."""
-
-    def __init__(self, encoder: StreamingEncoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, word: str) -> bytes:
-        if len(word) > 64:
-            return self.encoder.encode(" " + word)
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if word.isalpha():  # one piece
-            out = array("i", self.encoder.table.whole((" " + word).encode())).tobytes()
-        elif word[-1] in SENTENCE_MARKS and word[:-1].isalpha():  # two pieces
-            out = self[word[:-1]] + self.encoder._piece(word[-1])
-        else:
-            out = self.encoder.encode(" " + word)
-        self[word] = out
-        return out
-
-
 class Codec:
     """Encoder and decoder of one tokenizer file, with memos of bounded size."""
 
     def __init__(self, path: str):
         self.table = MergeTable(path)
         self.encoder = StreamingEncoder(self.table)
-        self.words = _SpacedWords(StreamingEncoder(self.table, self.encoder.memo))
+        special = "|".join(map(re.escape, self.table.specials))
+        self.apart = f"{ODD}|{special}" if special else ODD
 
-    def _plain(self, text: str) -> bytes:
-        """Ids of a text without special tokens.
+    def encode_texts(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text.
 
-        A space between two characters that aren't white space always begins a piece, so a text whose spaces all
-        stand so is encoded word by word through the memo; any other goes through the transducer whole.
+        A space between two characters that aren't white space always begins a piece, so a text whose spaces all stand
+        so is encoded word by word, each different piece of a batch once. Others go through the transducer one by one.
         """
-        if "  " in text or "\n " in text or " \n" in text or text[0].isspace() or text[-1].isspace() or RARE_SPACE.search(text):
-            return self.encoder.encode(text)
-        first, *rest = text.split(" ")
-        return self.encoder.encode(first) + b"".join(map(self.words.__getitem__, rest))
+        texts = pc.fill_null(texts, "")
+        odd = np.asarray(pc.match_substring_regex(texts, self.apart))
+        found = words.split_words(texts.filter(pa.array(~odd)))
+        codes, pieces = words.parts(found.words, " ")
+        single = pc.match_substring_regex(pieces, words.ONE_PIECE)
+        ids = [self.encoder.piece(p) if one else self.encoder.encode(p) if p else b"" for p, one in zip(pieces.to_pylist(), single.to_pylist())]
+        of_words = words.assembled(words.packed(ids), codes, words.every(3, len(found.words)))
+        # a text's first word has no blank before it
+        firsts = found.words.take(found.codes.take(pa.array(found.starts[:-1]))).to_pylist()
+        bounds = np.stack([found.starts[:-1] + 1, found.starts[1:]], 1).ravel()
+        rest = words.assembled(of_words, found.codes, np.append(bounds, found.starts[-1]))[::2].to_pylist() if firsts else []
+        plain = (self.encoder.encode(a) + b for a, b in zip(firsts, rest))
+        return [self.encode(t.as_py()) if o else np.frombuffer(next(plain), np.int32) for t, o in zip(texts, odd)]
 
     def encode(self, text: str) -> np.ndarray:
         special = self.table.special_pattern
         if not special or not special.search(text):
-            packed = self._plain(text) if text else b""
+            packed = self.encoder.encode(text) if text else b""
         else:
             parts, at = [], 0
             for m in special.finditer(text):
                 if m.start() > at:
-                    parts.append(self._plain(text[at : m.start()]))
+                    parts.append(self.encoder.encode(text[at : m.start()]))
                 parts.append(np.int32(self.table.specials[m.group()]).tobytes())
                 at = m.end()
             if at < len(text):
-                parts.append(self._plain(text[at:]))
+                parts.append(self.encoder.encode(text[at:]))
             packed = b"".join(parts)
         return np.frombuffer(packed, np.int32)
 
@@ -384,9 +364,8 @@ class Codec:
         return "".join(out)
 
 
-@lru_cache(maxsize=4)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return kept_by_worker(f"codec of {path}", lambda: Codec(path))
 
 
 def _with(batch: pa.RecordBatch, **columns: pa.Array) -> pa.RecordBatch:
@@ -404,19 +383,13 @@ def _ids_array(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
 
 
-def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROWS_PER_BATCH):
-            yield batch.slice(at, ROWS_PER_BATCH)
-
-
 def encode_documents(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, drop_text: bool = False) -> DataFrame:
     """Add the ids of `text` as array<int>; with `decoded`, also the text that these ids decode to."""
 
     def run(batches):
         own = codec(path)
-        for batch in _slices(batches):
-            encoded = [own.encode(t or "") for t in batch.column(text).to_pylist()]
+        for batch in slices(batches, text, rows=1 << 16, most=32 << 20):  # the more at once, the fewer pieces are met again
+            encoded = own.encode_texts(batch.column(text))
             columns = {ids: _ids_array(encoded)}
             if decoded:
                 columns[decoded] = pa.array([own.decode(x) for x in encoded], pa.string())
@@ -433,7 +406,7 @@ def decode_documents(df: DataFrame, path: str, ids: str = "ids", text: str = "de
 
     def run(batches):
         own = codec(path)
-        for batch in _slices(batches):
+        for batch in batches:
             yield _with(batch, **{text: pa.array([own.decode(x or []) for x in batch.column(ids).to_pylist()], pa.string())})
 
     return df.mapInArrow(run, _schema(df, [], **{text: T.StringType()}))

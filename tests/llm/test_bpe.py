@@ -1,12 +1,15 @@
 import hashlib
+import itertools
+import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 from tokenizers import Tokenizer
 
-from orefield.llm.bpe import StreamingEncoder, codec, decode_documents, encode_documents
+from orefield.llm.bpe import MergeTable, PieceTransducer, StreamingEncoder, codec, decode_documents, encode_documents
 
 PATH = P.path("byte_bpe_50k.json")
 BITS = ["a", "b", " ", "  ", "\n", "'s", "'", "re", "é", "日本", "1", "23", "!!", "<|endoftext|>", "the", "\t", "́", "𝒳", "-", "----", "\x1c", "\xa0", "'ll", " hello"]
@@ -81,3 +84,47 @@ def test_query_matches_library(spark, library):
         ids = library.encode(docs[r.doc_id], add_special_tokens=False).ids
         assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
         assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_batches_of_texts_match_library(library):
+    own, rng = codec(PATH), random.Random(6)
+    texts = ["".join(rng.choice(BITS) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    texts += [" ".join(rng.choice(["(word)", "a", "12", "it's", "é!", "#x", "日本", "²", "a\nb", "don't?"]) for _ in range(rng.randint(0, 12))) for _ in range(1500)]
+    for text, ids in zip([*texts, None], own.encode_texts(pa.array([*texts, None]))):
+        assert ids.tolist() == library.encode(text or "", add_special_tokens=False).ids, repr(text)
+
+
+@pytest.mark.parametrize("merges", ["a b;b a;ab a;c c;b c;ab c;cc a;a cc", "b c;a b;c a;bc a;ab c;abc a", "a a;aa a;aa aa;a b;aa b;b aa"])
+def test_lookahead_is_sufficient_for_every_text(tmp_path, merges):
+    """All texts of up to nine letters: no token that lies `lookahead` before the end changes, whatever follows; and
+    some token does change within it, so that tokens can't be handed on at once."""
+    vocab = {c: k for k, c in enumerate(["a", "b", "c", *(m.replace(" ", "") for m in merges.split(";"))])}
+    path = tmp_path / "toy.json"
+    path.write_text(json.dumps({"added_tokens": [], "model": {"vocab": vocab, "merges": merges.split(";")}}))
+    table, changed = MergeTable(str(path)), 0
+    for size in range(1, 8):
+        for letters in itertools.product(b"abc", repeat=size):
+            now = table.greedy(bytes(letters))
+            sure, end = [], 0
+            for token in now:
+                end += len(table.bytes_of[token])
+                if end <= size - table.lookahead:
+                    sure.append(token)
+            for more in itertools.product(b"abc", repeat=2):
+                later = table.greedy(bytes([*letters, *more]))
+                assert later[: len(sure)] == sure
+                changed += later[: len(now)] != now
+            assert PieceTransducer(table).encode(bytes(letters)) == now
+    assert changed
+
+
+def test_tokens_leave_before_the_piece_ends(library):
+    table = codec(PATH).table
+    own, rng = PieceTransducer(table), random.Random(7)
+    piece = "".join(rng.choice(["the", "ing", "a", "x", "tion", "qu"]) for _ in range(2000)).encode()
+    early, most = [], 0
+    for at in range(0, len(piece), 50):
+        early += own.feed(piece[at : at + 50])
+        most = max(most, len(own.data))
+    assert len(early) > 1000 and most <= own.window + 50
+    assert early + own.flush() == table.greedy(piece) == library.encode(piece.decode(), add_special_tokens=False).ids
