@@ -59,8 +59,8 @@ MIX_TARGETS = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 
 
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, MIX_TARGETS).select("doc_id", "source", "lang", "mix_probability", "mix_weight")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mix(docs, MIX_TARGETS, keep_text=False).select("doc_id", "source", "lang", "mix_probability", "mix_weight")
 
 
 def op7_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
