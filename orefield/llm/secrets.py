@@ -7,7 +7,9 @@ words cover, whether it is part of a path, and the words around it. It is traine
 table of them, from findings made by `made_findings`, of known kinds of secrets and of look-alikes.
 
 Defined results: null and empty texts have no candidates; a candidate's `start` counts code points from 0; candidates
-without letters are no dictionary words; repeated rows each give their findings; an empty table gives none.
+without letters are no dictionary words; repeated rows each give their findings; a text or candidate of any length costs
+time in proportion to it; all other columns but the text are kept, and those named like an output are replaced; a score
+at the limit is a secret; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm.common import let, materialize
+from orefield.llm.common import let, materialize, own_name
 
 #: What keys and tokens are written in.
 CANDIDATE = r"[A-Za-z0-9_+/-]{16,}(?:\.[A-Za-z0-9_+/-]{6,})*={0,2}"
@@ -28,8 +30,8 @@ SECRET_WORDS = r"(?i)(token|secret|passw|pwd|api.?key|access.?key|auth|bearer|cr
 OTHER_WORDS = r"(?i)(commit|sha-?\d|md5|hash|digest|checksum|uuid|guid|revision|version|example|sample|placeholder|file|path|url|number|card|phone|serial)"
 ASSIGNED = r"[=:>]\s*['\"]?$"
 BEFORE, AFTER = 40, 24
-#: A dictionary word has 3 to 8 letters and occurs at least so often in the corpus.
-WORD_MIN, WORD_MAX, WORD_COUNT = 3, 8, 20
+#: A dictionary word has at least so many letters and occurs at least so often in the corpus.
+WORD_MIN, WORD_COUNT = 3, 20
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 KINDS = len(LETTERS) + 2
 FEATURES = ("length", "pair_likelihood", "switches", "digits", "uppers", "distinct", "coverage", "in_path", "secret_near", "other_near", "assigned", "quoted")
@@ -39,23 +41,44 @@ LIMIT = 0.5
 MADE_PER_KIND = 250
 
 
+#: Lengths are summed up in stretches of so many, so that many candidates don't each add up all before them.
+STRETCH = 256
+
+
+def _sum(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0), lambda a, b: a + b)
+
+
+def _before(sizes: Column, stretches: Column, i: Column) -> Column:
+    """The sum of the first i sizes; stretches: _stretches(sizes)."""
+    whole = F.floor(i / STRETCH).cast("int")
+    return F.get(stretches, whole) + _sum(F.slice(sizes, whole * STRETCH + 1, i - whole * STRETCH))
+
+
+def _stretches(sizes: Column) -> Column:
+    """The sums of the sizes before each stretch."""
+    n = F.floor(F.size(sizes) / STRETCH).cast("int")
+    each = F.transform(F.sequence(F.lit(0), n), lambda k: _sum(F.slice(sizes, k * STRETCH + 1, F.lit(STRETCH))))
+    return let(each, lambda e: F.transform(F.sequence(F.lit(0), n), lambda k: _sum(F.slice(e, F.lit(1), k))))
+
+
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
     """One row per candidate: df's columns but its text, and ordinal, start, value, before, after."""
-    kept = [c for c in df.columns if c not in (text, "ordinal", "start", "value", "before", "after")]
-    found = df.where(F.col(text).rlike(CANDIDATE)).select(*(F.col(f"`{c}`") for c in kept), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("__c"), F.split(text, CANDIDATE, -1).alias("__p"))
-    placed = found.withColumn("__s", F.transform("__p", F.length)).withColumn("__t", F.transform("__c", F.length))
-    upto = lambda sizes, n: F.aggregate(F.slice(sizes, 1, n), F.lit(0), lambda a, b: a + b)
-    spot = lambda c, i: F.struct(
-        i.alias("ordinal"), (upto("__s", i + 1) + upto("__t", i)).alias("start"), c.alias("value"),
-        F.right(F.get("__p", i), F.lit(BEFORE)).alias("before"), F.left(F.get("__p", i + 1), F.lit(AFTER)).alias("after"),
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (text, "ordinal", "start", "value", "before", "after")]
+    c, p, s, t = (own_name(df, n) for n in ("found", "between", "sizes", "sums"))
+    found = df.where(F.col(text).rlike(CANDIDATE)).select(*kept, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias(c), F.split(text, CANDIDATE, -1).alias(p))
+    placed = found.withColumn(s, F.zip_with(c, F.slice(p, F.lit(1), F.size(c)), lambda x, y: F.length(x) + F.length(y))).withColumn(t, _stretches(F.col(s)))
+    spot = lambda x, i: F.struct(
+        i.alias("ordinal"), (_before(F.col(s), F.col(t), i) + F.length(F.get(p, i))).alias("start"), x.alias("value"),
+        F.right(F.get(p, i), F.lit(BEFORE)).alias("before"), F.left(F.get(p, i + 1), F.lit(AFTER)).alias("after"),
     )
-    hit = lambda s: s["value"].rlike(r"\d") | (s["before"].rlike(SECRET_WORDS) & s["before"].rlike(ASSIGNED))
-    return placed.select(*(F.col(f"`{c}`") for c in kept), F.inline(F.filter(F.transform("__c", spot), hit)))
+    hit = lambda x: x["value"].rlike(r"\d") | (x["before"].rlike(SECRET_WORDS) & x["before"].rlike(ASSIGNED))
+    return placed.select(*kept, F.inline(F.filter(F.transform(c, spot), hit)))
 
 
 def dictionary(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n): words of the corpus, lower case. Counted in each task before the shuffle."""
-    words = df.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where(F.length("word").between(WORD_MIN, WORD_MAX))
+    words = df.select(F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("word")).where(F.length("word") >= WORD_MIN)
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= WORD_COUNT)
 
 
@@ -79,7 +102,7 @@ def featured(found: DataFrame, words: DataFrame, likelihoods: list[float]) -> Da
     value, size = F.col("value"), F.length("value")
     low = F.lower(value)
     table = F.array(*map(F.lit, likelihoods))
-    kinds = F.transform(F.sequence(F.lit(1), size), lambda i: _kind(F.substring(low, i, F.lit(1))))
+    kinds = F.transform(F.split(low, ""), _kind)
     pair = lambda k: F.transform(F.sequence(F.lit(0), F.size(k) - 2), lambda i: F.get(table, F.get(k, i) * KINDS + F.get(k, i + 1)))
     mean = let(kinds, lambda k: F.aggregate(pair(k), F.lit(0.0), lambda a, b: a + b) / F.greatest(F.size(k) - 1, F.lit(1)))
     without = lambda pattern: size - F.length(F.regexp_replace(value, pattern, ""))
@@ -87,7 +110,7 @@ def featured(found: DataFrame, words: DataFrame, likelihoods: list[float]) -> Da
     # a value's cover depends on the value alone, so values and not rows are joined with the dictionary
     parts = found.select("value").distinct().withColumn("word", F.explode(runs))
     cover = parts.join(words.select("word"), "word").groupBy("value").agg(F.sum(F.length("word")).alias("__cover"))
-    joined = found.join(cover, "value", "left")
+    joined = found.drop("__cover", *FEATURES).join(cover, "value", "left")
     return joined.withColumns({
         "length": size.cast("double"),
         "pair_likelihood": mean,
@@ -165,5 +188,9 @@ def scan(df: DataFrame, text: str = "text", findings: DataFrame | None = None) -
     words = materialize(dictionary(df, text), "dictionary")
     likelihoods = pair_likelihoods(words)
     model = train(made_findings(df.sparkSession) if findings is None else findings, words, likelihoods)
-    found = materialize(candidates(df, text), "candidates")
-    return scored(found, model, words, likelihoods)
+    made = ("ordinal", "start", "value", "before", "after", "score", "is_secret")
+    kept = [c for c in df.columns if c not in (text, *made)]
+    # as one column, so that no name of df's meets a feature's
+    found = candidates(df.select(F.struct(*(F.col(f"`{c}`") for c in kept), F.lit(0).alias(own_name(df, "none"))).alias("row"), text), text)
+    out = scored(materialize(found, "candidates"), model, words, likelihoods)
+    return out.select(*(F.col("row").getField(c).alias(c) for c in kept), *made)
