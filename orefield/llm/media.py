@@ -1,13 +1,14 @@
 """Media columns: a Spark data source over archives of images.
 
 Writing packs each text's bytes as an 8-bit grey image (PNG, 192 samples a row) into zip archives. The data source
-`media_archive` reads them back. It plans partitions by byte range: it reads no member and no directory while planning,
-only each archive's last bytes, which say where its directory is; a task then reads that directory, takes the members
-that begin in its range, and streams their payloads in Arrow batches. A member that can't be read is tried again by
+`media_archive` reads them back. Its partitions are byte ranges of archives. The ranges are planned by tasks and written as
+a table (path, range, where the archive's directory is); the driver lists that table's files only. A task then reads the
+directory, takes the members that begin in its ranges, and streams their payloads in Arrow batches. A member that can't be read is tried again by
 its own offset, without those around it; one that stays broken is a row with its error instead of a lost partition.
 
 Defined results: null text counts as empty, which is one row of blanks; equal texts give equal files; a null identifier
-is kept; rows alike are stored each; an empty table gives no archive and no rows.
+is kept; rows alike are stored each; a very long text is one image of many rows, and a batch of its own; other columns
+are not read; an empty table gives no archive and no rows.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from orefield.llm.common import materialize, scratch
+from orefield.llm.common import materialize, scratch, slices
 
 #: Fixed values of the PNG and zip formats.
 PNG_HEAD = b"\x89PNG\r\n\x1a\n"
@@ -120,8 +122,16 @@ def features(image: np.ndarray) -> str:
     return f"mean={flat.mean():.4f};std={flat.std():.4f};entropy={entropy:.4f};thumb={int(bits, 2):016x}"
 
 
+RANGES = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("directory", pa.int64()), ("directory_size", pa.int64())])
+
+
+def ranges_of(path: str, directory: int, directory_size: int, range_bytes: int = RANGE_BYTES) -> list[dict]:
+    """The byte ranges of an archive, as rows of a plan."""
+    return [{"path": path, "start": at, "end": min(directory, at + range_bytes), "directory": directory, "directory_size": directory_size} for at in range(0, max(directory, 1), range_bytes)]
+
+
 def write_archives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", folder: str | None = None) -> tuple[DataFrame, str]:
-    """Store each row's text; a table (path) of the archives that count, written once, and their folder.
+    """Store each row's text; a plan (RANGES) of the archives that count, written once, and their folder.
 
     A retried task writes under other names, and only names in that table are read.
     """
@@ -130,13 +140,21 @@ def write_archives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fo
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = pafs.FileSystem.from_uri(folder)
-        task, n, stream, archive, done = TaskContext.get(), 0, None, None, []
+        task, n, stream, archive, members = TaskContext.get(), 0, None, None, 0
+
+        def close() -> pa.RecordBatch:
+            directory = stream.tell()  # it comes after the last member, and before a record of fixed size
+            archive.close()
+            size = stream.tell() - directory - END_SIZE
+            stream.close()
+            return pa.RecordBatch.from_pylist(ranges_of(f"{folder}/{name}", directory, size), schema=RANGES)
+
         for batch in batches:
             for doc, value in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 if archive is None:
                     fs.create_dir(base, recursive=True)
-                    done.append(f"{base}/media-{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.zip")
-                    stream = fs.open_output_stream(done[-1])
+                    name = f"media-{task.partitionId():06d}-{task.taskAttemptId()}-{n:04d}.zip"
+                    stream = fs.open_output_stream(f"{base}/{name}")
                     archive, members = zipfile.ZipFile(stream, "w", zipfile.ZIP_STORED, allowZip64=False), 0
                 raw = value.encode("utf-8", "surrogatepass")
                 # the member's name has what the samples can't tell: the identifier and the length before padding
@@ -144,33 +162,41 @@ def write_archives(df: DataFrame, text: str = "text", doc_id: str = "doc_id", fo
                 archive.writestr(info, to_png(padded(raw)))
                 members += 1
                 if stream.tell() >= ARCHIVE_BYTES or members >= 60_000:
-                    archive.close()
-                    stream.close()
+                    yield close()
                     archive, n = None, n + 1
         if archive is not None:
-            archive.close()
-            stream.close()
-        if done:
-            yield pa.RecordBatch.from_pydict({"path": done})
+            yield close()
+
+    return materialize(rows.mapInArrow(run, PLAN), "archives"), folder
+
 
-    return materialize(rows.mapInArrow(run, "path string"), "archives"), folder
+PLAN = "path string, start long, end long, directory long, directory_size long"
+
+
+def plan(spark: SparkSession, folder: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The plan of all archives in a folder: Spark lists them, and tasks read their last bytes."""
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder).select(F.regexp_replace("path", "^file:/+", "file:///").alias("path"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                fs, own = pafs.FileSystem.from_uri(path)
+                with fs.open_input_file(own) as file:
+                    yield pa.RecordBatch.from_pylist(ranges_of(path, *directory_place(file), range_bytes), schema=RANGES)
+
+    return materialize(found.mapInArrow(run, PLAN), "plan")
 
 
 def stored(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Write df's texts as archives and read them back: read_archives() of what write_archives() made."""
-    written, folder = write_archives(df, text, doc_id)
-    names = [r["path"].rsplit("/", 1)[1] for r in written.toLocalIterator()]
-    return read_archives(df.sparkSession, folder, names)
+    return read_archives(write_archives(df, text, doc_id)[0])
 
 
 @dataclass
-class ByteRange(InputPartition):
-    folder: str
-    path: str
-    start: int
-    end: int
-    directory: int
-    directory_size: int
+class Share(InputPartition):
+    """A file of a plan: the byte ranges that one task reads."""
+
+    file: str
 
 
 @dataclass
@@ -181,10 +207,6 @@ class Member:
     crc: int
 
 
-def _fs(folder: str) -> pafs.FileSystem:
-    return pafs.FileSystem.from_uri(folder)[0]
-
-
 def directory_place(file) -> tuple[int, int]:
     """Where an archive's directory is, from its last bytes."""
     size = file.size()
@@ -229,32 +251,31 @@ def with_retries(fs: pafs.FileSystem, path: str, m: Member, tries: int = TRIES)
 
 
 class MediaReader(DataSourceReader):
-    def __init__(self, archives: list[tuple[str, str]], range_bytes: int):
-        self.archives, self.range_bytes = archives, range_bytes
+    def __init__(self, plan: str):
+        self.plan = plan
 
     def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for folder, path in self.archives:
-            with _fs(folder).open_input_file(path) as file:
-                place, size = directory_place(file)
-            out += [ByteRange(folder, path, at, min(place, at + self.range_bytes), place, size) for at in range(0, max(place, 1), self.range_bytes)]
-        return out or [ByteRange("", "", 0, 0, 0, 0)]
-
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
-        yield from read_range(partition)
-
-
-def read_range(p: ByteRange) -> Iterator[pa.RecordBatch]:
-    if not p.path:
-        return
-    fs = _fs(p.folder)
-    with fs.open_input_file(p.path) as file:
-        listed = [m for m in members_of(file.read_at(p.directory_size, p.directory)) if p.start <= m.offset < p.end]
+        fs, base = pafs.FileSystem.from_uri(self.plan)
+        root = self.plan.removesuffix(base)
+        return [Share(root + f.path) for f in sorted(fs.get_file_info(pafs.FileSelector(base)), key=lambda f: f.path) if f.path.endswith(".parquet")] or [Share("")]
+
+    def read(self, partition: Share) -> Iterator[pa.RecordBatch]:
+        if partition.file:
+            fs, path = pafs.FileSystem.from_uri(partition.file)
+            for r in pq.read_table(path, filesystem=fs).to_pylist():
+                yield from read_range(**r)
+
+
+def read_range(path: str, start: int, end: int, directory: int, directory_size: int) -> Iterator[pa.RecordBatch]:
+    """The members of an archive that begin in a byte range."""
+    fs, own = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(own) as file:
+        listed = [m for m in members_of(file.read_at(directory_size, directory)) if start <= m.offset < end]
     rows, size = [], 0
     for m in listed:
-        data, error = with_retries(fs, p.path, m)
+        data, error = with_retries(fs, own, m)
         _, doc, n = m.name.removesuffix(".png").split("/")
-        rows.append({"doc_id": int(doc) if doc else None, "n_bytes": int(n), "path": p.path, "offset": m.offset, "media": data, "error": error})
+        rows.append({"doc_id": int(doc) if doc else None, "n_bytes": int(n), "path": path, "offset": m.offset, "media": data, "error": error})
         size += m.size
         if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
             yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
@@ -268,8 +289,7 @@ SCHEMA = "doc_id long, n_bytes long, path string, offset long, media binary, err
 
 
 class MediaSource(DataSource):
-    """spark.read.format("media_archive").option("folder", ...).load(): every archive in the folder or, with option
-    `archives` (a table of folder and path as JSON lines), those named."""
+    """spark.read.format("media_archive").option("plan", folder of a written plan).load()"""
 
     @classmethod
     def name(cls) -> str:
@@ -279,40 +299,30 @@ class MediaSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        folder = self.options["folder"]
-        fs, base = pafs.FileSystem.from_uri(folder)
-        only = self.options.get("names")
-        names = set(only.split(",")) if only is not None else None
-        found = [f.path for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.path.endswith(".zip")]
-        kept = sorted(p for p in found if names is None or p.rsplit("/", 1)[1] in names)
-        return MediaReader([(folder, p) for p in kept], int(self.options.get("rangebytes", RANGE_BYTES)))
+        return MediaReader(self.options["plan"])
 
 
-def read_archives(spark: SparkSession, folder: str, names: list[str] | None = None) -> DataFrame:
+def read_archives(planned: DataFrame) -> DataFrame:
     """One row per member: identifier, length before padding, place, the stored bytes, and what went wrong if they're null.
 
-    The driver lists archives (each some tens of MB), not members.
+    planned: of write_archives() or plan(). Each of its files is one task's share.
     """
+    spark = planned.sparkSession
     spark.dataSource.register(MediaSource)
-    reader = spark.read.format("media_archive").option("folder", folder)
-    if names is not None:
-        reader = reader.option("names", ",".join(names))
-    return reader.load()
+    return spark.read.format("media_archive").option("plan", planned.written_to).load()
 
 
 def describe(media: DataFrame) -> DataFrame:
     """Decode the stored bytes and add payload (the samples) and feature."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH_ROWS):
-                part = batch.slice(at, BATCH_ROWS)
-                payload, feature = [], []
-                for data in part.column("media").to_pylist():
-                    image = from_png(data) if data is not None else None
-                    payload.append(None if image is None else image.tobytes())
-                    feature.append(None if image is None else features(image))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payload, pa.binary()), pa.array(feature, pa.string())], [*part.schema.names, "payload", "feature"])
+        for part in slices(batches, "media", BATCH_ROWS, BATCH_BYTES):
+            payload, feature = [], []
+            for data in part.column("media").to_pylist():
+                image = from_png(data) if data is not None else None
+                payload.append(None if image is None else image.tobytes())
+                feature.append(None if image is None else features(image))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(payload, pa.binary()), pa.array(feature, pa.string())], [*part.schema.names, "payload", "feature"])
 
     return media.mapInArrow(run, f"{SCHEMA}, payload binary, feature string")
 

@@ -47,25 +47,27 @@ def test_ranges_take_each_member_once_and_broken_ones_stay_alone(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     written, folder = media.write_archives(df)
     fs, base = pafs.FileSystem.from_uri(folder)
-    whole = media.read_archives(spark, folder)
-    assert whole.count() == len(rows)
-    paths = [(folder, r.path) for r in written.collect()]
-    reader = media.MediaReader(paths, 4000)
-    parts = reader.partitions()
+    assert media.read_archives(written).count() == len(rows)
+    planned = media.plan(spark, folder, 4000)
+    assert {r.path.rsplit("/", 1)[1] for r in planned.collect()} == {r.path.rsplit("/", 1)[1] for r in written.collect()}
+    parts = [r.asDict() for r in planned.collect()]
     assert len(parts) > 5
-    got = [r for p in parts for b in media.read_range(p) for r in b.to_pylist()]
+    read = lambda: [r for p in parts for b in media.read_range(**p) for r in b.to_pylist()]
+    got = read()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows) and all(r["error"] is None for r in got)
+    assert sorted(str(r.doc_id) for r in media.read_archives(planned).collect()) == sorted(str(r[0]) for r in rows)
     # spoil one member
     bad = got[17]
-    data = bytearray(fs.open_input_file(bad["path"]).read())
+    place = pafs.FileSystem.from_uri(bad["path"])[1]
+    data = bytearray(fs.open_input_file(place).read())
     at = data.index(bytes(bad["media"][-30:]), bad["offset"])
     data[at] ^= 255
-    with fs.open_output_stream(bad["path"]) as f:
+    with fs.open_output_stream(place) as f:
         f.write(bytes(data))
-    again = [r for p in reader.partitions() for b in media.read_range(p) for r in b.to_pylist()]
+    again = read()
     broken = [r for r in again if r["error"]]
     assert len(again) == len(rows) and [(r["path"], r["offset"]) for r in broken] == [(bad["path"], bad["offset"])] and broken[0]["media"] is None
-    assert media.digest(media.describe(media.read_archives(spark, folder))).where("error is not null").count() == 1
+    assert media.digest(media.describe(media.read_archives(planned))).where("error is not null").count() == 1
 
 
 def test_member_is_tried_again(monkeypatch):
@@ -83,3 +85,11 @@ def test_member_is_tried_again(monkeypatch):
 
 def test_empty_table(spark):
     assert media.digest(media.describe(media.stored(spark.createDataFrame([], "doc_id long, text string")))).count() == 0
+
+
+def test_long_text_and_clashing_columns(spark):
+    rows = [(1, "é\n" * 400_000, "a", 0), (1, "é\n" * 400_000, "a", 0), (2, None, "b", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, path string, media int")
+    got = sorted(media.digest(media.describe(media.stored(df))).collect(), key=lambda r: r.doc_id)
+    assert [r.n_bytes for r in got] == [1_200_000, 1_200_000, 0] and got[0].media_sha256 == got[1].media_sha256
+    assert got[0].payload_sha256 == hashlib.sha256(media.padded(rows[0][1].encode())).hexdigest()
