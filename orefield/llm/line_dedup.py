@@ -6,7 +6,8 @@ occurrence, by (identifier, position); the lines that later occurrences cover ar
 Defined results: lines are cut at line feeds and compared exactly; windows without a visible character don't count;
 documents of fewer than three lines have no window and stay as they are, as do null and empty texts; a null identifier
 comes after all others; documents of one identifier are ordered by a hash of their text, and rows alike in both are one
-document, so they lose the same lines; all other columns are kept.
+document, so they lose the same lines; all other columns are kept, whatever their names, but n_lines and n_removed are
+replaced; a very long text is one row of many windows. Windows and rows are told apart by 128-bit hashes.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.common import row_key
+from orefield.llm.common import own_name, row_key
 
 WINDOW = 3
 LAST = (1 << 63) - 1
@@ -25,11 +26,16 @@ def _windows(lines: Column) -> Column:
     at = lambda i, k: F.element_at(lines, (i + (k + 1)).cast("int"))
     places = F.sequence(F.lit(0), F.size(lines) - WINDOW)
     visible = lambda i: at(i, 0).rlike(r"\S") | at(i, 1).rlike(r"\S") | at(i, 2).rlike(r"\S")
-    return F.when(F.size(lines) >= WINDOW, F.transform(F.filter(places, visible), lambda i: F.struct(F.xxhash64(at(i, 0), at(i, 1), at(i, 2)).alias("h"), i.alias("pos"))))
+    return F.when(F.size(lines) >= WINDOW, F.transform(F.filter(places, visible), lambda i: F.struct(row_key(at(i, 0), at(i, 1), at(i, 2)).alias("h"), i.alias("pos"))))
 
 
 def repeated_windows(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Later occurrences: row key and position. A hot window is summed up in each task first, and split by skew joins."""
+    """Later occurrences: row key and position.
+
+    A window's first occurrence is found with partial minima in each task. The join back deals a hot window's occurrences
+    (three numbers each) to one partition, which adaptive execution splits once it is large, since the other side has one
+    row for it.
+    """
     lines = df.select(F.coalesce(doc_id, F.lit(LAST)).cast("long").alias("doc"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.split(text, "\n").alias("lines")).where(F.size("lines") >= WINDOW)
     spots = lines.select("doc", "row", F.explode(_windows(F.col("lines"))).alias("w")).select("w.h", "doc", "row", "w.pos")
     # the order of an occurrence, as the three numbers of its place
@@ -40,16 +46,15 @@ def repeated_windows(df: DataFrame, text: str = "text", doc_id: str = "doc_id")
 
 def dedup_lines(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """df with the repeated lines out of `text`, and how many lines each text had and lost (n_lines, n_removed)."""
-    inner = {"__row": row_key(F.col(doc_id), F.col(text))}
-    later = repeated_windows(df, text, doc_id).groupBy(F.col("row").alias("__row")).agg(F.collect_set("pos").alias("__starts"))
-    marked = df.drop("n_lines", "n_removed").withColumns(inner).join(later, "__row", "left")
-    lines = F.split(text, "\n")
-    covered = F.array_distinct(F.flatten(F.transform("__starts", lambda p: F.sequence(p, p + (WINDOW - 1)))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    cut = marked.withColumn("__lines", lines).withColumn("__kept", F.when(F.col("__starts").isNotNull(), kept))
-    new_text = F.when(F.col("__kept").isNull(), F.col(text)).otherwise(F.array_join(F.transform("__kept", lambda i: F.element_at(F.col("__lines"), i + 1)), "\n"))
-    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size("__lines")).cast("long")
-    n_removed = F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__lines") - F.size("__kept")).cast("long")
+    row, starts, lines, kept = (own_name(df, n) for n in ("row", "starts", "lines", "stay"))
+    later = repeated_windows(df, text, doc_id).groupBy(F.col("row").alias(row)).agg(F.collect_set("pos").alias(starts))
+    marked = df.drop("n_lines", "n_removed").withColumn(row, row_key(F.col(doc_id), F.col(text))).join(later, row, "left")
+    covered = F.array_distinct(F.flatten(F.transform(starts, lambda p: F.sequence(p, p + (WINDOW - 1)))))
+    marked = marked.withColumn(lines, F.split(text, "\n"))
+    cut = marked.withColumn(kept, F.when(F.col(starts).isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)))
+    new_text = F.when(F.col(kept).isNull(), F.col(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at(F.col(lines), i + 1)), "\n"))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).cast("long")
+    n_removed = F.when(F.col(kept).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long")
     order = [F.col(f"`{c}`") if c != text else new_text.alias(text) for c in df.columns if c not in ("n_lines", "n_removed")]
     return cut.select(*order, n_lines.alias("n_lines"), n_removed.alias("n_removed"))
 
