@@ -2,11 +2,14 @@
 
 A document's characters fall into six classes, its words into the common words of all languages and a rest. Both
 histograms are compared with those of each language, taken over all documents that are labelled with it, by the
-Jensen-Shannon distance (in bits, 0 to 1). A document goes if even the nearest language is too far off. Sampling noise
+Jensen-Shannon distance (the square root of the divergence in bits, 0 to 1). A document goes if even the nearest language is too far off. Sampling noise
 grows as a text gets shorter, so the word limit allows for it, and texts under a length are not judged by words.
 
 Defined results: null texts count as without words and fail; documents without a language add nothing to the
-references but are judged; without any reference only the base rules decide; repeated rows are judged alike.
+references but are judged; without any reference only the base rules decide; repeated rows are judged alike; a very long
+text is judged whole, in arrays of its words; all other columns are kept, whatever their names, but those named like an
+output are replaced; a document at a limit stays; an empty table gives an empty result. The driver gets the counts of
+six classes, and of the common words, for each language.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orefield.llm.common import let, materialize
+from orefield.llm.common import let, materialize, own_name
 
 WHITE = r"[\x20\x09-\x0D]+"
 MARKS = ".,;:!?'\"()-"
@@ -24,7 +27,7 @@ REPEAT_WINDOW = 8
 #: and is short, as function words are.
 COMMON_SHARE = 0.0025
 COMMON_LENGTH = 6
-#: Limits of the distances; the word limit is WORD_LIMIT + WORD_NOISE / number of words.
+#: Limits of the divergences, that is of the squared distances; the word limit is WORD_LIMIT + WORD_NOISE / number of words.
 CHAR_LIMIT, WORD_LIMIT, WORD_NOISE = 0.06, 0.05, 6.0
 CHAR_MIN, WORD_MIN = 50, 50
 
@@ -89,14 +92,14 @@ def class_counts(text: Column, rest: Column, white: Column) -> Column:
     return F.transform(found, lambda x: x.cast("double"))
 
 
-def measured(df: DataFrame, text: str) -> DataFrame:
-    """df with the base measures of its text, its words and its remainder."""
+def measured(df: DataFrame, text: str, inner: tuple[str, str]) -> DataFrame:
+    """df with the base measures of its text and, by the names in inner, its words and its remainder."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words = F.col("__words")
-    return df.withColumns({"__words": words_of(F.col(text)), "__rest": remainder(t)}).withColumns({
+    words = F.col(inner[0])
+    return df.withColumns({inner[0]: words_of(F.col(text)), inner[1]: remainder(t)}).withColumns({
         "n_words": F.size(words).cast("long"),
         "word_chars": F.length(F.array_join(words, "")).cast("long"),
-        "n_symbols": n_symbols(F.col("__rest")),
+        "n_symbols": n_symbols(F.col(inner[1])),
         "n_dup_lines": dup_lines(t),
         "n_repeat_words": repeat_words(words),
     })
@@ -124,26 +127,30 @@ def common_words(df: DataFrame, text: str, lang: str) -> dict[str, dict[str, flo
 def class_references(df: DataFrame, text: str, lang: str) -> dict[str, list[float]]:
     """Per language the shares of the character classes."""
     t = F.col(text)
-    there = df.where(F.col(lang).isNotNull() & t.isNotNull()).withColumn("__rest", remainder(t))
-    white = F.length(F.regexp_replace(t, r"[^\x20\x09-\x0D]+", ""))
-    rows = there.select(F.col(lang).alias("lang"), class_counts(t, F.col("__rest"), white).alias("c"))
+    there = df.where(F.col(lang).isNotNull() & t.isNotNull()).select(F.col(lang).alias("lang"), t.alias("t"), remainder(t).alias("rest"))
+    white = F.length(F.regexp_replace("t", r"[^\x20\x09-\x0D]+", ""))
+    rows = there.select("lang", class_counts(F.col("t"), F.col("rest"), white).alias("c"))
     sums = rows.groupBy("lang").agg(*(F.sum(F.col("c")[k]).alias(name) for k, name in enumerate(CLASSES))).collect()
     return {r["lang"]: [r[c] / s for c in CLASSES] for r in sums if (s := sum(r[c] for c in CLASSES))}
 
 
 def _part(p: Column, q: Column) -> Column:
-    """One bucket's share of the Jensen-Shannon distance, of p and q over their mean."""
+    """One bucket's share of the Jensen-Shannon divergence, of p and q over their mean."""
     term = lambda x, m: F.when(x > 0, x * F.log2(x / m)).otherwise(0.0)
     return let((p + q) / 2, lambda m: (term(p, m) + term(q, m)) / 2)
 
 
+def _root(divergence: Column) -> Column:
+    return F.sqrt(F.greatest(divergence, F.lit(0.0)))
+
+
 def class_distance(counts: Column, references: dict[str, list[float]]) -> Column:
     """Distance to the nearest language's classes."""
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
     shares = let(counts, lambda c: let(F.greatest(total(c), F.lit(1.0)), lambda n: F.transform(c, lambda x: x / n)))
     every = F.array(*(F.array(*map(F.lit, q)) for q in references.values()))
     one = lambda s, q: F.aggregate(F.zip_with(s, q, _part), F.lit(0.0), lambda a, b: a + b)
-    return let(shares, lambda s: F.array_min(F.transform(every, lambda q: one(s, q))))
+    return _root(let(shares, lambda s: F.array_min(F.transform(every, lambda q: one(s, q)))))
 
 
 def word_distance(words: Column, references: dict[str, dict[str, float]]) -> Column:
@@ -171,7 +178,7 @@ def word_distance(words: Column, references: dict[str, dict[str, float]]) -> Col
 
         return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(len(references) - 1)), distance))
 
-    return let(counted, lambda c: nearest(c, F.greatest(F.size(words), F.lit(1)).cast("double")))
+    return _root(let(counted, lambda c: nearest(c, F.greatest(F.size(words), F.lit(1)).cast("double"))))
 
 
 def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -179,13 +186,15 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     classes, common = class_references(df, text, lang), common_words(df, text, lang)
     t = F.coalesce(F.col(text), F.lit(""))
     own = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
-    a = measured(df.drop(*(c for c in own if c not in (text, lang))), text)
+    inner = own_name(df, "words"), own_name(df, "rest")
+    a = measured(df.drop(*(c for c in own if c not in (text, lang))), text, inner)
     a = a.withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
     judged = ~F.col("base_failed")
-    chars = class_distance(class_counts(t, F.col("__rest"), F.length(t) - F.col("word_chars")), classes) if classes else F.lit(None).cast("double")
+    chars = class_distance(class_counts(t, F.col(inner[1]), F.length(t) - F.col("word_chars")), classes) if classes else F.lit(None).cast("double")
     common_there = common and next(iter(common.values()))
-    words = word_distance(F.col("__words"), common) if common_there else F.lit(None).cast("double")
+    words = word_distance(F.col(inner[0]), common) if common_there else F.lit(None).cast("double")
     a = a.withColumn("char_distance", F.when(judged & (F.col("word_chars") >= CHAR_MIN), chars))
     a = a.withColumn("word_distance", F.when(judged & (F.col("n_words") >= WORD_MIN), words))
-    near = (F.coalesce("char_distance", F.lit(0.0)) <= CHAR_LIMIT) & (F.coalesce("word_distance", F.lit(0.0)) <= WORD_LIMIT + WORD_NOISE / F.col("n_words"))
-    return a.withColumn("kept", judged & F.coalesce(near, F.lit(True))).drop("__words", "__rest")
+    squared = lambda c: F.coalesce(F.col(c) * F.col(c), F.lit(0.0))
+    near = (squared("char_distance") <= CHAR_LIMIT) & (squared("word_distance") <= WORD_LIMIT + WORD_NOISE / F.col("n_words"))
+    return a.withColumn("kept", judged & F.coalesce(near, F.lit(True))).drop(*inner)
