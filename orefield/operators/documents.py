@@ -122,7 +122,7 @@ def passage(context: Column, heading: Column, text: Column) -> Column:
 
 
 #: Month names, patterns of dates (most telling first), money, percentages and numbers; multipliers.
-MONTH = r"(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
+MONTH = r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 MONTHS = {m: k for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split(), 1)}
 DATES = [
     (re.compile(rf"\b(?P<d>\d{{1,2}})(?:st|nd|rd|th)?[\s\-./]+(?P<m>{MONTH})[\s\-.,/]+(?P<y>\d{{4}})\b", re.I)),
@@ -155,15 +155,19 @@ def _date(m: re.Match) -> date | None:
 
 def facts(text: str | None) -> list[tuple[str, str, str]]:
     """(kind, value, text): dates, then money, percentages and other numbers; a stretch of text gives one fact."""
-    rest = CITATION.sub(lambda m: " " * len(m[0]), text or "")
+    left = [CITATION.sub(lambda m: " " * len(m[0]), text or "")]
     out = []
 
     def take(pattern: re.Pattern, kind: str, value) -> None:
-        nonlocal rest
-        for m in list(pattern.finditer(rest)):
-            if "\0" not in rest[m.start() : m.end()] and (v := value(m)) is not None:
+        """Facts of a pattern in what is left; a zero stands for what each of them covers, so none spans it."""
+        kept, at, rest = [], 0, left[0]
+        for m in pattern.finditer(rest):
+            if "\0" not in m[0] and (v := value(m)) is not None:
                 out.append((kind, v.isoformat() if kind == "date" else format(v, "f"), m[0]))
-                rest = rest[: m.start()] + "\0" * len(m[0]) + rest[m.end() :]
+                kept += [rest[at : m.start()], "\0"]
+                at = m.end()
+        if kept:
+            left[0] = "".join([*kept, rest[at:]])
 
     for p in DATES:
         take(p, "date", _date)
