@@ -122,8 +122,8 @@ def sector_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_search_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FTS-01 to FTS-07, SRT-02: documents for a question of an OR, a phrase and a negation."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    posted = fulltext.postings(docs, "doc_id", {"source": "A", "text": "D"})
-    return fulltext.search(posted, fulltext.parse_question('ering or tion "of the" -with'), "doc_id")
+    found = fulltext.search_rows(docs, fulltext.parse_question('ering or tion "of the" -with'), {"source": "A", "text": "D"})
+    return found.select("doc_id", "score", "n_terms").orderBy(F.desc("score"), "doc_id")
 
 
 @query()
