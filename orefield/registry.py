@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.plans import awards, relational, text, vectors
+from orefield.plans import awards, records, relational, text, vectors
 
-MODULES = (relational, awards, vectors, text)
+MODULES = (relational, awards, vectors, text, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.facets_disjunctive(spark, sf_dir)
+    return records.facets_of_state(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

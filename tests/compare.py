@@ -54,7 +54,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
     from orefield.session import session
 
-    spark = session(spark__master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__enabled="false")
+    spark = session(spark__master="local[4]", spark__sql__shuffle__partitions="4", spark__ui__showConsoleProgress="false", spark__ui__enabled="false")
     spark.sparkContext.setLogLevel("ERROR")
     sf = sys.argv[1]
     con = connection(sf)

@@ -23,6 +23,26 @@ def test_query_runs(spark, name):
     df.count()
 
 
+#: Queries of round 1 that ask for what these tables lack; facets_of_state, recommend_profile, search_identifier and facts_in_sentences ask for what they have.
+EMPTY = {"recommend_anti", "exact_ids", "facts_in_turns"}
+
+
+def test_every_query_gives_rows(spark):
+    assert {n for n, f in registry.queries().items() if f(spark, SF).isEmpty()} <= EMPTY
+
+
+def test_every_branch_gives_rows(spark):
+    made = registry.queries()
+    values = lambda name, column: {r[0] for r in made[name](spark, SF).select(column).distinct().collect()}
+    assert values("facets_of_state", "facet") == {"state", "sector", "category", "source", "value"}
+    assert values("money_texts", "error") == {None, "not a money amount"}
+    assert values("facts_in_sentences", "kind") == {"date", "money", "percent", "number"}
+    assert values("eligibility_verdicts", "verdict") == {"eligible", "not_eligible", "unknown"}
+    for name, column in (("grounded_answers", "ok"), ("rank_errors", "refused"), ("kept_pages", "discarded")):
+        assert values(name, column) == {True, False}
+    assert len(values("sector_cascade", "sector")) > 8
+
+
 def test_entry(spark):
     import __spark_entry__
 
