@@ -277,8 +277,10 @@ def corrections(words: list[str], vocabulary: DataFrame) -> DataFrame:
     if not asked:
         return vocabulary.select("word", F.col("word").alias("fixed"), F.lit(0).alias("distance")).limit(0)
     most = lambda w: 2 if len(w) >= 6 else 1
-    near = [F.struct(F.lit(w).alias("asked"), F.levenshtein("word", F.lit(w), most(w)).alias("d"), F.col("word").startswith(w).alias("known")) for w in asked]
-    scanned = vocabulary.select("word", "ndoc", F.explode(F.array(*near)).alias("n")).where((F.col("n.d") >= 0) | F.col("n.known"))
+    # words too short or too long to be near, and that begin otherwise, meet no edit distance
+    size = F.length("word")
+    near = [F.when(size.between(len(w) - most(w), len(w) + most(w)) | F.col("word").startswith(w), F.struct(F.lit(w).alias("asked"), F.levenshtein("word", F.lit(w), most(w)).alias("d"), F.col("word").startswith(w).alias("known"))) for w in asked]
+    scanned = vocabulary.select("word", "ndoc", F.explode(F.array_compact(F.array(*near))).alias("n")).where((F.col("n.d") >= 0) | F.col("n.known"))
     best = F.min(F.when(F.col("n.d") >= 0, F.struct(F.col("n.d").alias("d"), -F.col("ndoc"), "word")))
     grouped = scanned.groupBy(F.col("n.asked").alias("asked")).agg(best.alias("b"), F.bool_or("n.known").alias("known"))
     return grouped.where(~F.col("known")).select(F.col("asked").alias("word"), F.col("b.word").alias("fixed"), F.col("b.d").alias("distance"))

@@ -86,8 +86,8 @@ def aps_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def market_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Market by year (specified only): exact interpolated quartiles of the ratios."""
     kept = awards(spark, sf_dir).where(F.col("raw_ratio").between(RATIO_MIN, RATIO_MAX))
-    at = lambda p: F.percentile("raw_ratio", F.lit(p))
-    return kept.groupBy(F.col("year").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"), at(0.25).alias("p25"), at(0.5).alias("median"), at(0.75).alias("p75"))
+    found = kept.groupBy(F.col("year").cast("long").alias("year")).agg(F.count(F.lit(1)).alias("n"), F.percentile("raw_ratio", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("v"))
+    return found.select("year", "n", *(F.col("v")[k].alias(c) for k, c in enumerate(("p25", "median", "p75"))))
 
 
 @query(WITH + f"""SELECT p_brand, q * 0.05 AS q, quantile FROM (SELECT p_brand, unnest([1, 10, 19]) AS q, unnest(quantile_cont(raw_ratio, [0.05, 0.5, 0.95])) AS quantile FROM award WHERE {IN_BAND} GROUP BY p_brand)""".replace("q * 0.05 AS q", "CAST(q AS BIGINT) AS q"))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.functions import scalars
-from orefield.operators import answers, bank, bookkeeping, contracts, documents, fulltext, rules, search
+from orefield.operators import answers, bank, bookkeeping, contracts, documents, fulltext, notices, rules, search
 from orefield.sources.tables import AS_OF, TENDER_SQL, table, tenders
 
 SQL: dict[str, str] = {}
@@ -205,7 +205,7 @@ _BUCKET = "CASE WHEN value_inr < 100000 THEN 'under_1l' WHEN value_inr < 1000000
 ]))
 def facets_of_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-03: all five facets, each under the others' filters."""
-    return search.disjunctive_facets(tenders(spark, sf_dir), search.TenderQuery(state="NATION_3", sector="BUILDING", min_value=100_000))
+    return search.disjunctive_facets(tenders(spark, sf_dir, closing=False), search.TenderQuery(state="NATION_3", sector="BUILDING", min_value=100_000))
 
 
 # ---- documents --------------------------------------------------------------------------------------------------------
@@ -482,3 +482,60 @@ def contracts_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     payments = o.select(k.alias("key"), kind, F.explode(F.array(F.lit("a"), F.lit("b"))).alias("payment_id"))
     paid = F.when(F.col("kind") == 2, F.when(F.col("payment_id") == "a", 500.0).otherwise(510.0)).when(F.col("kind") == 0, F.when(F.col("payment_id") == "a", 7.0).otherwise(990.0)).when(far, 50.0).otherwise(F.when(F.col("payment_id") == "a", 110.0).otherwise(880.0))
     return contracts.split_contracts(notices, payments.select("key", "payment_id", F.when(F.col("payment_id") == "a", "A").otherwise("B").alias("supplier"), paid.alias("amount_usd")))
+
+
+# ---- notices ----------------------------------------------------------------------------------------------------------
+
+@query("""SELECT o_orderkey AS doc_id, 'Construction of road no ' || o_orderkey || ' in the district' AS title, CASE WHEN o_orderkey % 2 = 0 THEN 'REF/' || o_orderkey || ' · ' ELSE '' END || 'Construction of road no ' || o_orderkey || ' in the district · 2024_ABC_' || o_orderkey || '_1' AS context FROM orders""")
+def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-04: the name of the work with its wrapped line, and what a document is about."""
+    k = text("o_orderkey")
+    o = table(spark, sf_dir, "orders")
+    head = F.concat(F.lit("NOTICE\nTender 2024_ABC_"), k, F.lit("_1\n1. Name of the work : Construction of road no "), k, F.lit("\n          in the district\nEMD    Rs. 5"))
+    pages = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(F.struct(F.lit(1).alias("page"), head.alias("text")), F.struct(F.lit(2).alias("page"), F.lit("Subject: other matters of no use").alias("text")))).alias("p")).select("doc_id", "p.*")
+    known = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit("").alias("title"), F.concat(F.lit("REF/"), k).alias("reference"), F.lit(" ").alias("buyer"))
+    return notices.contexts(pages, known)
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN d + INTERVAL 660 MINUTE WHEN 1 THEN d + INTERVAL 900 MINUTE WHEN 2 THEN d + INTERVAL 30 MINUTE END - INTERVAL 330 MINUTE AS at FROM (SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS d FROM orders)""")
+def meeting_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DAT-05: exactly one date and one clock time, of twelve or twenty-four hours."""
+    day = F.date_format("o_orderdate", "dd-MMM-yyyy")
+    said = pick(F.col("o_orderkey"), [F.concat(day, F.lit(" at 11:00 AM")), F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(", 15:00 hrs")), F.concat(day, F.lit(" 12.30 a.m.")), day, F.concat(day, F.lit(" 10:00 or 11:00"))])
+    return table(spark, sf_dir, "orders").select("o_orderkey", notices.meeting_time(said).alias("at"))
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN d ELSE CASE o_orderkey % 4 WHEN 1 THEN d + INTERVAL 1410 MINUTE END END AS prebid FROM (SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS d FROM orders)""")
+def meetings_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-07: stored ones stay; others are filled if inside the tender's time and the document names the tender."""
+    k, day = F.col("o_orderkey"), F.date_trunc("day", "o_orderdate")
+    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("NIT/00"), text(k)).alias("reference"), day.alias("published_at"), (day + F.expr("INTERVAL 9 DAYS")).alias("closes_at"), F.when(k % 4 == 0, day).alias("prebid"))
+    days = F.when(F.col("id") % 4 == 2, 30).otherwise(1)
+    said = F.concat(F.date_format(F.date_add(F.col("published_at"), days), "dd-MMM-yyyy"), F.lit(" 05:00 AM"))
+    fields = rows.select("id", said.alias("value"), F.concat(F.lit("Notice  no. "), F.when(F.col("id") % 4 == 3, F.lit("of another")).otherwise(F.lower("reference")), F.lit(" of today")).alias("text"))
+    return notices.with_meetings(rows, fields).select("id", "prebid")
+
+
+@query("""SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 5 = 0 THEN 'ready' WHEN c_custkey % 5 IN (1, 2) THEN 'failed' ELSE 'ready' END AS status, CASE c_custkey % 5 WHEN 1 THEN 'no pages' WHEN 2 THEN 'no text' END AS error, c_custkey % 5 <> 0 AS worked FROM customer""")
+def documents_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-06: a ready document is left alone; one without pages or text fails."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").select(k.alias("doc_id"), F.when(k % 5 == 0, "ready").otherwise("pending").alias("status"))
+    pages = rows.where("doc_id % 5 <> 1").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page"), F.when(F.col("doc_id") % 5 == 2, " ").otherwise("words").alias("text"))
+    return notices.processed(rows, pages)
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN 'unknown' WHEN c_custkey % 10 >= 8 THEN 'met' WHEN c_custkey % 10 < 4 THEN 'not_met' ELSE 'unknown' END AS similar FROM customer""")
+def similar_work_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ELG-01: one work of 80 %, two of 60 % or three of 40 %."""
+    k = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", notices.similar_work(F.array(F.lit(40), F.lit(60), F.lit(80)), F.when(k % 9 != 0, k % 10 * 10)).alias("similar"))
+
+
+@query("""SELECT entity, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 50 IN (10, 20) THEN 'E1' ELSE 'E' || (c_custkey % 50) END AS entity FROM customer) GROUP BY 1""")
+def merges_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER-07: approved merges move tenders, rejected ones don't, entities without any go."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.concat(F.lit("E"), text(F.col("c_custkey") % 50)).alias("entity"))
+    reviews = spark.createDataFrame([("E10", "E1", True), ("E20", "E1", True), ("E30", "E1", False)], "entity string, candidate string, approved boolean")
+    moved, left = notices.reviewed(rows, reviews, rows.select("entity").distinct())
+    return moved.join(left, "entity").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))

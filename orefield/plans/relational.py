@@ -51,7 +51,7 @@ def filter_params(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WITH + "SELECT state AS key, count(*) AS n FROM tender WHERE state <> '' GROUP BY state ORDER BY n DESC, key LIMIT 40")
 def facet_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-02."""
-    return search.facet_terms(tenders(spark, sf_dir), "state")
+    return search.facet_terms(tenders(spark, sf_dir, closing=False), "state")
 
 
 FACETED = TenderQuery(state="CHINA", sector="BUILDING", min_value=100_000)
@@ -66,7 +66,7 @@ _BUCKET = "CASE WHEN value_inr < 100000 THEN 'under_1l' WHEN value_inr < 1000000
 ]))
 def facets_disjunctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-03."""
-    return search.disjunctive_facets(tenders(spark, sf_dir), FACETED)
+    return search.disjunctive_facets(tenders(spark, sf_dir, closing=False), FACETED)
 
 
 @query(WITH + """SELECT b.bucket, b.ord, CAST(count(t.id) AS BIGINT) AS n
@@ -74,7 +74,7 @@ FROM (VALUES ('under_1l', 0, NULL, 100000), ('1l_10l', 1, 100000, 1000000), ('10
 LEFT JOIN tender t ON t.value_inr IS NOT NULL AND (b.lo IS NULL OR t.value_inr >= b.lo) AND (b.hi IS NULL OR t.value_inr < b.hi) GROUP BY b.bucket, b.ord""")
 def value_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-04."""
-    return search.value_buckets(tenders(spark, sf_dir))
+    return search.value_buckets(tenders(spark, sf_dir, closing=False))
 
 
 @query(WITH + f"""SELECT count(*) AS total, count(*) FILTER (closes_at > {AT}) AS open, count(*) FILTER (closes_at > {AT} AND closes_at <= {WEEK}) AS closing_soon,
@@ -134,7 +134,7 @@ def buyer_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 row_number() OVER (PARTITION BY sector ORDER BY count(*) DESC, state) AS k FROM tender GROUP BY sector, state) WHERE k = 1""")
 def home_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-13, here of sectors: where most of their tenders are, ties by name, and how many they have in all."""
-    cells = tenders(spark, sf_dir).groupBy(F.col("sector").alias("buyer"), "state").agg(F.count(F.lit(1)).alias("n"))
+    cells = tenders(spark, sf_dir, closing=False).groupBy(F.col("sector").alias("buyer"), "state").agg(F.count(F.lit(1)).alias("n"))
     best = F.min(F.struct(-F.col("n"), F.col("state").alias("home")))["home"]
     return cells.groupBy("buyer").agg(best.alias("home"), F.sum("n").alias("total")).orderBy(F.desc("total"), "buyer")
 
@@ -147,7 +147,7 @@ FROM (VALUES {", ".join(f"('{s}')" for s in STATUSES)}) s(status) LEFT JOIN tend
 def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-09, AGG-10: a histogram of all statuses, zeros included, and the value of the live ones (own bid, else tender value)."""
     bid = F.when(F.col("id") % 3 == 0, (F.col("value_inr") * F.lit("0.9").cast("decimal(2,1)")).cast("decimal(18,2)"))
-    sums = tenders(spark, sf_dir).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(bid, F.col("value_inr"))).alias("v"))
+    sums = tenders(spark, sf_dir, closing=False).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce(bid, F.col("value_inr"))).alias("v"))
     registry = spark.createDataFrame([(s,) for s in STATUSES], "status string")
     live = F.when(F.col("status").isin("O", "P"), F.col("v"))
     return registry.join(sums, "status", "left").select("status", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce(live, F.lit(0)).cast("double").alias("pipeline_value"))
@@ -171,7 +171,7 @@ def recommend_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     from orefield.operators.rules import recommended
 
     all_of = tenders(spark, sf_dir)
-    tracked = all_of.where(TRACKED).select("id")
+    tracked = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")).where(TRACKED)
     return recommended(all_of, tracked, AS_OF, states=["INDIA", "CHINA", "JAPAN"], sectors=["BUILDING", "MACHINERY"], cap=200_000).select("id", "state", "sector", F.col("value_inr").cast("double").alias("value_inr"))
 
 
@@ -200,7 +200,7 @@ def page_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(WITH + "SELECT count(*) AS total, CAST(greatest(1, ceil(count(*) / 20.0)) AS BIGINT) AS last_page FROM tender")
 def page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-01."""
-    return search.page_count(tenders(spark, sf_dir), 20)
+    return search.page_count(tenders(spark, sf_dir, closing=False), 20)
 
 
 @query(WITH + """SELECT error, count(*) AS n FROM (SELECT CASE WHEN published_at IS NULL OR closes_at IS NULL THEN 'required' WHEN closes_at < published_at THEN 'closes before it is published' ELSE 'valid' END AS error FROM tender) GROUP BY error""")
@@ -271,7 +271,10 @@ def quota_metering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_source_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-29."""
     folded = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    return table(spark, sf_dir, "documents").groupBy(folded.alias("folded")).agg(F.count_distinct("source").alias("sources"), F.count(F.lit(1)).alias("n")).where("sources > 1")
+    rows = table(spark, sf_dir, "documents").select(folded.alias("folded"), "source", "doc_id").withColumn("digest", F.sha2("folded", 256))
+    # digests are counted, and of each that repeats one text is fetched by its document
+    seen = rows.groupBy("digest").agg(F.count_distinct("source").alias("sources"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("sources > 1")
+    return rows.select("doc_id", "folded").join(seen, "doc_id").select("folded", "sources", "n")
 
 
 @query("""SELECT o.o_custkey AS buyer_id, list_sort(list(DISTINCT l_suppkey)) AS suppliers FROM orders o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o.o_custkey""")

@@ -23,14 +23,17 @@ def buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tenders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per tender. Closing times come from one pre-aggregated shuffle on the order key, joined on that key."""
-    closes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closes_at"))
-    orders = table(spark, sf_dir, "orders").join(closes, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+def tenders(spark: SparkSession, sf_dir: str, closing: bool = True) -> DataFrame:
+    """One row per tender. Closing times come from one pre-aggregated shuffle on the order key, joined on that key; what
+    doesn't ask when tenders close does without."""
+    orders = table(spark, sf_dir, "orders")
+    if closing:
+        closes = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("closes_at"))
+        orders = orders.join(closes, F.col("o_orderkey") == F.col("l_orderkey"), "left")
     joined = orders.join(buyers(spark, sf_dir), F.col("o_custkey") == F.col("buyer_id"))
     return joined.select(
         F.col("o_orderkey").alias("id"), "buyer_id", "buyer", "state", "source", "sector", F.col("o_orderpriority").alias("category"), "pincode",
-        F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("value_inr"), F.col("o_orderdate").alias("published_at"), "closes_at",
+        F.col("o_orderstatus").alias("status"), F.col("o_totalprice").cast("decimal(18,2)").alias("value_inr"), F.col("o_orderdate").alias("published_at"), *(["closes_at"] if closing else []),
     )
 
 
