@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import io
+import csv
+import re
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.csv as pacsv
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,23 +64,25 @@ def require(df: DataFrame, columns: Iterable[str], what: str) -> DataFrame:
 
 
 def zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of the CSV files in zip archives, as strings, with their file and line; headers in any case.
+    """Rows of the CSV files in zip archives, as strings, with their file and line; headers in any case, quoted or not.
 
-    An archive is one task's, since zip can't be split; its files are streamed block by block.
+    An archive is one task's, since zip can't be split. It is opened by its path and its files are streamed block by
+    block, so its size doesn't matter.
     """
     names = [c.upper() for c in columns]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for place, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
+            for place in batch.column("path").to_pylist():
+                fs, own = pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", place))
+                with fs.open_input_file(own) as archive, zipfile.ZipFile(archive) as z:
                     for member in z.namelist():
                         if not member.lower().endswith(".csv"):
                             continue
                         line = 1
                         with z.open(member) as raw:
-                            head = raw.readline().decode("utf-8-sig", "replace").strip()
-                            header = [h.strip().strip('"').upper() for h in head.split(",")]
+                            head = next(csv.reader([raw.readline().decode("utf-8-sig", "replace").strip()]), [])
+                            header = [h.strip().upper() for h in head]
                             options = pacsv.ConvertOptions(column_types={h: pa.string() for h in header}, strings_can_be_null=False)
                             for part in pacsv.open_csv(raw, read_options=pacsv.ReadOptions(column_names=header), parse_options=pacsv.ParseOptions(newlines_in_values=True), convert_options=options):
                                 n = part.num_rows
@@ -87,7 +91,14 @@ def zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
                                 line += n
 
     schema = ", ".join(f"`{c}` string" for c in names) + ", file string, line long"
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, schema)
+    return spark.read.format("binaryFile").load(path).select("path").mapInArrow(run, schema)
+
+
+def plain_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Rows of CSV files that are plain or compressed by gzip, as strings, headers in any case."""
+    read = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    have = {c.strip().upper(): c for c in read.columns}
+    return read.select(*((F.col(f"`{have[c.upper()]}`") if c.upper() in have else F.lit(None).cast("string")).alias(c.upper()) for c in columns), F.col("_metadata.file_path").alias("file"))
 
 
 #: Codes of the European award notices.

@@ -9,6 +9,10 @@ from pyspark.sql.streaming import StreamingQuery
 from orefield.operators.upsert import last_wins, upsert
 
 
+#: The key of a list that doesn't restrict; no state or sector is named so.
+ANY = "\0any"
+
+
 class Snapshots:
     """A table kept as numbered snapshots under a folder; a snapshot is complete once its number is in the log.
 
@@ -63,17 +67,19 @@ def due_alerts(subscriptions: DataFrame, rows: DataFrame, delivered: DataFrame,
 
     subscriptions: sub_id, states, sectors, min_value, checked_until; an empty list doesn't restrict. rows: id, state,
     sector, value, first_seen. A subscription gets at most `most` rows in a run, newest first; what is over is not sent
-    later, since the mark moves to `now` whatever was sent. Subscriptions are few and are broadcast by size; the rows
-    are filtered to the widest window first.
+    later, since the mark moves to `now` whatever was sent. A subscription has a key for each of its states and sectors,
+    or for any; a row has its own and those for any, so they meet in an equi-join, each pair once.
     """
     from pyspark.sql import Window as W
 
     at = F.lit(now).cast("timestamp")
     since = subscriptions.agg(F.min("checked_until")).first()[0]
     fresh = rows.where((F.col("first_seen") > F.lit(since)) & (F.col("first_seen") <= at)) if since is not None else rows.where(F.col("first_seen") <= at)
-    s = subscriptions.alias("s")
-    any_or = lambda c, v: (F.size(f"s.{c}") == 0) | F.array_contains(f"s.{c}", F.col(v))
-    matched = fresh.join(s, any_or("states", "state") & any_or("sectors", "sector") & (F.col("s.min_value").isNull() | (F.col("value") >= F.col("s.min_value"))) & (F.col("first_seen") > F.col("s.checked_until")))
+    each = lambda c: F.explode(F.when(F.size(c) > 0, F.array_distinct(c)).otherwise(F.array(F.lit(ANY))))
+    keys = subscriptions.select("sub_id", "min_value", "checked_until", each("states").alias("__state"), "sectors").select("sub_id", "min_value", "checked_until", "__state", each("sectors").alias("__sector"))
+    own = fresh.select("id", "value", "first_seen", F.explode(F.array("state", F.lit(ANY))).alias("__state"), "sector").withColumn("__sector", F.explode(F.array("sector", F.lit(ANY))))
+    enough = F.col("min_value").isNull() | (F.col("value") >= F.col("min_value"))
+    matched = own.join(keys, ["__state", "__sector"]).where(enough & (F.col("first_seen") > F.col("checked_until")))
     unsent = matched.select("sub_id", "id", "first_seen").join(delivered.select("sub_id", "id"), ["sub_id", "id"], "left_anti")
     newest = W.partitionBy("sub_id").orderBy(F.desc("first_seen"), F.desc("id"))
     return unsent.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= most).drop("k"), subscriptions.withColumn("checked_until", at)

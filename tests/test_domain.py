@@ -274,3 +274,20 @@ def test_exports(spark):
     stored = spark.sql("select stack(4, 1, 'listing', timestamp'2026-01-01', 2, 'detail', timestamp'2025-01-01', 3, 'detail', timestamp'2025-01-01', 4, 'listing', timestamp'2026-01-30') as (page_id, kind, fetched_at)")
     refs = spark.sql("select 2 as page_id union all select cast(null as int)")
     assert {r.page_id for r in exports.retained(stored, [refs], "2026-01-31").collect()} == {2, 4}
+
+
+def test_csv_heads_may_be_quoted_and_files_plain_or_compressed(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    body = '"A","B, with comma",c\n1,"x, y",2\n3,"line\nend",4\n'
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("in.csv", body)
+    (tmp_path / "b.csv").write_text(body)
+    (tmp_path / "c.csv.gz").write_bytes(gzip.compress(body.encode()))
+    from orefield.sources import awards
+
+    wanted = [("1", "x, y", "2", None), ("3", "line\nend", "4", None)]
+    names = ["a", "b, with comma", "C", "missing"]
+    for got in (awards.zipped_csv(spark, str(tmp_path / "a.zip"), names), awards.plain_csv(spark, str(tmp_path / "b.csv"), names), awards.plain_csv(spark, str(tmp_path / "c.csv.gz"), names)):
+        assert sorted(tuple(r)[:4] for r in got.collect()) == wanted
