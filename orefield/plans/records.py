@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.functions import scalars
-from orefield.operators import answers, bank, bookkeeping, contracts, documents, fulltext, notices, rules, search
+from orefield.operators import answers, bank, bookkeeping, contracts, documents, entities, fulltext, notices, rules, search
+from orefield.sources import pages as portal
 from orefield.sources.tables import AS_OF, TENDER_SQL, table, tenders
 
 SQL: dict[str, str] = {}
@@ -539,3 +540,65 @@ def merges_reviewed(spark: SparkSession, sf_dir: str) -> DataFrame:
     reviews = spark.createDataFrame([("E10", "E1", True), ("E20", "E1", True), ("E30", "E1", False)], "entity string, candidate string, approved boolean")
     moved, left = notices.reviewed(rows, reviews, rows.select("entity").distinct())
     return moved.join(left, "entity").groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- portal pages -----------------------------------------------------------------------------------------------------
+
+def _page(*parts) -> Column:
+    return F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+
+
+@query("""SELECT c_nationkey AS id, 'Org ' || c_nationkey AS name, CAST(count(*) AS INTEGER) AS tenders FROM customer GROUP BY c_nationkey""")
+def portal_organisations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-04: organisations of an index page with their number of tenders."""
+    n = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    row = _page("<tr><td>1</td><td> Org&nbsp;", text("id"), " </td><td><a href='/x?page=FrontEndTendersByOrganisation&amp;sp=", text("id"), "'>", text("n"), "</a></td></tr>")
+    html = _page("<html><table><tr><td>No</td><td>Organisation</td><td>Tenders</td></tr>", row, row, "<tr><td>2</td><td>None</td><td>0</td></tr></table>")
+    return n.select("id", F.explode(portal.organisations_of(html)).alias("o")).select("id", "o.name", "o.tenders")
+
+
+@query("""SELECT o_orderkey AS id, 'Road no ' || o_orderkey AS title, 'REF/' || o_orderkey AS ref_no, '2024_A_' || o_orderkey || '_1' AS tender_id, 'State||Works' AS org_chain FROM orders""")
+def portal_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-05: a listing's row, its last cell but one read from its end."""
+    k = text("o_orderkey")
+    html = _page("<table><tr><td>1</td><td>01-Jan-2026 09:00 AM</td><td>02-Jan-2026</td><td>03-Jan-2026</td><td><a href='/y?component=FrontEndViewTender'>[Road no ", k, "]</a> [REF/", k, "][2024_A_", k, "_1]</td><td>State||Works</td></tr></table>")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(portal.listing_of(html)).alias("r"))
+    return rows.select("id", "r.title", "r.ref_no", "r.tender_id", "r.org_chain")
+
+
+@query("""SELECT o_orderkey AS id, '2024_A_' || o_orderkey || '_1' AS tender_id, CAST(floor(o_totalprice) AS BIGINT) || '.00' AS value, 'notice.pdf, plan.xlsx' AS documents, o_orderkey % 5 = 0 AS stale FROM orders""")
+def portal_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-06, SRC-07: fields of a detail page by caption, its documents, and pages of a session that is over."""
+    k = text("o_orderkey")
+    cell = lambda caption, value: _page("<tr><td class='td_caption'>", caption, "</td><td class='td_field'>", value, "</td></tr>")
+    html = _page("<table>", cell("Tender ID", _page("2024_A_", k, "_1")), cell("Tender Value in ₹", _page(text(F.floor("o_totalprice").cast("long")), ".00")), "</table><a href='/d1'>notice.pdf</a> <a href='/d2'>plan.xlsx</a><a href='/h'>Help</a>")
+    over = F.concat(html, F.when(F.col("o_orderkey") % 5 == 0, "<b>Stale Session</b> Your session has timed out").otherwise(""))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), portal.detail_of(html).alias("d"), portal.is_stale(over).alias("stale"))
+    return rows.select("id", F.col("d")["tender_id"].alias("tender_id"), F.col("d")["value"].alias("value"), F.col("d")["documents"].alias("documents"), "stale")
+
+
+@query("""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\\s[^>]*href')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '(?i)<p[\\s>]')) AS INTEGER) AS paragraphs FROM pages""")
+def page_outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles, links and paragraphs of all pages."""
+    return table(spark, sf_dir, "pages").select("page_id", portal.outline_of("html").alias("o")).select("page_id", "o.title", "o.links", "o.paragraphs")
+
+
+@query("""WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Dept of Works ' || c_nationkey ELSE 'P.W.D. ' || c_nationkey END AS name, c_nationkey FROM customer)
+SELECT id, CASE WHEN id % 3 = 0 THEN 'department works ' || c_nationkey ELSE 'p w d ' || c_nationkey END AS norm FROM n""")
+def names_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-04: abbreviations spelt out, fillers and marks gone."""
+    k = F.col("c_custkey")
+    name = F.when(k % 3 == 0, _page("Dept of  Works ", text("c_nationkey"))).otherwise(_page("P.W.D. ", text("c_nationkey")))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), entities.normalise(name).alias("norm"))
+
+
+#: Pairs of normal forms, and what they score: alike, a misspelt word, a word of its own, levels of which one differs.
+PAIRS = [("public works department", "works department public", 100.0), ("public works department bhopal", "public works departmant bhopal", None), ("water board north", "water board", 85.0), ("rail | north yard", "rail | south yard", None)]
+
+
+@query(f"SELECT c_custkey AS id, c_custkey % 4 AS kind, [true, true, false, false][c_custkey % 4 + 1] AS merged, CASE c_custkey % 4 WHEN 0 THEN 100.0 WHEN 2 THEN 85.0 END AS score FROM customer")
+def pairs_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER-02 to ER-04: pairs that merge, and that a word of their own, or a level, keeps apart."""
+    k = F.col("c_custkey")
+    s = entities.pair_score(pick(k, [p[0] for p in PAIRS]), pick(k, [p[1] for p in PAIRS]))
+    return table(spark, sf_dir, "customer").select(k.alias("id"), (k % 4).alias("kind"), s.alias("s")).select("id", "kind", (F.col("s") >= entities.MERGE_FROM).alias("merged"), F.when(F.col("kind") % 2 == 0, F.col("s")).alias("score"))
