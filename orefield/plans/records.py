@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orefield.functions import scalars
 from orefield.operators import answers, bank, bookkeeping, contracts, documents, entities, fulltext, notices, rules, search
+from orefield.sources import awards
 from orefield.sources import pages as portal
 from orefield.sources.tables import AS_OF, TENDER_SQL, table, tenders
 
@@ -602,3 +603,47 @@ def pairs_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     s = entities.pair_score(pick(k, [p[0] for p in PAIRS]), pick(k, [p[1] for p in PAIRS]))
     return table(spark, sf_dir, "customer").select(k.alias("id"), (k % 4).alias("kind"), s.alias("s")).select("id", "kind", (F.col("s") >= entities.MERGE_FROM).alias("merged"), F.when(F.col("kind") % 2 == 0, F.col("s")).alias("score"))
+
+
+# ---- award datasets ---------------------------------------------------------------------------------------------------
+
+REASONS = ["cancelled_or_not_awarded", "framework_or_dps", "no_estimate_or_award", "award_equals_estimate", "ratio_out_of_band", "no_country", "no_id", "emitted"]
+
+
+@query(f"SELECT o_orderkey AS id, {REASONS!r}[o_orderkey % 8 + 1] AS reason, CASE WHEN o_orderkey % 8 = 5 THEN 'X1' ELSE 'GB' END AS country FROM orders")
+def notice_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-11, FLT-15, NUM-07: why a European notice isn't taken, the first reason that holds."""
+    k = F.col("o_orderkey") % 8
+    given = {
+        "CANCELLED": F.when(k == 0, "1").otherwise("0"), "B_FRA_AGREEMENT": F.when(k == 1, "Y").otherwise("N"), "AWARD_EST_VALUE_EURO": F.when(k == 2, "").otherwise("1000"),
+        "AWARD_VALUE_EURO": F.when(k == 3, "1000").when(k == 4, "99000").otherwise("900"), "ISO_COUNTRY_CODE": F.when(k == 5, "X1").otherwise(" uk"), "ID_NOTICE_CAN": F.when(k == 6, " ").otherwise(text("o_orderkey")),
+    }
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), *(given.get(c, F.lit("")).alias(c) for c in awards.TED_COLUMNS))
+    return awards.ted_reason(rows).select("id", "reason", F.col("iso").alias("country"))
+
+
+@query("""SELECT o_orderkey AS id, 'IN' AS country, 2000 + o_orderkey % 20 AS year, CAST(o_orderkey AS DOUBLE) AS value FROM orders""")
+def observations_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSN-01: a statistics service's replies; observations without a value, of groups of countries, or by quarter go."""
+    k = text("o_orderkey")
+    year = text(2000 + F.col("o_orderkey") % 20)
+    one = lambda country, date, value: _page('{"country": {"id": "', country, '"}, "date": "', date, '", "value": ', value, "}")
+    reply = _page('[{"page": 1}, [', one("in", year, k), ", ", one("IN", "1990", k), ", ", one("EMU", year, k), ", ", one("IN", _page(year, "Q1"), k), ", ", one("IN", year, "null"), "]]")
+    rows = table(spark, sf_dir, "orders").select(reply.alias("value"))
+    return awards.price_observations(rows).select(F.col("value").cast("long").alias("id"), "country", F.col("year").cast("long").alias("year"), "value")
+
+
+@query("""SELECT o_orderkey AS id, unnest(CASE o_orderkey % 5 WHEN 0 THEN ['emitted'] WHEN 1 THEN ['emitted', 'emitted'] WHEN 2 THEN ['ambiguous_scope'] WHEN 3 THEN ['no_award'] ELSE ['currency_mismatch'] END) AS reason,
+unnest(CASE o_orderkey % 5 WHEN 0 THEN [1000.0] WHEN 1 THEN [400.0, 600.0] WHEN 2 THEN [NULL] WHEN 3 THEN [NULL] ELSE [1000.0] END)::DOUBLE AS estimate FROM orders""")
+def release_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-12, JON-16, ARR-02, JSN-03, JSN-04: awards of a release and the estimates of what they cover."""
+    k = F.col("o_orderkey") % 5
+    award = lambda name, amount, currency, lots, status="active": f'{{"id": "{name}", "status": "{status}", "value": {{"amount": {amount}, "currency": "{currency}"}}, "relatedLots": {lots}}}'
+    lots = '"lots": [{"id": "L1", "value": {"amount": 400}}, {"id": "L2", "value": {"amount": 600}}], '
+    made = pick(F.col("o_orderkey"), [
+        f'"awards": [{award("A", 900, "USD", "null")}]', f'"awards": [{award("A", 390, "USD", chr(91) + chr(34) + "L1" + chr(34) + chr(93))}, {award("B", 610, "USD", chr(91) + chr(34) + "L2" + chr(34) + chr(93))}]',
+        f'"awards": [{award("A", 390, "USD", "null")}, {award("B", 610, "USD", "null")}]', f'"awards": [{award("A", 390, "USD", "null", "cancelled")}]', f'"awards": [{award("A", 900, "EUR", "null")}]',
+    ])
+    release = _page('{"ocid": "', text("o_orderkey"), '", "tender": {', F.when((k == 1) | (k == 2), lots).otherwise(""), '"value": {"amount": 1000, "currency": "USD"}, "datePublished": "2020-01-02T00:00:00Z"}, ', made, "}")
+    rows = table(spark, sf_dir, "orders").select(F.from_json(release, awards.RELEASE).alias("r")).select("r.*")
+    return awards.ocds_reasoned(rows, "PEN").select(F.col("ocid").cast("long").alias("id"), "reason", F.col("s.estimate").alias("estimate"))
