@@ -9,10 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.functions import scalars
-from orefield.operators import answers, bank, bookkeeping, contracts, documents, entities, fulltext, notices, rules, search
+from orefield.operators import answers, bank, bookkeeping, contracts, documents, entities, exports, fulltext, notices, rules, search
 from orefield.sources import awards
 from orefield.sources import pages as portal
 from orefield.sources.tables import AS_OF, TENDER_SQL, table, tenders
+from orefield.streaming import incremental
 
 SQL: dict[str, str] = {}
 QUERIES = {}
@@ -647,3 +648,80 @@ def release_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     release = _page('{"ocid": "', text("o_orderkey"), '", "tender": {', F.when((k == 1) | (k == 2), lots).otherwise(""), '"value": {"amount": 1000, "currency": "USD"}, "datePublished": "2020-01-02T00:00:00Z"}, ', made, "}")
     rows = table(spark, sf_dir, "orders").select(F.from_json(release, awards.RELEASE).alias("r")).select("r.*")
     return awards.ocds_reasoned(rows, "PEN").select(F.col("ocid").cast("long").alias("id"), "reason", F.col("s.estimate").alias("estimate"))
+
+
+# ---- contracts, exports, runs -----------------------------------------------------------------------------------------
+
+SPANISH = ["Construcción de carretera", "Supervisión de obra", "Servicio de VIGILANCIA", "Ampliación de alcantarillado", "Electrificación rural", "Compra de medicamentos", "Construcción de aulas", "Otros bienes"]
+SPANISH_SECTOR = ["roads", "consultancy", "security", "water", "electrical", "health", "buildings", "supplies"]
+METHOD_TEXTS = ["Request for Bids", "Direct Selection", "QCBS", "Shopping", "National Competitive Bidding (NCB)", "Barter", ""]
+METHOD_NAMES = ["open", "single", "qcbs", "limited", "open", "other", ""]
+
+
+@query(f"""SELECT p_partkey, {SPANISH_SECTOR!r}[p_partkey % 8 + 1] AS sector, {METHOD_NAMES!r}[p_partkey % 7 + 1] AS method, 'AB/12-' || p_partkey AS ref, CASE WHEN p_partkey % 2 = 0 THEN 'P1:AB/12-' || p_partkey ELSE 'XY-' || (10000 + p_partkey) || '-CW-RFB' END AS key,
+CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'works' END AS category, ['Uttar Pradesh', 'Goa', ''][p_partkey % 3 + 1] AS state FROM part""")
+def contract_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STR-07, STR-09, STR-10, JON-10: sectors, methods, references, keys and states of contracts."""
+    k = F.col("p_partkey")
+    ref = _page("  ab/12-", text(k), " .")
+    keyed = F.when(k % 2 == 0, ref).otherwise(_page("xy-", text(10000 + k), "-cw-rfb"))
+    state = contracts.find_state(["Goa", "Pradesh", "Uttar Pradesh"], pick(k, ["a road", "beaches of goa", "none"]), pick(k, ["in uttar pradesh", "Uttar Pradesh", "x"]))
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", contracts.spanish_sector(pick(k, SPANISH), F.lit("goods")).alias("sector"), contracts.bank_method(pick(k, METHOD_TEXTS)).alias("method"), contracts.reference(ref).alias("ref"), contracts.merge_key(F.lit("P1"), keyed).alias("key"), contracts.reference_category(keyed).alias("category"), state.alias("state"),
+    )
+
+
+@query("""SELECT page_id FROM (SELECT o_orderkey AS page_id, CASE WHEN o_orderkey % 2 = 0 THEN 'listing' ELSE 'detail' END AS kind, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-01-01') AS age FROM orders)
+WHERE NOT (kind = 'listing' AND age > 7) AND NOT (kind = 'detail' AND age > 30 AND page_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 1))""")
+def pages_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-05, SNK-11: young pages, and old details that something refers to."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(k.alias("page_id"), F.when(k % 2 == 0, "listing").otherwise("detail").alias("kind"), F.col("o_orderdate").alias("fetched_at"))
+    used = table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select(F.col("l_orderkey").alias("page_id"))
+    return exports.retained(rows, [used, used.limit(0)], "1998-01-01 00:00:00").select("page_id")
+
+
+@query("""SELECT o_orderkey AS id, k AS kind, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || o_orderkey || '-' || k || chr(13) || chr(10) || 'DTSTART:' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || chr(13) || chr(10) || 'SUMMARY:' || CASE k WHEN 'closes_at' THEN 'Closes' ELSE 'Bids open' END || ': Road\\, no\; ' || o_orderkey || chr(13) || chr(10) || 'END:VEVENT' AS event
+FROM orders, (SELECT unnest(['closes_at', 'opens_at']) AS k) WHERE k = 'closes_at' OR o_orderkey % 2 = 0""")
+def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-08: what is known of a tender's days, as events."""
+    at = F.col("o_orderdate")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), _page("Road, no; ", text("o_orderkey")).alias("title"), at.alias("closes_at"), F.when(F.col("o_orderkey") % 2 == 0, at).alias("opens_at"), F.lit(None).cast("timestamp").alias("prebid_meeting"))
+    return exports.calendar(rows).select("id", "kind", "event")
+
+
+@query("""SELECT event_id AS id, CASE WHEN event_type = 'click' AND ts < TIMESTAMP '2024-01-20' - INTERVAL 6 HOUR THEN 'incomplete' WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status FROM events""")
+def runs_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-07: crawls that run for too long are incomplete."""
+    runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), F.col("ts").alias("started"))
+    return incremental.stale_runs(runs, "2024-01-20 00:00:00").select("id", "status")
+
+
+@query("""SELECT u.user_id AS sub_id, e.event_id AS id FROM (SELECT DISTINCT user_id FROM events WHERE user_id < 40) u JOIN events e ON (u.user_id % 3 = 0 OR e.event_type = ['click', 'view', 'purchase'][u.user_id % 3 + 1]) AND (u.user_id % 2 = 0 OR e.user_id % 4 = u.user_id % 4) AND e.value >= 50
+AND e.ts > TIMESTAMP '2024-01-15' AND e.ts <= TIMESTAMP '2024-01-20' AND e.event_id % 5 <> 0 QUALIFY row_number() OVER (PARTITION BY u.user_id ORDER BY e.ts DESC, e.event_id DESC) <= 25""")
+def alerts_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """STM-01, SNK-09: new rows for subscriptions by their states, sectors and least value, without what was sent."""
+    e = table(spark, sf_dir, "events")
+    u = F.col("user_id")
+    some = e.where("user_id < 40").select("user_id").distinct()
+    kinds = F.when(u % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(pick(u, ["click", "view", "purchase"])))
+    subs = some.select(u.alias("sub_id"), kinds.alias("states"), F.when(u % 2 == 0, F.array().cast("array<string>")).otherwise(F.array(text(u % 4))).alias("sectors"), F.lit(50.0).alias("min_value"), F.lit("2024-01-15").cast("timestamp").alias("checked_until"))
+    rows = e.select(F.col("event_id").alias("id"), F.col("event_type").alias("state"), text(u % 4).alias("sector"), "value", F.col("ts").alias("first_seen"))
+    sent = rows.where("id % 5 = 0").select("id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("sub_id"))
+    return incremental.due_alerts(subs, rows, sent, "2024-01-20 00:00:00")[0].select("sub_id", "id")
+
+
+@query("""SELECT user_id AS org_id, event_id AS n, sum(event_id) OVER (PARTITION BY user_id, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m') ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) <= 200000 AS ok FROM events""")
+def usage_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-22: uses that still fit a month's cap, in order of time."""
+    usage = table(spark, sf_dir, "events").select(F.col("user_id").alias("org_id"), F.col("ts").alias("at"), F.col("event_id").alias("n"))
+    return contracts.admitted(usage, 200_000).select("org_id", "n", "ok")
+
+
+@query("""SELECT o_orderkey AS id, o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 AS allowed FROM orders""")
+def crawl_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JON-11: of a host's rules the longest that fits decides; a host without rules is open."""
+    k = F.col("o_orderkey")
+    urls = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "a").otherwise("b").alias("host"), F.when(k % 2 == 0, _page("/x/open/", text(k))).otherwise(_page("/x/y", text(k))).alias("path"))
+    rules_of = spark.createDataFrame([("a", "/x/", False), ("a", "/x/*open", True), ("c", "/", False)], "host string, pattern string, allow boolean")
+    return contracts.may_crawl(urls, rules_of).select("id", "allowed")
