@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
@@ -36,8 +37,12 @@ def dense_many(df: DataFrame, queries: DataFrame, k: int, by: str = "id", vector
     """(query, id, distance, rank): the k nearest other rows of each query, exactly.
 
     Queries go to the tasks in blocks; a task scans its rows once per block and gives its own k best of each, so what
-    is shuffled is k rows for each query and task.
+    is shuffled is k rows for each query and task. Where there is more than one block and the session names a shared
+    folder (spark.checkpoint.dir), a block's results are written there before the next block is fetched, so the driver
+    holds one block of queries at a time, however many there are.
     """
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    folder = f"{shared.rstrip('/')}/nearest-{uuid.uuid4().hex}" if shared else None
     n = queries.count()
     passes = max(1, -(-n // QUERIES_AT_ONCE))
     dealt = queries.select(by, vector).withColumn("__pass", F.pmod(F.xxhash64(by), F.lit(passes)))
@@ -66,7 +71,11 @@ def dense_many(df: DataFrame, queries: DataFrame, k: int, by: str = "id", vector
         if len(block):
             matrix = np.stack(block[vector].to_numpy()).astype(float)
             matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-            parts.append(df.select(by, vector).mapInPandas(scan(block[by].to_numpy(), matrix), f"query {kind}, {by} {kind}, distance double"))
+            found = df.select(by, vector).mapInPandas(scan(block[by].to_numpy(), matrix), f"query {kind}, {by} {kind}, distance double")
+            if folder and passes > 1:
+                found.write.parquet(f"{folder}/{p}")
+                found = df.sparkSession.read.schema(found.schema).parquet(f"{folder}/{p}")
+            parts.append(found)
     if not parts:
         return df.limit(0).select(F.col(by).alias("query"), by, F.lit(0.0).alias("distance"), F.lit(1).alias("rank"))
     best = W.partitionBy("query").orderBy("distance", by)

@@ -725,3 +725,13 @@ def crawl_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "a").otherwise("b").alias("host"), F.when(k % 2 == 0, _page("/x/open/", text(k))).otherwise(_page("/x/y", text(k))).alias("path"))
     rules_of = spark.createDataFrame([("a", "/x/", False), ("a", "/x/*open", True), ("c", "/", False)], "host string, pattern string, allow boolean")
     return contracts.may_crawl(urls, rules_of).select("id", "allowed")
+
+
+@query("""SELECT 'Dept of ' || n_name AS name, n_name AS state, CASE WHEN n_nationkey % 2 = 0 THEN 'E' || n_nationkey ELSE 'Dept of ' || n_name END AS entity, CASE WHEN n_nationkey % 2 = 0 THEN 'alias' ELSE 'new' END AS method FROM nation""")
+def names_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER-05, ER-06: known aliases first, in any state; what is left becomes entities of its own."""
+    nation = table(spark, sf_dir, "nation")
+    names = nation.select(_page("Dept of ", F.col("n_name")).alias("name"), F.col("n_name").alias("state"), F.lit(1).cast("long").alias("n"))
+    aliases = nation.where("n_nationkey % 2 = 0").select(entities.normalise(_page("DEPARTMENT, ", F.col("n_name"))).alias("norm"), _page("E", text("n_nationkey")).alias("entity"))
+    known, rest = entities.resolve_known(names, aliases)
+    return known.unionByName(entities.resolve(rest)).select("name", "state", "entity", "method")
