@@ -1,10 +1,12 @@
 import corpus_pipeline
 import public_tokenizers as P
+import pyarrow as pa
 from test_line_dedup import brute as dedup
+from test_mixing import brute as mixture
 from test_neardup import brute as near
 from tokenizers import Tokenizer
 
-from orefield.llm import langid, mixing, queries
+from orefield.llm import langid, queries, topics
 from orefield.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
@@ -18,6 +20,8 @@ def test_stages_against_brute_force(spark):
     rows = a.collect()
     wanted = {r.doc_id: r.lang_pred for r in langid.identify(docs, queries.language_model(docs)).collect() if r.lang_pred != "und"}
     assert {r.doc_id: r.lang for r in rows} == wanted and len(rows) > 0.95 * docs.count()
+    labels = {r.doc_id: r.lang for r in docs.collect()}
+    assert sum(r.lang == labels[r.doc_id] for r in rows) > 0.97 * len(rows)
 
     b = materialize(stages["line_dedup"](spark, a, SF), "b")
     cut = dedup([(r.doc_id, r.text) for r in rows])
@@ -28,7 +32,11 @@ def test_stages_against_brute_force(spark):
     assert sorted(r.doc_id for r in c.collect()) == sorted(k for k, (g, _, _) in groups.items() if g == k)
 
     d = materialize(stages["mixing"](spark, c, SF), "d")
-    assert sorted(r.doc_id for r in d.collect()) == sorted(r.doc_id for r in mixing.mix(c, queries.MIX_TARGETS).collect())
+    model, cells = topics.fit(c), []
+    for r in c.collect():
+        (topic,), n = topics.topics_of(model, pa.array([r.text]))
+        cells.append((r.doc_id, r.source or "", r.lang or "", topic if n[0] else "", int(n[0])))
+    assert sorted(r.doc_id for r in d.collect()) == sorted(mixture(cells, tuple(queries.MIX_TARGETS[m] for m in ("source", "lang", "topic")), 0.5))
     for df in (a, b, c, d):
         assert df.columns == docs.columns
 
@@ -44,7 +52,13 @@ def test_stages_against_brute_force(spark):
 def test_frames(spark):
     rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (None, "the cat " * 9, "en", None, 1), (3, "the dog and the cat\n" * 5, "en", "s", 5), (3, "the dog and the cat\n" * 5, "en", "s", 5)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for frame in (df, df.limit(0)):
-        for _, stage in corpus_pipeline.STAGES:
+    for frame_of in (df, df.limit(0)):
+        frame = frame_of
+        ids = {}
+        for name, stage in corpus_pipeline.STAGES:
             frame = materialize(stage(spark, frame, SF), "frame")
-        assert frame.count() <= 5
+            ids[name] = sorted(str(r.doc_id) for r in frame.collect())
+        some = frame_of is df
+        assert ids["language_id"] == ids["line_dedup"] == (["3", "3", "None"] if some else [])  # null and empty texts go
+        assert ids["jaccard_join"] == (["3", "None"] if some else [])  # of rows alike one stays
+        assert ids["mixing"] == ids["bpe"] == (["3"] if some else [])  # half of the tokens are drawn
