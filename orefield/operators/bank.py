@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from html.parser import HTMLParser
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from orefield.operators.contracts import bank_method, reference, reference_category
 
@@ -104,3 +108,88 @@ def award_rows(notices: DataFrame, payments: DataFrame, plans: DataFrame, rates:
     # a reference that more than one key has gets the key after it
     twice = F.count(F.lit(1)).over(W.partitionBy("ref")) > 1
     return rows.withColumn("source_id", F.when(twice, F.concat_ws("#", "ref", "key")).otherwise(F.col("ref")))
+
+
+#: What marks a section of bidders, the labels of prices and of anything else, and money.
+SECTION = r"(?i)^(awarded|evaluated|rejected)\b[^:]{0,40}:$"
+PRICE_LABELS = [("opening", r"(?i)^(bid price at opening|read out price)\b"), ("evaluated", r"(?i)^(evaluated bid price|final evaluation price)\b"), ("signed", r"(?i)^(signed contract price|contract price)\b")]
+OTHER_LABELS = r"(?i)^(scores|price:?|currency:?|amount:?|reason for rejection|technical:?|financial:?|combined:?|rank:?|country:)"
+MONEY = r"\b([A-Z]{3})\s*(\d[\d,]*(?:\.\d+)?)"
+NOTICE_DATE = r"\s*:?\s*(?:\(YYYY/MM/DD\))?\s*(\d{4}/\d{2}/\d{2}|\d{1,2}-[A-Za-z]{3}-\d{4})"
+
+
+class _Said(HTMLParser):
+    """Stretches of text, and whether they are bold."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.bold, self.out = 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.bold += tag in ("b", "strong")
+
+    def handle_endtag(self, tag):
+        self.bold -= tag in ("b", "strong") and self.bold > 0
+
+    def handle_data(self, data):
+        if text := " ".join(data.split()):
+            self.out.append({"text": text, "bold": self.bold > 0})
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("bold", T.BooleanType())])))
+def said(html: pd.Series) -> pd.Series:
+    """What a notice's page says, stretch by stretch."""
+
+    def one(page: str | None) -> list[dict]:
+        own = _Said()
+        own.feed(page or "")
+        own.close()
+        return own.out
+
+    return html.map(one)
+
+
+def _money_in(text: Column) -> Column:
+    """The first sum in rupees, else the first of any currency."""
+    sums = F.zip_with(F.regexp_extract_all(text, F.lit(MONEY), F.lit(1)), F.regexp_extract_all(text, F.lit(MONEY), F.lit(2)), lambda c, a: F.struct(c.alias("currency"), bank_amount(a).cast("double").alias("amount")))
+    some = F.filter(sums, lambda m: m["amount"].isNotNull())
+    return F.coalesce(F.get(F.filter(some, lambda m: m["currency"] == "INR"), 0), F.get(some, 0))
+
+
+def read_notices(pages: DataFrame, by: str = "id", html: str = "html") -> DataFrame:
+    """(by, project_id, ref, version, signed_on, notified_on, bidders) of award notices in either layout.
+
+    A stretch of text is a section, a price's label, a name, another label, or a value. A section holds for what follows, a
+    name begins a bidder, and a sum belongs to the label that it stands in or right after: all of it windows over a
+    notice's stretches. A bidder has one currency, that of the evaluated price if there is one.
+    """
+    told = pages.select(by, said(F.col(html)).alias("said"))
+    text = F.array_join(F.transform("said", lambda x: x["text"]), "\n")
+    find = lambda rx, k=1: F.regexp_extract(F.col("text"), rx, k)
+    heads = told.select(by, text.alias("text")).select(
+        by, find(r"Project\s*:\s*(P\d{5,7})").alias("project_id"), plain(find(r"Bid/Contract Reference No\s*:[ \t]*\n?[ \t]*([^\n]+)")).alias("ref"), F.coalesce(find(r"Notice Version No\s*:\s*(\d+)").try_cast("int"), F.lit(0)).alias("version"),
+        bank_date(find(r"Contract Signature Date" + NOTICE_DATE)).alias("signed_on"), bank_date(find(r"Date Notification of Award Issued" + NOTICE_DATE)).alias("notified_on"),
+    )
+    rows = told.select(by, F.posexplode("said").alias("pos", "x")).select(by, "pos", "x.text", "x.bold")
+    t, order = F.col("text"), W.partitionBy(by).orderBy("pos")
+    label = F.coalesce(*(F.when(t.rlike(rx), name) for name, rx in PRICE_LABELS))
+    role = F.when(t.rlike(SECTION), F.lower(F.regexp_extract(t, SECTION, 1)))
+    name = role.isNull() & label.isNull() & (t.rlike(r"(?i)^name\s*:") | (F.col("bold") & ~t.rlike(OTHER_LABELS)))
+    rows = rows.select(by, "pos", "text", role.alias("section"), label.alias("label"), name.alias("named"), F.when(label.isNotNull() & t.contains(":"), _money_in(F.regexp_replace(t, "^[^:]*:", ""))).alias("inside"))
+    rows = rows.withColumn("role", F.last("section", ignorenulls=True).over(order)).where("role is not null")
+    plain_value = F.col("section").isNull() & F.col("label").isNull() & ~F.col("named") & ~t.rlike(OTHER_LABELS)
+    waiting = F.lag(F.when(F.col("inside").isNull(), F.col("label"))).over(order)
+    rows = rows.withColumns({"bidder": F.sum(F.col("named").cast("int")).over(order), "since": F.max(F.when(F.col("section").isNotNull(), F.col("pos"))).over(order), "of": F.coalesce(F.when(F.col("inside").isNotNull(), F.col("label")), F.when(plain_value, waiting))})
+    money = F.coalesce("inside", F.when(F.col("of").isNotNull(), _money_in(t)))
+    called = plain(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?i)^name\s*:\s*", ""), r"\s*\(\d+\)\s*$", ""), r"\s*\[[^\]]*\]\s*$", ""))
+    price = F.struct("pos", "of", money["currency"].alias("currency"), money["amount"].alias("amount"))
+    each = rows.where("bidder > 0").groupBy(by, "bidder").agg(
+        F.min_by(F.struct(called.alias("name"), "role", "since"), F.when(F.col("named"), F.col("pos"))).alias("b"), F.sort_array(F.collect_list(F.when(F.col("of").isNotNull() & money.isNotNull(), F.struct(price.alias("p"), F.col("since").alias("since"))))).alias("prices")
+    )
+    # sums after another section's head are no bidder's
+    own = F.transform(F.filter("prices", lambda x: x["since"] == F.col("b.since")), lambda x: x["p"])
+    currency = F.coalesce(F.get(F.filter(own, lambda p: p["of"] == "evaluated"), 0)["currency"], F.get(own, 0)["currency"])
+    last = lambda kind: F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.transform(F.filter(own, lambda p: (p["of"] == kind) & (p["currency"] == currency)), lambda p: p["amount"])), -1)
+    made = each.select(by, "bidder", F.struct(F.col("b.name").alias("name"), F.col("b.role").alias("role"), F.coalesce(currency, F.lit("")).alias("currency"), last("opening").alias("opening"), last("evaluated").alias("evaluated"), last("signed").alias("signed")).alias("x"))
+    listed = made.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("bidder", "x"))), lambda s: s["x"]).alias("bidders"))
+    return heads.join(listed, by, "left")

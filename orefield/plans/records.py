@@ -735,3 +735,18 @@ def names_by_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = nation.where("n_nationkey % 2 = 0").select(entities.normalise(_page("DEPARTMENT, ", F.col("n_name"))).alias("norm"), _page("E", text("n_nationkey")).alias("entity"))
     known, rest = entities.resolve_known(names, aliases)
     return known.unionByName(entities.resolve(rest)).select("name", "state", "entity", "method")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, CAST(floor(o_totalprice) AS BIGINT) AS n FROM orders)
+SELECT id, 'P12345' AS project_id, 'AB/' || id AS ref, CAST(2 AS INTEGER) AS version, DATE '2020-05-01' AS signed_on, unnest(['First Co', 'Second Co', 'Third Co']) AS name, unnest(['awarded', 'evaluated', 'rejected']) AS role, unnest(['INR', 'INR', 'USD']) AS currency,
+unnest([n, NULL, 7])::DOUBLE AS opening, unnest([n + 1, n + 5, NULL])::DOUBLE AS evaluated, unnest([n + 2, NULL, NULL])::DOUBLE AS signed FROM o""")
+def notices_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SRC-12: award notices' headers and bidders, with sums in and after their labels, and in two currencies."""
+    k, n = text("o_orderkey"), F.floor("o_totalprice").cast("long")
+    html = _page(
+        "<p>Project: P12345</p><p>Bid/Contract Reference No: AB/", k, "</p><p>Notice Version No: 2</p><p>Contract Signature Date: (YYYY/MM/DD) 2020/05/01</p><p>INR 5</p><div><b>Scores</b></div><div>Awarded Bidder(s):</div><div><b>First Co (7639)</b></div><div>Country: India</div>",
+        "<div>Bid Price at Opening</div><div>USD 9.00 INR ", text(n), "</div><div>Evaluated Bid Price: INR ", text(n + 1), "</div><div>Signed Contract price</div><div>INR ", text(n + 2), "</div><div>INR 1</div><div>Evaluated Bidder(s):</div><p>Name: Second Co [SC]</p>",
+        "<p>Read Out Price : USD 3</p><p>Final Evaluation Price</p><p>INR ", text(n + 5), "</p><div>Rejected Bidder(s):</div><div><strong>Third Co</strong></div><div>Bid price at opening</div><div>USD 7</div><div>Evaluated Bid Price</div><div>Reason for rejection</div><div>INR 3</div>",
+    )
+    rows = bank.read_notices(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html")))
+    return rows.select("id", "project_id", "ref", "version", "signed_on", F.inline("bidders"))
