@@ -285,10 +285,10 @@ def crawl_walk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bookkeeping.walk(*_listings(spark, sf_dir))[1]
 
 
-@query("""SELECT s_suppkey AS source FROM supplier WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id = s_suppkey AND event_type = 'click' AND ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 6 HOUR)""")
+@query("""SELECT s_suppkey AS source FROM supplier WHERE NOT EXISTS (SELECT 1 FROM events WHERE user_id * 2 = s_suppkey AND event_type = 'click' AND ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 6 HOUR)""")
 def free_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JON-24: sources without a running crawl of the last six hours."""
-    runs = table(spark, sf_dir, "events").select(F.col("user_id").alias("source"), F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), F.col("ts").alias("started"))
+    runs = table(spark, sf_dir, "events").select((F.col("user_id") * 2).alias("source"), F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), F.col("ts").alias("started"))
     return bookkeeping.free_sources(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source")), runs, "2024-01-20 00:00:00")
 
 

@@ -121,8 +121,8 @@ def sector_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FORMS = f"list_distinct([w, regexp_replace(w, '^([a-z]{{3,}}?)(?:{'|'.join(fulltext.ENDINGS)})$', '\\1')])"
 
 
-@query(f"""WITH t AS (SELECT doc_id, 'A' AS label, list_filter(string_split_regex(lower(source), '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '') AS ws FROM documents
-UNION ALL SELECT doc_id, 'D', list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{Nd}}]+'), lambda x: x <> '') FROM documents),
+@query(f"""WITH t AS (SELECT doc_id, 'A' AS label, list_filter(string_split_regex(lower(source), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '') AS ws FROM documents
+UNION ALL SELECT doc_id, 'D', list_filter(string_split_regex(lower(text), '[^\\p{{L}}\\p{{Nd}}]+'), lambda x: x <> '') FROM documents),
 w AS (SELECT doc_id, label, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM t), s AS (SELECT doc_id, label, pos, unnest({_FORMS}) AS lexeme FROM w),
 h AS (SELECT doc_id, 'e' AS term, label FROM s WHERE starts_with(lexeme, 'ering') UNION ALL SELECT doc_id, 't', label FROM s WHERE starts_with(lexeme, 'tion')
 UNION ALL SELECT doc_id, 'o', label FROM s WHERE starts_with(lexeme, 'of') AND EXISTS (SELECT 1 FROM s n WHERE n.doc_id = s.doc_id AND n.label = s.label AND n.pos = s.pos + 1 AND starts_with(n.lexeme, 'the'))),
