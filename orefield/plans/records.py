@@ -97,13 +97,14 @@ def coded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scalars.cpv_sector(pick(k, CODES)).alias("sector"), scalars.pincode_state(pick(k, PIN_TEXTS), PINS).alias("state"))
 
 
-@query("""WITH v AS (SELECT c_custkey, CAST(c_custkey * c_custkey * 37 AS BIGINT) AS n FROM customer)
+@query("""WITH c AS (SELECT c_custkey, CAST(c_custkey * c_custkey * 37 AS BIGINT) AS m FROM customer), v AS (SELECT c_custkey, CASE WHEN m >= 10000000 THEN m // 100000 * 100000 WHEN m >= 100000 THEN m // 1000 * 1000 ELSE m END AS n FROM c)
 SELECT c_custkey, CASE WHEN n >= 10000000 THEN '₹' || printf('%.2f', n / 1e7) || ' Cr' WHEN n >= 100000 THEN '₹' || printf('%.2f', n / 1e5) || ' L' WHEN n >= 1000 THEN '₹' || (n // 1000) || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') ELSE '₹' || n END AS shown,
 CASE WHEN n < 1000 THEN CAST(n AS VARCHAR) WHEN n < 100000 THEN (n // 1000) || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') WHEN n < 10000000 THEN (n // 100000) || ',' || lpad(CAST(n // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0')
 ELSE (n // 10000000) || ',' || lpad(CAST(n // 100000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(n // 1000 % 100 AS VARCHAR), 2, '0') || ',' || lpad(CAST(n % 1000 AS VARCHAR), 3, '0') END AS grouped FROM v WHERE n < 1000000000""")
 def money_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STR-15: amounts in lakhs, crores and Indian groups."""
-    n = F.col("c_custkey") * F.col("c_custkey") * 37
+    """STR-15: amounts in lakhs, crores and Indian groups; amounts of two decimals, which need no rounding."""
+    m = F.col("c_custkey") * F.col("c_custkey") * 37
+    n = F.when(m >= 10_000_000, m - m % 100_000).when(m >= 100_000, m - m % 1000).otherwise(m)
     return table(spark, sf_dir, "customer").select("c_custkey", n.alias("n")).where("n < 1000000000").select("c_custkey", scalars.format_inr(F.col("n")).alias("shown"), scalars.indian_grouping(F.col("n")).alias("grouped"))
 
 
