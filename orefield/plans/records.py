@@ -682,7 +682,7 @@ def pages_retained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.retained(rows, [used, used.limit(0)], "1998-01-01 00:00:00").select("page_id")
 
 
-@query("""SELECT o_orderkey AS id, k AS kind, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || o_orderkey || '-' || k || chr(13) || chr(10) || 'DTSTART:' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || chr(13) || chr(10) || 'SUMMARY:' || CASE k WHEN 'closes_at' THEN 'Closes' ELSE 'Bids open' END || ': Road\\, no\; ' || o_orderkey || chr(13) || chr(10) || 'END:VEVENT' AS event
+@query("""SELECT o_orderkey AS id, k AS kind, 'BEGIN:VEVENT' || chr(13) || chr(10) || 'UID:' || o_orderkey || '-' || k || chr(13) || chr(10) || 'DTSTART:' || strftime(o_orderdate, '%Y%m%dT%H%M%SZ') || chr(13) || chr(10) || 'SUMMARY:' || CASE k WHEN 'closes_at' THEN 'Closes' ELSE 'Bids open' END || ': Road\\, no\\; ' || o_orderkey || chr(13) || chr(10) || 'END:VEVENT' AS event
 FROM orders, (SELECT unnest(['closes_at', 'opens_at']) AS k) WHERE k = 'closes_at' OR o_orderkey % 2 = 0""")
 def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK-08: what is known of a tender's days, as events."""
