@@ -255,7 +255,7 @@ def linked(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return UNDER * both >= OVER * (sizes[0][:, None] + sizes[1][None, :] - both)
 
 
-def _roots(links: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+def roots_of(links: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
     """For each of n nodes the first one that it is connected with; links: of the nodes x with the nodes y."""
     row, column = np.full(n, -1), np.full(n, -1)
     row[x], column[y] = np.arange(len(x)), np.arange(len(y))
@@ -296,7 +296,7 @@ def _compare(group: pa.Table) -> list[tuple[int, int, int]]:
     total[x] += links @ copies[y]
     if not within:
         total[y] += copies[x] @ links
-    root = _roots(links, x, y, len(node))
+    root = roots_of(links, x, y, len(node))
     (out,) = total.nonzero()
     return list(zip(node[out].tolist(), node[root[out]].tolist(), total[out].tolist()))
 

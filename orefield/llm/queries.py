@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import bpe, centroids, html_text, langid, line_dedup, media, mixing, neardup, quality, secrets, sstable
+from orefield.llm import bpe, centroids, html_text, langid, line_dedup, media, mixing, neardup, quality, secrets, sketch_dedup, sstable
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +82,11 @@ def op10_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_fast_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sketch_dedup.near_duplicates(docs)
+
+
 def op13_delta_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", id_digest("centroid").alias("centroid_sha256"))
@@ -99,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_archive": op8_media_archive,
         "op9_line_windows": op9_line_windows,
         "op10_page_difference": op10_page_difference,
+        "op12_fast_sketch": op12_fast_sketch,
         "op13_delta_lloyd": op13_delta_lloyd,
     }
 
