@@ -11,8 +11,9 @@ were independent. Bands of ROWS values each are the keys of buckets: classes of
 Links are confirmed on full sets, and only as many as tell the components. First each class is compared with one leader,
 the least class of its largest bucket, so a group of any number of near copies costs as many comparisons as it has
 members. Then, in the buckets that still hold several components, candidates of different components are compared, all
-of them: small components go into blocks by their largest bucket, a large one has blocks of its own, and each pair of
-blocks with a bucket between them is one bounded group; inside it only candidates of different components count.
+of them: small components go into blocks by the largest bucket that they, or those they share a bucket with, are in, a large one
+has blocks of its own, and each pair of blocks with a bucket between them is one bounded group; inside it only candidates
+of different components count.
 
 Defined results: per row `n_shingles`, `component_id` (the least identifier reachable over links, its own included) and
 `kept` (the identifier is that one). Null, empty and blank texts have an empty set, are linked with nothing and kept. A
@@ -186,7 +187,9 @@ def blocks(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     compared with each other; pairs are made between groups first, so that a large one counts once in a bucket.
     """
     popular = rest.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
-    kin = rest.join(popular, "band").groupBy("node").agg(F.max(F.struct("n", "band"))["band"].alias("kin"), F.first("size").alias("size"), F.first("component").alias("component"))
+    own = materialize(rest.join(popular, "band").groupBy("node").agg(F.max(F.struct("n", "band")).alias("top")), "tops")
+    around = rest.select("band", "node").join(own, "node").groupBy("band").agg(F.max("top").alias("top"))
+    kin = rest.join(around, "band").groupBy("node").agg(F.max("top")["band"].alias("kin"), F.first("size").alias("size"), F.first("component").alias("component"))
     kin = materialize(kin, "kin")
     large = kin.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK_CLASSES).select("component", F.lit(True).alias("large"))
     settled = kin.join(large, "component", "left").select("node", "size", "component", F.coalesce("large", F.lit(False)).alias("large"), F.when(F.col("large"), F.col("component")).otherwise(F.col("kin")).alias("kin"))
@@ -202,7 +205,7 @@ def blocks(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     across = between.join(one, ["band", "group"]).join(two, ["band", "other"]).select(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high")).distinct()
     within = homes.where("not large").groupBy("block").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select(F.col("block").alias("low"), F.col("block").alias("high"))
     pairs = materialize(across.union(within), "pairs")
-    discard(kin, settled, present)
+    discard(own, kin, settled, present)
     return homes.select("node", "component", "block"), pairs.select(F.col("low").alias("block"), "low", "high").union(pairs.where("low <> high").select(F.col("high").alias("block"), "low", "high"))
 
 
