@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.llm import bpe, centroids, html_text, langid, line_dedup, media, mixing, neardup, quality, secrets, sketch_dedup, sstable
+from orefield.llm import bpe, centroids, html_text, langid, line_dedup, media, mixing, neardup, quality, secrets, sketch_dedup, spelling, sstable
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -82,6 +82,11 @@ def op10_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_errata_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.variants(docs).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op12_fast_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sketch_dedup.near_duplicates(docs)
@@ -104,6 +109,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_media_archive": op8_media_archive,
         "op9_line_windows": op9_line_windows,
         "op10_page_difference": op10_page_difference,
+        "op11_errata_trie": op11_errata_trie,
         "op12_fast_sketch": op12_fast_sketch,
         "op13_delta_lloyd": op13_delta_lloyd,
     }
