@@ -49,7 +49,7 @@ SEED = 20261128
 #: The first step compares at most so many classes with their leader in one group.
 STAR_CLASSES = 512
 #: A block has about so many classes, and so many shingles, at most. A component of more classes has blocks of its own.
-BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
+BLOCK_CLASSES, BLOCK_SHINGLES = 1024, 1_000_000
 
 
 def recall(similarity: float = OVER / UNDER) -> float:
