@@ -102,7 +102,8 @@ def stems(words: DataFrame, word: str = "word") -> DataFrame:
     rest, size = _without(w, 1), F.length(w) - 1
     drop = (w.endswith("e") & ((size >= r2) | ((size >= r1) & ~rest.rlike(SHORT_END)))) | (w.endswith("ll") & (size >= r2))
     df = step(F.when(drop, rest).otherwise(w), df.select(*keep, "w"))
-    return df.select("word", _settled(F.col("plain"), F.col("held"), w).alias("stem"))
+    # a one-element explode: filters on the stem aren't pushed below it, which would write all steps out once for each use
+    return df.select("word", F.explode(F.array(_settled(F.col("plain"), F.col("held"), w))).alias("stem"))
 
 
 def _settled(plain: Column, held: Column, w: Column) -> Column:

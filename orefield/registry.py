@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.plans import awards, records, relational, text, vectors
+from orefield.plans import awards, records, relational, searching, text, vectors
 
-MODULES = (relational, awards, vectors, text, records)
+MODULES = (relational, awards, vectors, text, records, searching)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
