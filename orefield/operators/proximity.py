@@ -8,14 +8,16 @@ keeps the last occurrence of each clause and follows phrases by shifting bits, s
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.operators import fulltext
-from orefield.operators.fulltext import Question, parse_question, relaxed, tokens
+from orefield.operators.fulltext import Question, exact_ids, parse_question, relaxed, tokens
 from orefield.operators.stemming import SPECIAL, stems
+from orefield.operators.wordlist import WordList
 
 #: The words that are no lexemes of an English part or question.
 STOP_WORDS = """i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves
@@ -161,3 +163,42 @@ def search(df: DataFrame, text: str, by: str = "id", parts=TENDER_PARTS, any_ter
     if not question.clauses:
         return df.select(by, F.lit(0.0).alias("score")).limit(0)
     return covered(hits(df, by, question, parts), question, by).orderBy(F.desc("score"), by)
+
+
+@dataclass(frozen=True)
+class Found:
+    """Rows in search order, with exact and score, and how the text was matched."""
+
+    rows: DataFrame
+    corrected: str | None = None
+    any_term: bool = False
+
+
+def staged(df: DataFrame, text: str, words: WordList, parts=TENDER_PARTS, ids: tuple[str, ...] = ("tender_id", "reference"), by: str = "id", closes: str | None = "closes_at") -> Found:
+    """The first stage that finds rows: as asked, with unknown words corrected, with any of several words; else none.
+
+    A row of which an identifier is the text is there at every stage, and first; then come the closest covers, the
+    earliest closing, the least identifier. Each stage that is tried costs one scan for the question's words.
+    """
+    exact = exact_ids(df, text, *ids, by=by).select(by, F.lit(True).alias("exact"))
+    asked_ = parse_question(text)
+
+    def matched(question: Question) -> DataFrame:
+        known = lexemes_of(question, df.sparkSession)
+        scored = covered(hits(df, by, known, parts), known, by) if known.clauses else df.select(by, F.lit(0.0).alias("score")).limit(0)
+        both = scored.join(exact, by, "full")
+        return both.select(by, F.coalesce("exact", F.lit(False)).alias("exact"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+    def result(question: Question, **how) -> Found:
+        order = [F.desc("exact"), F.desc("score"), *([F.asc_nulls_last(closes)] if closes else []), F.col(by)]
+        return Found(df.join(matched(question), by).orderBy(*order), **how)
+
+    if not matched(asked_).isEmpty():
+        return result(asked_)
+    fixed = words.corrected(text)
+    again, changed = parse_question(fixed), fixed != text
+    if changed and not matched(again).isEmpty():
+        return result(again, corrected=fixed)
+    if sum(map(len, again.clauses)) > 1:
+        return result(relaxed(again), corrected=fixed if changed else None, any_term=True)
+    return result(asked_)

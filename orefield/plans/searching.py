@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orefield.operators import proximity, stemming
+from orefield.operators.bucketed import BucketedTable
 from orefield.operators.fulltext import WEIGHTS, tokens
 from orefield.operators.stemming import DOUBLES, HEADS, LI_ENDING, OTHER, REGION, SHORT_END, SPECIAL, STAY, STEP_2, STEP_3, STEP_4, VOWEL, ending
+from orefield.operators.wordlist import CANDIDATES, LONG, WordList
 from orefield.sources.tables import table
+from orefield.storage import scratch
 
 SQL: dict[str, str] = {}
 QUERIES = {}
@@ -84,30 +87,108 @@ ASKED = 'ther or things "eriner thanea" -thnd'
 _STOP = ", ".join(map(_quoted, proximity.STOP_WORDS))
 
 
-def _cover_sql(order: str = "") -> str:
+def _cover_sql(clauses: list[list[tuple[str, ...]]], barred: str = "") -> str:
     """Covers by joins: each place where a term ends, with the latest start of each clause up to there; of the ends with
-    one start the first is a cover's."""
+    one start the first is a cover's. Terms are of one or two lexemes."""
     weight = f"CASE label {' '.join(f'WHEN {_quoted(k)} THEN {v}' for k, v in WEIGHTS.items())} END"
-    return f"""WITH {_stem_sql(_DOC_WORDS)},
+    any_of = lambda a, words: "(" + " OR ".join(f"starts_with({a}.lexeme, {_quoted(w)})" for w in words) + ")"
+    every = sorted({w for c in clauses for t in c for w in t})
+    one = [f"SELECT doc_id, {k} AS clause, pos AS b, pos AS e FROM spots WHERE {any_of('spots', [t[0] for t in c if len(t) == 1])}" for k, c in enumerate(clauses) if any(len(t) == 1 for t in c)]
+    two = [f"SELECT x.doc_id, {k}, x.pos, y.pos FROM spots x JOIN spots y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE {any_of('x', t[:1])} AND {any_of('y', t[1:])}" for k, c in enumerate(clauses) for t in c if len(t) == 2]
+    without = f" WHERE doc_id NOT IN (SELECT doc_id FROM lexemes WHERE starts_with(lexeme, {_quoted(barred)}))" if barred else ""
+    return f"""{_stem_sql(_DOC_WORDS)},
 listed AS (SELECT doc_id, {_TOKENS.format(c='source')} AS a, {_TOKENS.format(c='text')} AS b FROM documents),
 placed AS (SELECT doc_id, 'A' AS label, generate_subscripts(a, 1) - 1 AS pos, unnest(a) AS word FROM listed
   UNION ALL SELECT doc_id, 'D', len(a) + 1 + generate_subscripts(b, 1) - 1, unnest(b) FROM listed),
 lexemes AS (SELECT doc_id, label, pos, word AS lexeme FROM placed WHERE label = 'A'
   UNION ALL SELECT doc_id, label, pos, stem FROM placed JOIN stemmed USING (word) WHERE label = 'D' AND word NOT IN ({_STOP})),
-spots AS (SELECT doc_id, pos, label, lexeme, 1 / {weight} AS inverse FROM lexemes WHERE starts_with(lexeme, 'ther') OR starts_with(lexeme, 'thing') OR starts_with(lexeme, 'erin') OR starts_with(lexeme, 'thanea')),
-terms AS (SELECT doc_id, 1 AS clause, pos AS b, pos AS e FROM spots WHERE starts_with(lexeme, 'ther') OR starts_with(lexeme, 'thing')
-  UNION ALL SELECT x.doc_id, 2, x.pos, y.pos FROM spots x JOIN spots y ON x.doc_id = y.doc_id AND y.pos = x.pos + 1 WHERE starts_with(x.lexeme, 'erin') AND starts_with(y.lexeme, 'thanea')),
+spots AS (SELECT doc_id, pos, label, lexeme, 1 / {weight} AS inverse FROM lexemes WHERE {any_of('lexemes', every)}),
+terms AS ({' UNION ALL '.join(one + two)}),
 ends AS (SELECT DISTINCT doc_id, e FROM terms),
 latest AS (SELECT n.doc_id, n.e, t.clause, max(t.b) AS b FROM ends n JOIN terms t ON t.doc_id = n.doc_id AND t.e <= n.e GROUP BY n.doc_id, n.e, t.clause),
-stretch AS (SELECT doc_id, e, min(b) AS b FROM latest GROUP BY doc_id, e HAVING count(*) = 2),
+stretch AS (SELECT doc_id, e, min(b) AS b FROM latest GROUP BY doc_id, e HAVING count(*) = {len(clauses)}),
 cover AS (SELECT doc_id, b, min(e) AS e FROM stretch GROUP BY doc_id, b),
 worth AS (SELECT c.doc_id, c.b, c.e, count(*) AS items, sum(s.inverse) AS inverse FROM cover c JOIN spots s ON s.doc_id = c.doc_id AND s.pos BETWEEN c.b AND c.e GROUP BY ALL),
-score AS (SELECT doc_id, sum(items / inverse / (1 + CASE WHEN (e - b) - (items - 1) < 0 THEN (items - 1) // 2 ELSE (e - b) - (items - 1) END)) AS score FROM worth GROUP BY doc_id)
-SELECT doc_id, round(score, 9) AS score FROM score WHERE doc_id NOT IN (SELECT doc_id FROM lexemes WHERE starts_with(lexeme, 'thnd')){order}"""
+score AS (SELECT doc_id, sum(items / inverse / (1 + CASE WHEN (e - b) - (items - 1) < 0 THEN (items - 1) // 2 ELSE (e - b) - (items - 1) END)) AS score FROM worth GROUP BY doc_id),
+ranked AS (SELECT doc_id, round(score, 9) AS score FROM score{without})"""
 
 
-@query(_cover_sql())
+_CLAUSES = [[("ther",), ("thing",)], [("erin", "thanea")]]
+
+
+@query(f"WITH {_cover_sql(_CLAUSES, 'thnd')} SELECT doc_id, score FROM ranked")
 def search_by_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FTS-01 to FTS-05, SRT-02: documents for a question, by how close its words stand."""
     found = proximity.search(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), ASKED, "doc_id", PARTS)
     return found.select("doc_id", F.round("score", 9).alias("score"))
+
+
+# ---- the kept word list -----------------------------------------------------------------------------------------------
+
+_LISTED = f"SELECT word, count(*) AS ndoc FROM (SELECT DISTINCT doc_id, unnest({_TOKENS.format(c='text')}) AS word FROM documents) WHERE regexp_matches(word, '^[a-z]+$') AND length(word) >= 3 GROUP BY word"
+
+
+def word_list(spark: SparkSession, sf_dir: str, batches: int = 3) -> WordList:
+    """A list that documents came into in so many batches."""
+    kept = WordList(spark, scratch(spark, "words"), buckets=16)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    for k in range(batches):
+        kept.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), "text", "doc_id", batch=k)
+    return kept
+
+
+@query(_LISTED)
+def words_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AGG-14, SNK-10, STM-09: the list as three batches leave it."""
+    return word_list(spark, sf_dir).words.read()
+
+
+#: Unknown words with one near word or several, an unknown one without, and words that are known by head or stem.
+TYPED = ["onthinx", "entirelz", "thanexdble", "erinner", "qwxzv", "thanea", "therings", "thx"]
+_SETS = "list_distinct([substr('  ' || {w} || ' ', i, 3) FOR i IN range(1, length({w}) + 2)])"
+
+
+@query(f"""WITH {_stem_sql('SELECT unnest(' + repr(TYPED) + ') AS word')}, v AS ({_LISTED}),
+q AS (SELECT word AS asked, {_SETS.format(w='word')} AS g FROM stemmed WHERE NOT EXISTS (SELECT 1 FROM v WHERE starts_with(v.word, stemmed.word) OR starts_with(v.word, stemmed.stem))),
+w AS (SELECT word, ndoc, {_SETS.format(w='word')} AS g FROM v),
+n AS (SELECT asked, word, ndoc, 1 - len(list_intersect(q.g, w.g)) / len(list_distinct(list_concat(q.g, w.g))) AS d FROM q, w WHERE len(list_intersect(q.g, w.g)) > 0),
+c AS (SELECT asked, word, ndoc, levenshtein(asked, word) AS e FROM n QUALIFY row_number() OVER (PARTITION BY asked ORDER BY d, word) <= {CANDIDATES})
+SELECT asked AS word, word AS fixed, CAST(e AS INTEGER) AS edits FROM c WHERE e <= CASE WHEN length(asked) >= {LONG} THEN 2 ELSE 1 END QUALIFY row_number() OVER (PARTITION BY asked ORDER BY e, ndoc DESC, word) = 1""")
+def typos_by_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FTS-08, JON-07, JON-08: corrections from the kept list."""
+    return word_list(spark, sf_dir, batches=1).corrections(TYPED)
+
+
+@query(f"WITH {_cover_sql([[('thanedbl',)], [('erin',)]])} SELECT doc_id, FALSE AS exact, score, 'thanedble eriner' AS corrected, FALSE AS any_term FROM ranked")
+def search_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FTS-07, FTS-08, FTS-12, SRT-02: a text with a typing error, which nothing matches as it is."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = proximity.staged(docs, "thanexdble eriner", word_list(spark, sf_dir, batches=1), PARTS, ("source",), "doc_id", closes=None)
+    return found.rows.select("doc_id", "exact", F.round("score", 9).alias("score"), F.lit(found.corrected).alias("corrected"), F.lit(found.any_term).alias("any_term"))
+
+
+@query("SELECT doc_id, source = 'src7' AS exact, 0 AS score FROM documents WHERE source = 'src7' QUALIFY row_number() OVER (ORDER BY doc_id) <= 20")
+def search_staged_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-04, FTS-06: rows of which an identifier, one of two columns, is the text; no other has its word."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("text"), "source", F.col("doc_id").cast("string").alias("number"))
+    found = proximity.staged(docs, ' "SRC7" ', word_list(spark, sf_dir, batches=1), (("text", "D", True),), ("number", "source"), "doc_id", closes=None)
+    return found.rows.select("doc_id", "exact", F.col("score").cast("int").alias("score"))
+
+
+# ---- tables in buckets ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS price, CAST(CASE WHEN o_orderkey % 10 = 3 THEN 2 ELSE 1 END AS INTEGER) AS fetched,
+o_orderstatus AS note FROM orders WHERE o_orderkey % 50 <> 7""")
+def table_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK-01, SNK-15, SNK-16: a table in buckets after a first load, a batch of changes, one of older fetches, one that
+    comes twice, and one of deletions; a note that a batch lacks is kept."""
+    kept = BucketedTable(spark, scratch(spark, "orders"), "o_orderkey long, price double, fetched int, note string", ["o_orderkey"], buckets=16)
+    newer, keep = (lambda old, new: new("fetched") >= old("fetched")), {"note": lambda old, new: F.coalesce(new, old)}
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_totalprice").alias("price"), F.lit(1).alias("fetched"), F.col("o_orderstatus").alias("note"))
+    changed = orders.where("o_orderkey % 10 = 3").withColumns({"price": F.col("price") + 1, "fetched": F.lit(2), "note": F.lit(None).cast("string")})
+    late = orders.where("o_orderkey % 10 = 3").withColumns({"price": F.lit(0.0), "fetched": F.lit(0)})
+    for number, batch in ((0, orders), (1, changed), (1, late.withColumn("fetched", F.lit(9))), (2, late)):
+        kept.upsert(batch, order=["fetched"], batch=number, take=newer, merge=keep)
+    kept.delete(orders.where("o_orderkey % 50 = 7"), batch=3)
+    return kept.read()
