@@ -18,7 +18,7 @@ Defined results: per document `class_id` (least identifier of all documents link
 copies count each). Null, empty and blank texts have no shingles and are each their own class without links. Null
 identifiers are kept; a class with no other identifier has a null name. Rows alike in identifier and text each count.
 Very long texts are compared whole. Other columns are not read (`keep_one` keeps them, whatever their names). Shingles
-and classes are told apart by 64-bit hashes. Results don't depend on partitions. `recall()` is the chance that a link is found.
+are told apart by 64-bit hashes within a comparison, sets by 128-bit ones, and classes are numbered. Results don't depend on partitions. `recall()` is the chance that a link is found.
 """
 
 from __future__ import annotations
@@ -43,6 +43,8 @@ TREES, DEPTH = 32, 8
 TARGET_RECALL = 0.9999
 #: A block has about so many classes, and so many shingles, at most.
 BLOCK_CLASSES, BLOCK_SHINGLES = 2048, 2_000_000
+#: Blocks of one prefix that are paired in one part.
+BLOCKS_AT_ONCE = 64
 COLUMNS_AT_ONCE = 2048
 SEED = 20240607
 
@@ -131,8 +133,10 @@ def _prefixes(keys: np.ndarray, depth: int) -> np.ndarray:
     return keys.view(np.uint64) >> np.uint64(8 * (DEPTH - depth))
 
 
-def class_of(found: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(found.tobytes()) - (1 << 63)
+def class_of(found: np.ndarray) -> tuple[int, int]:
+    """128 bits that tell sets apart, as two signed numbers."""
+    h = xxhash.xxh3_128_intdigest(found.tobytes())
+    return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
 def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +147,12 @@ def _sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             [
                 part.column("doc_id"),
                 part.column("row"),
-                pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                pa.array([dict(zip("ab", class_of(s))) if len(s) else None for s in sets], pa.struct([("a", pa.int64()), ("b", pa.int64())])),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([prefix_depth(min(len(s), 64)) for s in sets], pa.int32()),
                 pa.array([forest.keys(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
             ],
-            ["doc_id", "row", "node", "size", "depth", "keys"],
+            ["doc_id", "row", "class", "size", "depth", "keys"],
         )
 
 
@@ -183,11 +187,13 @@ def shared_prefixes(classes: DataFrame) -> DataFrame:
     walked = keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_walk, "prefix long, node long")
     walked = materialize(walked, "prefixes")
     counts = walked.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    return walked.join(counts, "prefix")
+    shared = materialize(walked.join(counts, "prefix"), "shared")
+    discard(walked)
+    return shared
 
 
 def blocks(shared: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node, block), a block for each class, and (block, low, high), the pairs of blocks to compare, for both sides."""
+    """(node, block), a block for each class, and (low, high), the pairs of blocks to compare. Discards `shared`."""
     # the most frequent prefix of a class; then, over all its prefixes, that of those who share them
     top = F.max(F.struct("n", "prefix"))
     own = materialize(shared.groupBy("node").agg(top.alias("top")), "tops")
@@ -197,13 +203,17 @@ def blocks(shared: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]
     measure = kin.groupBy("kin").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_CLASSES), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
     homes = kin.join(measure, "kin").select("node", F.xxhash64("kin", F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
     homes = materialize(homes, "homes")
-    present = shared.select("prefix", "node").join(homes, "node").select("prefix", "block").distinct()
-    other = present.withColumnRenamed("block", "other")
-    across = present.join(other, "prefix").where("block < other").select(F.col("block").alias("low"), F.col("other").alias("high")).distinct()
+    present = materialize(shared.select("prefix", "node").join(homes, "node").select("prefix", "block").distinct(), "present")
+    # a prefix with many blocks is dealt out: one side's blocks by hash, the other's to all of its parts
+    parts = present.groupBy("prefix").agg(F.ceil(F.count(F.lit(1)) / BLOCKS_AT_ONCE).alias("parts"), F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix", "parts")
+    sided = present.join(parts, "prefix")
+    one = sided.select("prefix", F.pmod(F.xxhash64("block"), "parts").alias("part"), "block")
+    other = sided.select("prefix", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("block").alias("other"))
+    across = one.join(other, ["prefix", "part"]).where("block < other").select(F.col("block").alias("low"), F.col("other").alias("high")).distinct()
     within = homes.groupBy("block").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("block").alias("low"), F.col("block").alias("high"))
     pairs = materialize(across.union(within), "blocks")
-    discard(own, kin)
-    return homes, pairs.select(F.col("low").alias("block"), "low", "high").union(pairs.where("low <> high").select(F.col("high").alias("block"), "low", "high"))
+    discard(own, kin, present, shared)
+    return homes, pairs
 
 
 def _as_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,30 +335,34 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, row, class_id, exact_id, n_links, copies) per row of df; `row` is row_key(doc_id, text)."""
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), row_key(F.col(doc_id), F.col(text)).alias("row"), F.col(text).alias("text"))
-    signed = docs.mapInArrow(_sign, "doc_id long, row struct<a: long, b: long>, node long, size long, depth int, keys array<long>")
+    signed = docs.mapInArrow(_sign, "doc_id long, row struct<a: long, b: long>, class struct<a: long, b: long>, size long, depth int, keys array<long>")
     signed = materialize(signed, "signatures")
-    one = signed.where("node is not null").groupBy("node").agg(
+    one = signed.where("class is not null").groupBy("class").agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("exact_id"), F.min("row").alias("row"), *(F.first(c).alias(c) for c in ("size", "depth", "keys"))
     )
-    classes = materialize(one, "classes")
-    shared = materialize(shared_prefixes(classes), "shared")
+    # numbers instead of hashes: written once, so that all that follows sees the same ones
+    classes = materialize(one.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = materialize(signed.select("doc_id", "row", "class"), "members")
+    discard(signed)  # the keys go on in one place only
+    shared = shared_prefixes(classes)
     homes, pairs = blocks(shared, classes)
-    routed = classes.drop("exact_id", "size").join(homes, "node")
+    routed = classes.drop("exact_id", "size", "class").join(homes, "node")
     # one text for each class; rows alike in identifier and text come more than once and are told apart later
     # (a merge join at any size, so that small inputs tell what large ones take)
     texts = docs.select("row", "text").join(routed.hint("merge"), "row").drop("row")
     sets = texts.mapInArrow(_as_sets, "node long, copies long, depth int, keys array<long>, block long, found binary")
-    dealt = sets.join(pairs.hint("merge"), "block").repartition("low", "high").sortWithinPartitions("low", "high")
+    sides = pairs.select(F.col("low").alias("block"), "low", "high").union(pairs.where("low <> high").select(F.col("high").alias("block"), "low", "high"))
+    dealt = sets.join(sides.hint("merge"), "block").repartition("low", "high").sortWithinPartitions("low", "high")
     compared = materialize(dealt.mapInArrow(_verify, "node long, root long, links long"), "links")
     totals = compared.groupBy("node").agg(F.sum("links").alias("links"))
     component = connected_components(compared.where("node <> root"), "node", "root")
-    grown = classes.select("node", "exact_id", "copies").join(totals, "node", "left").join(component, "node", "left")
-    grown = grown.select("node", "exact_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
+    grown = classes.select("node", "class", "exact_id", "copies").join(totals, "node", "left").join(component, "node", "left")
+    grown = grown.select("class", "exact_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node").alias("component"))
     names = grown.groupBy("component").agg(F.min("exact_id").alias("class_id"))
-    named = materialize(grown.join(names, "component").select("node", "class_id", "exact_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")), "named")
-    discard(classes, shared, homes, compared)
-    found = signed.select("doc_id", "row", "node").join(named, "node", "left")
-    alone = F.col("node").isNull()
+    named = materialize(grown.join(names, "component").select("class", "class_id", "exact_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links")), "named")
+    discard(classes, homes, pairs, compared)
+    found = members.join(named, "class", "left")
+    alone = F.col("class").isNull()
     return found.select("doc_id", "row", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.col("doc_id")).otherwise(F.col("exact_id")).alias("exact_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
 
 
