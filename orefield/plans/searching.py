@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.operators import proximity, stemming
+from orefield.operators import proximity, retrieval, stemming
 from orefield.operators.bucketed import BucketedTable
 from orefield.operators.fulltext import WEIGHTS, tokens
 from orefield.operators.stemming import DOUBLES, HEADS, LI_ENDING, OTHER, REGION, SHORT_END, SPECIAL, STAY, STEP_2, STEP_3, STEP_4, VOWEL, ending
+from orefield.operators.vector_index import VectorIndex
 from orefield.operators.wordlist import CANDIDATES, LONG, WordList
 from orefield.sources.tables import table
 from orefield.storage import scratch
@@ -192,3 +195,43 @@ def table_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept.upsert(batch, order=["fetched"], batch=number, take=newer, merge=keep)
     kept.delete(orders.where("o_orderkey % 50 = 7"), batch=3)
     return kept.read()
+
+
+# ---- the vector index -------------------------------------------------------------------------------------------------
+
+_FAR = "1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
+
+
+def _asked(vectors: DataFrame, every: int = 50) -> DataFrame:
+    return vectors.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query"), F.col("embedding").cast("array<double>").alias("asked"))
+
+
+@query(f"""SELECT q.vec_id AS query, e.vec_id, round({_FAR}, 9) AS distance, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_FAR}, e.vec_id) AS INTEGER) AS rank
+FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0 AND e.label % 2 = 1 QUALIFY rank <= 10""")
+def neighbours_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-01, SRT-06: every fiftieth vector asks for its nearest under a filter, by the index, exactly."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = VectorIndex(spark, scratch(spark, "vectors"), "vec_id").build(vectors)
+    found = index.search_many(_asked(vectors), 10, F.col("label") % 2 == 1, exact=True)
+    return found.select("query", "vec_id", F.round("distance", 9).alias("distance"), F.col("rank").cast("int").alias("rank"))
+
+
+#: A filter that all pass, one that about a tenth do, and one that a hundredth do.
+FILTERS = {"all": "true", "label": "label = 3", "hundredth": "vec_id % 100 = 7"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS filter, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) AS questions, (SELECT count(*) FROM embeddings WHERE vec_id % 50 = 0) * least(50, (SELECT count(*) FROM embeddings WHERE {where})) AS wanted, TRUE AS enough" for name, where in FILTERS.items()))
+def neighbours_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VEC-01: per filter whether the index finds nine in ten of the 50 that a scan of all rows finds."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index, asked = VectorIndex(spark, scratch(spark, "vectors"), "vec_id").build(vectors), _asked(vectors)
+    parts = []
+    for name, where in FILTERS.items():
+        found = index.search_many(asked, 50, F.expr(where)).select("query", "vec_id", F.lit(1).alias("hit"))
+        # the scan leaves a vector out of its own answer, so it is asked for one more under another name
+        own = asked.select((-1 - F.col("query")).alias("vec_id"), F.col("asked").alias("embedding"))
+        scan = retrieval.dense_many(vectors.where(where).select("vec_id", "embedding"), own, 50, "vec_id").select((-1 - F.col("query")).alias("query"), "vec_id")
+        judged = scan.join(found, ["query", "vec_id"], "left").agg(F.count(F.lit(1)).alias("wanted"), F.count("hit").alias("hits"))
+        parts.append(judged.select(F.lit(name).alias("filter"), "wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("enough")))
+    count = asked.agg(F.count(F.lit(1)).alias("questions"))
+    return reduce(DataFrame.union, parts).join(F.broadcast(count)).select("filter", "questions", "wanted", "enough")
