@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from orefield.functions import scalars
 from orefield.functions.sectors import DISTINCTIVE, FALLBACK, GENERIC, KEYWORDS, SPECIFIC, classify
-from orefield.operators import documents, entities, fulltext
+from orefield.operators import documents, entities, entity_join, fulltext
 from orefield.sources import pages as portal
-from orefield.sources.tables import table, tenders
+from orefield.sources.tables import TENDER_SQL, table, tenders
 from orefield.streaming import incremental
 
 SQL: dict[str, str] = {}
@@ -75,12 +75,32 @@ def er_block_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.block_pairs(rows, "id", "norm", "state").select("a_id", "b_id")
 
 
-@query()
-def er_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ER-02 to ER-06, AGG-13: suppliers' and customers' names to entities, most frequent first."""
+def er_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, state, n): buyers' sectors and divisions as names, a department spelt in three ways."""
     wing = F.concat(F.element_at(F.array(*map(F.lit, ("Dept of ", "Department of ", "Deptt. "))), (F.col("id") % 3 + 1).cast("int")), F.initcap("sector"))
     names = tenders(spark, sf_dir).select(F.concat_ws(" || ", wing, F.concat(F.lit("Division No "), (F.col("buyer_id") % 40).cast("string"))).alias("buyer_raw"), "state")
-    return entities.resolve(entities.home_states(names))
+    return entities.home_states(names)
+
+
+#: Names spelt differently are one by their sector and division; divisions of one sector and state differ by a token of
+#: their own, so the first of them is what the others are to be looked at with.
+_ENTITIES = f"""WITH {TENDER_SQL}, named AS (SELECT ['Dept of ', 'Department of ', 'Deptt. '][id % 3 + 1] || upper(left(sector, 1)) || lower(substr(sector, 2)) || ' || Division No ' || CAST(buyer_id % 40 AS VARCHAR) AS name, sector, buyer_id % 40 AS division, state FROM tender),
+cells AS (SELECT name, sector, division, state, count(*) AS m FROM named GROUP BY ALL),
+home AS (SELECT name, sector, division, arg_min(state, struct_pack(less := -m, state := state)) AS state, sum(m) AS n FROM cells GROUP BY name, sector, division),
+ranked AS (SELECT *, first_value(name) OVER (PARTITION BY state, sector, division ORDER BY n DESC, name) AS entity, first_value(name) OVER (PARTITION BY state, sector ORDER BY n DESC, name) AS lead FROM home)
+SELECT name, state, entity, CASE WHEN name = entity THEN 'new' ELSE 'exact' END AS method, CAST(100 AS DOUBLE) AS score, CASE WHEN name = entity AND name <> lead THEN lead END AS candidate FROM ranked"""
+
+
+@query(_ENTITIES)
+def er_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER-02 to ER-06, AGG-13: suppliers' and customers' names to entities, most frequent first."""
+    return entities.resolve(er_names(spark, sf_dir))
+
+
+@query(_ENTITIES)
+def er_resolve_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ER-05, ER-06: the same by joins at rare tokens, and rounds."""
+    return entity_join.resolve(er_names(spark, sf_dir))
 
 
 @query("""SELECT CASE WHEN p_type ILIKE '%steel%' THEN 'a' ELSE 'b' END AS sector, count(*) AS n FROM part GROUP BY 1""".replace("'a'", "'buildings'").replace("'b'", "'supplies'").replace("p_type ILIKE '%steel%'", "FALSE"))
