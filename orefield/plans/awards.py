@@ -50,7 +50,7 @@ def reject_reason():
 @query(WITH + f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN coalesce(estimated_value, 0) <= 0 THEN 'no_estimate' WHEN coalesce(award_value, 0) <= 0 THEN 'no_award' WHEN award_value >= 90000 THEN 'implausible_amount'
 WHEN raw_ratio < {RATIO_MIN} THEN 'ratio_low' WHEN raw_ratio > {RATIO_MAX} THEN 'ratio_high' WHEN year < 1996 THEN 'before_since' ELSE 'kept' END AS reason FROM award) GROUP BY reason""")
 def reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-11, FLT-12, FLT-15, AGG-18."""
+    """AGG-18."""
     return awards(spark, sf_dir).groupBy(reject_reason().alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 

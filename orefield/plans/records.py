@@ -249,7 +249,9 @@ def brief_of_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Earnest Money Deposit of Rs. "), text(n), F.lit(" by draft. Period of completion "), text(F.col("o_orderkey") % 30 + 1), F.lit(" months. Pre-bid meeting: 03-Oct-2026 at 11:00 AM in the hall. "),
         F.lit("Liquidated damages 0.5% per week subject to 10% of all. Average annual turnover of Rs. "), text(n * 2), F.lit(" (30% of the estimated cost) is needed. Bids shall remain valid for ninety days. Nothing else."),
     )
-    rows = answers.brief_fields(table(spark, sf_dir, "orders").select("o_orderkey", said.alias("text")))
+    # a small file is one split: two numbers a row are dealt out before the texts are made and searched
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    rows = answers.brief_fields(orders.select("o_orderkey", said.alias("text")))
     return rows.select("o_orderkey", "key", "value")
 
 
@@ -474,7 +476,7 @@ def bank_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH o AS (SELECT o_orderkey AS key, o_orderkey % 4 AS k FROM orders)
 SELECT key, 'a' AS payment_id, CASE k WHEN 0 THEN '1' WHEN 1 THEN '2' WHEN 2 THEN '1' END AS notice_id FROM o UNION ALL SELECT key, 'b', CASE k WHEN 0 THEN '2' WHEN 1 THEN '1' WHEN 2 THEN '1' END FROM o""")
 def contracts_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-22: payments to notices by the winner's name, by the nearest price, all to the only one, or to none."""
+    """JON-11: payments to notices by the winner's name, by the nearest price, all to the only one, or to none."""
     k = F.col("o_orderkey")
     o = table(spark, sf_dir, "orders")
     far = F.col("kind") == 3
@@ -638,7 +640,7 @@ def observations_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT o_orderkey AS id, unnest(CASE o_orderkey % 5 WHEN 0 THEN ['emitted'] WHEN 1 THEN ['emitted', 'emitted'] WHEN 2 THEN ['ambiguous_scope'] WHEN 3 THEN ['no_award'] ELSE ['currency_mismatch'] END) AS reason,
 unnest(CASE o_orderkey % 5 WHEN 0 THEN [1000.0] WHEN 1 THEN [400.0, 600.0] WHEN 2 THEN [NULL] WHEN 3 THEN [NULL] ELSE [1000.0] END)::DOUBLE AS estimate FROM orders""")
 def release_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """FLT-12, JON-16, ARR-02, JSN-03, JSN-04: awards of a release and the estimates of what they cover."""
+    """FLT-12, JON-16, ARR-02: awards of a release and the estimates of what they cover."""
     k = F.col("o_orderkey") % 5
     award = lambda name, amount, currency, lots, status="active": f'{{"id": "{name}", "status": "{status}", "value": {{"amount": {amount}, "currency": "{currency}"}}, "relatedLots": {lots}}}'
     lots = '"lots": [{"id": "L1", "value": {"amount": 400}}, {"id": "L2", "value": {"amount": 600}}], '
@@ -693,7 +695,7 @@ def calendar_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_id AS id, CASE WHEN event_type = 'click' AND ts < TIMESTAMP '2024-01-20' - INTERVAL 6 HOUR THEN 'incomplete' WHEN event_type = 'click' THEN 'running' ELSE 'done' END AS status FROM events""")
 def runs_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """STM-07: crawls that run for too long are incomplete."""
+    """STM-04: crawls that run for too long are incomplete."""
     runs = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", "running").otherwise("done").alias("status"), F.col("ts").alias("started"))
     return incremental.stale_runs(runs, "2024-01-20 00:00:00").select("id", "status")
 
@@ -721,7 +723,7 @@ def usage_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT o_orderkey AS id, o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 AS allowed FROM orders""")
 def crawl_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JON-11: of a host's rules the longest that fits decides; a host without rules is open."""
+    """SRC-03: of a host's rules the longest that fits decides; a host without rules is open."""
     k = F.col("o_orderkey")
     urls = table(spark, sf_dir, "orders").select(k.alias("id"), F.when(k % 3 == 0, "a").otherwise("b").alias("host"), F.when(k % 2 == 0, _page("/x/open/", text(k))).otherwise(_page("/x/y", text(k))).alias("path"))
     rules_of = spark.createDataFrame([("a", "/x/", False), ("a", "/x/*open", True), ("c", "/", False)], "host string, pattern string, allow boolean")

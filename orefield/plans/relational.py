@@ -271,10 +271,10 @@ def quota_metering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cross_source_dupes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-29."""
     folded = F.lower(F.trim(F.regexp_replace("text", r"\s+", " ")))
-    rows = table(spark, sf_dir, "documents").select(folded.alias("folded"), "source", "doc_id").withColumn("digest", F.sha2("folded", 256))
-    # digests are counted, and of each that repeats one text is fetched by its document
-    seen = rows.groupBy("digest").agg(F.count_distinct("source").alias("sources"), F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id")).where("sources > 1")
-    return rows.select("doc_id", "folded").join(seen, "doc_id").select("folded", "sources", "n")
+    rows = table(spark, sf_dir, "documents").select(folded.alias("folded"), "source").withColumn("digest", F.sha2("folded", 256))
+    # digests are counted without texts; then only the texts of those that several sources have are brought together
+    seen = rows.groupBy("digest").agg(F.count_distinct("source").alias("sources"), F.count(F.lit(1)).alias("n")).where("sources > 1")
+    return rows.select("digest", "folded").join(seen, "digest").groupBy("digest").agg(F.first("folded").alias("folded"), F.first("sources").alias("sources"), F.first("n").alias("n")).drop("digest")
 
 
 @query("""SELECT o.o_custkey AS buyer_id, list_sort(list(DISTINCT l_suppkey)) AS suppliers FROM orders o JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o.o_custkey""")
@@ -286,7 +286,7 @@ def awards_by_buyer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT doc_id, coalesce(n, 0) AS n_facts FROM documents LEFT JOIN (SELECT doc_id AS d, count(*) AS n FROM labels GROUP BY doc_id) ON doc_id = d""")
 def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-27: a left outer count."""
+    """A left outer count."""
     n = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     return table(spark, sf_dir, "documents").select("doc_id").join(n, "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n_facts"))
 

@@ -172,7 +172,7 @@ def chunk_pack_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def html_title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SRC-04 to SRC-07."""
+    """Titles, links and paragraphs of pages, and whether one is of a session that has ended."""
     rows = table(spark, sf_dir, "pages").select("page_id", portal.outline_of("html").alias("o"), portal.is_stale(F.col("html")).alias("stale"))
     return rows.select("page_id", "o.title", "o.links", "o.paragraphs", "stale")
 
@@ -209,6 +209,6 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lang, source, count(*) AS n, avg(length(text)) AS chars FROM documents GROUP BY GROUPING SETS ((lang, source), (lang), ())")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AGG-12, AGG-19: counts by grouping sets."""
+    """AGG-12: counts by grouping sets."""
     docs = table(spark, sf_dir, "documents").withColumn("size", F.length("text"))
     return docs.groupingSets([["lang", "source"], ["lang"], []], "lang", "source").agg(F.count(F.lit(1)).alias("n"), F.avg("size").alias("chars"))
