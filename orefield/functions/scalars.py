@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What counts as no value.
 MISSING = ("", "na", "n/a", "nil", "-", "--", "none", "null")
@@ -169,3 +172,28 @@ def window_used(published: Column, closes: Column, now: Column) -> Column:
     """How much of the time for bids is over, from 0 to 1."""
     seconds = lambda a, b: (F.unix_timestamp(b) - F.unix_timestamp(a)).cast("double")
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(seconds(published, now), seconds(published, closes))))
+
+
+#: A text with so many Devanagari letters is garbled if it has over this share of stray ones beside them.
+GARBLE_LEAST, GARBLE_SHARE = 20, 0.05
+
+
+@F.pandas_udf(T.StringType())
+def compatible(texts: pd.Series) -> pd.Series:
+    """Unicode's compatibility form (NFKC), which has no built-in function."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def clean_page(text: Column) -> Column:
+    """A page's text with ligatures as letters, and words that a line's end cuts at a hyphen put together again."""
+    return F.regexp_replace(compatible(text), r"(?U)(\w)-\n(?=\w)", "$1-")
+
+
+def garbled_devanagari(text: Column) -> Column:
+    """Whether a page's Devanagari is broken: its font has put stray letters, marks or private ones in place of conjuncts.
+
+    To be asked before clean_page(), which changes these.
+    """
+    count = lambda letters: F.length(F.regexp_replace(text, f"[^{letters}]", ""))
+    own, stray = count(r"\u0900-\u097F"), count(r"\u0180-\u024F\uE000-\uF8FF\u0300-\u036F")
+    return F.coalesce((own >= GARBLE_LEAST) & (stray > GARBLE_SHARE * own), F.lit(False))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,39 @@ def write_csv(df: DataFrame, order: list, path: str) -> None:
     csv_rows(df, order).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
+#: The columns of a spreadsheet of tenders, as they are headed, and where each comes from.
+SHEET = {
+    "tender_id": "tender_id", "reference_no": "reference", "title": "title", "buyer": "buyer", "organisation_chain": "org_chain", "category": "category", "sector": "sector", "state": "state",
+    "location": "location", "pincode": "pincode", "value_inr": "value_inr", "emd_inr": "emd_inr", "fee_inr": "fee_inr", "published_at": "published_at", "closes_at": "closes_at",
+    "bid_opening_at": "opens_at", "source_portal": "source", "source_url": "url", "page_url": "page_url",
+}
+#: What tells a spreadsheet that a file is UTF-8: it begins with this.
+BOM = "\ufeff"
+
+
+def sheet(df: DataFrame, order: list, zone: str = "Asia/Kolkata", offset: str = "+05:30") -> DataFrame:
+    """The first CSV_ROWS rows by order, as the columns of SHEET in text: local ISO times with their offset, plain
+    numbers, no formulas; what a row lacks is empty."""
+    def cell(source: str) -> Column:
+        if source not in df.columns:
+            return F.lit("")
+        kind = df.schema[source].dataType.typeName()
+        if kind in ("timestamp", "timestamp_ntz"):
+            text = F.concat(F.date_format(F.from_utc_timestamp(F.col(source).cast("timestamp"), zone), "yyyy-MM-dd'T'HH:mm:ss"), F.lit(offset))
+        else:
+            text = F.col(source).cast("string") if kind != "string" else safe_cell(F.col(source))
+        return F.coalesce(text, F.lit(""))
+
+    return df.orderBy(*order).limit(CSV_ROWS).select(*(cell(source).alias(name) for name, source in SHEET.items()))
+
+
+def write_sheet(df: DataFrame, order: list, path: str) -> None:
+    """sheet() as one CSV file that begins with BOM; it has at most CSV_ROWS rows."""
+    rows = sheet(df, order)
+    headed = rows.withColumnRenamed(rows.columns[0], BOM + rows.columns[0])
+    headed.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
 def releases(tenders: DataFrame, awards: DataFrame) -> DataFrame:
     """(id, release): open contracting JSON; what is unknown is left out, not null.
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.plans import awards, records, relational, searching, streams, text, vectors
+from orefield.plans import awards, notices, records, relational, searching, streams, text, vectors
 
-MODULES = (relational, awards, vectors, text, records, searching, streams)
+MODULES = (relational, awards, vectors, text, records, searching, streams, notices)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
