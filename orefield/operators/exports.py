@@ -73,6 +73,54 @@ def releases(tenders: DataFrame, awards: DataFrame) -> DataFrame:
     return tenders.join(grouped, "id", "left").select("id", F.to_json(body, {"ignoreNullFields": "true"}).alias("release"))
 
 
+#: Which categories releases know.
+RELEASE_CATEGORIES = ("works", "goods", "services")
+
+
+def packages(tenders: DataFrame, awards: DataFrame, prefix: str, now: str) -> DataFrame:
+    """(id, release): open contracting JSON of a tender as last seen, with its parties, notice and awards; what is unknown
+    isn't there.
+
+    tenders: id, source, tender_id, title, buyer, buyer_id, state, pincode, category, value_inr, published_at, closes_at,
+    content_hash, and as far as there are such columns url, tender_type, emd_inr, opens_at, last_seen. awards: id,
+    award_id, supplier, supplier_key, amount, award_date. An award's supplier is a party once.
+    """
+    have = set(tenders.columns)
+    c = lambda name: F.col(name) if name in have else F.lit(None).cast("string")
+    some = lambda x: F.when(x.cast("string") != "", x)
+    iso = lambda x: F.date_format(x.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ssXXX")
+    rupees = lambda x: F.when(x.isNotNull(), F.struct(x.cast("double").alias("amount"), F.lit("INR").alias("currency")))
+    name = F.coalesce(some(F.col("supplier")), F.lit("Unknown bidder"))
+    supplier = F.concat(F.lit("supplier-"), F.coalesce(some(F.col("supplier_key")), name))
+    one = F.struct("award_id", F.struct(supplier.alias("id"), name.alias("name")).alias("who"), rupees(F.col("amount")).alias("value"), F.col("award_date").cast("string").alias("date"))
+    grouped = awards.groupBy("id").agg(F.sort_array(F.collect_list(one)).alias("__won"))
+    rows = tenders.join(grouped, "id", "left")
+    key, ocid = F.col("tender_id"), F.concat_ws("-", F.lit(prefix), "source", "tender_id")
+    buyer_id = F.concat(F.lit("buyer-"), F.coalesce(c("buyer_id").cast("string"), F.concat("source", F.lit("-raw"))))
+    there = (some(c("state")).isNotNull()) | (some(c("pincode")).isNotNull())
+    address = F.when(there, F.struct(some(c("state")).alias("region"), some(c("pincode")).alias("postalCode"), F.lit("India").alias("countryName")))
+    party = lambda i, n, role, place: F.struct(i.alias("id"), n.alias("name"), F.array(F.lit(role)).alias("roles"), place.alias("address"))
+    nowhere = F.lit(None).cast("struct<region: string, postalCode: string, countryName: string>")
+    suppliers = F.transform(F.array_distinct(F.transform("__won", lambda a: a["who"])), lambda w: party(w["id"], w["name"], "supplier", nowhere))
+    parties = F.concat(F.array(party(buyer_id, F.col("buyer"), "buyer", address)), F.coalesce(suppliers, F.array().cast("array<struct<id: string, name: string, roles: array<string>, address: struct<region: string, postalCode: string, countryName: string>>>")))
+    notice = F.when(some(c("url")).isNotNull(), F.array(F.struct(F.concat(key, F.lit("-notice")).alias("id"), F.lit("tenderNotice").alias("documentType"), F.concat(F.lit("Tender notice on "), F.col("source")).alias("title"), c("url").alias("url"), F.lit("text/html").alias("format"), F.lit("en").alias("language"))))
+    low = F.lower(c("category"))
+    emd = c("emd_inr")
+    tender = F.struct(
+        key.alias("id"), F.col("title"), F.when(F.col("closes_at") >= F.lit(now).cast("timestamp"), "active").alias("status"), rupees(c("value_inr")).alias("value"), some(c("tender_type")).alias("procurementMethodDetails"),
+        F.when(low.isin(*RELEASE_CATEGORIES), low).alias("mainProcurementCategory"), F.struct(iso(c("published_at")).alias("startDate"), iso(c("closes_at")).alias("endDate")).alias("tenderPeriod"), notice.alias("documents"),
+        F.when(emd.isNotNull(), F.struct(F.lit("Earnest money deposit (EMD)").alias("description"), emd.cast("double").alias("amount"), F.lit("INR").alias("currency"))).alias("guarantee"),
+        F.when(c("opens_at").isNotNull(), F.struct(iso(c("opens_at")).alias("startDate"))).alias("awardPeriod"),
+    )
+    won = F.transform("__won", lambda a: F.struct(F.concat(key, F.lit("-award-"), a["award_id"].cast("string")).alias("id"), F.lit("active").alias("status"), F.array(a["who"]).alias("suppliers"), a["value"].alias("value"), a["date"].alias("date")))
+    tags = F.when(F.size("__won") > 0, F.array(F.lit("tender"), F.lit("award"))).otherwise(F.array(F.lit("tender")))
+    body = F.struct(
+        ocid.alias("ocid"), F.concat_ws("-", ocid, F.left("content_hash", F.lit(16))).alias("id"), iso(c("last_seen")).alias("date"), tags.alias("tag"), F.lit("tender").alias("initiationType"), F.lit("en").alias("language"), parties.alias("parties"),
+        F.struct(buyer_id.alias("id"), F.col("buyer").alias("name")).alias("buyer"), tender.alias("tender"), won.alias("awards"),
+    )
+    return rows.select("id", F.to_json(body, {"ignoreNullFields": "true"}).alias("release"))
+
+
 def fold(line: str) -> str:
     """A calendar line in pieces of at most 75 octets, none of which cuts a character."""
     out, now = [], b""

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.plans import awards, monitoring, notices, records, relational, searching, streams, text, vectors
+from orefield.plans import awards, datasets, monitoring, notices, records, relational, searching, streams, text, vectors
 
-MODULES = (relational, awards, vectors, text, records, searching, streams, notices, monitoring)
+MODULES = (relational, awards, vectors, text, records, searching, streams, notices, monitoring, datasets)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
