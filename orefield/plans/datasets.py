@@ -11,7 +11,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orefield.operators import answers, exports, fulltext
+from orefield.operators import answers, documents, exports, fulltext
 from orefield.sources import awards
 from orefield.sources.tables import TENDER_SQL, table, tenders
 from orefield.storage import scratch
@@ -155,3 +155,26 @@ def chunks_retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("").alias("heading"), "text", F.lit("").alias("context"))
     found = answers.retrieve(answers.embed(docs, "text", 64), "thanea anon", "hybrid", size=64, scoped=True)
     return found.select("id", F.round("score", 12).alias("score"))
+
+
+# ---- lines of documents -----------------------------------------------------------------------------------------------
+
+_LINE = "trim(raw, ' \t\n\r')"
+
+
+@query(rf"""WITH p AS (SELECT conv_id AS doc_id, turn + 1 AS page, 'Conversation ' || conv_id || chr(10) || text || chr(10) || CASE WHEN turn % 3 = 1 THEN 'SCHEDULE OF WORKS' || chr(10) ELSE '4.' || turn || ' Clause' || chr(10) END || 'Turn ' || (turn + 1) AS text FROM conversations),
+l AS (SELECT doc_id, page, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ord, unnest(string_split(text, chr(10))) AS raw FROM p),
+m AS (SELECT doc_id, page, ord, {_LINE} AS line, regexp_replace({_LINE}, '\d+', '#', 'g') AS masked FROM l WHERE {_LINE} <> ''),
+n AS (SELECT doc_id, count(*) AS pages FROM p GROUP BY doc_id), r AS (SELECT doc_id, masked FROM (SELECT doc_id, masked, count(DISTINCT page) AS k FROM m GROUP BY doc_id, masked) JOIN n USING (doc_id) WHERE pages >= 3 AND k >= greatest(3, 0.6 * pages)),
+k AS (SELECT m.* FROM m LEFT JOIN r ON m.doc_id = r.doc_id AND m.masked = r.masked WHERE r.masked IS NULL),
+c AS (SELECT *, length(regexp_replace(line, '\P{{L}}', '', 'g')) AS letters, length(regexp_replace(line, '\P{{Lu}}', '', 'g')) AS capitals FROM k)
+SELECT doc_id, page, CAST(ord AS INTEGER) AS ord, line, length(line) <= 90 AND ((regexp_matches(line, '^\s*\d{{1,2}}(\.\d{{1,2}}){{0,3}}[.)]?\s+\S') AND length(line) < 90) OR regexp_matches(line, '^\s*(?i:Section|Clause|Annexure|Schedule|Chapter|Part|Appendix)\b')
+  OR (letters >= 6 AND capitals / letters > 0.8 AND len(string_split_regex(line, '\s+')) <= 10)) AS heading FROM c""")
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-01, DOC-02, AGG-21: lines of conversations as documents of a page a turn, without what runs through them, and
+    which of them are headings."""
+    turns = table(spark, sf_dir, "conversations")
+    part = F.when(F.col("turn") % 3 == 1, "SCHEDULE OF WORKS\n").otherwise(F.concat(F.lit("4."), F.col("turn").cast("string"), F.lit(" Clause\n")))
+    said = F.concat(F.lit("Conversation "), F.col("conv_id").cast("string"), F.lit("\n"), "text", F.lit("\n"), part, F.lit("Turn "), (F.col("turn") + 1).cast("string"))
+    pages = turns.select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).alias("page"), said.alias("text"))
+    return documents.lines(pages).select("doc_id", "page", "ord", "line", "heading")
