@@ -127,10 +127,11 @@ def featured(found: DataFrame, words: DataFrame, likelihoods: list[float]) -> Da
     }).drop("__cover")
 
 
-def made_findings(spark: SparkSession, per_kind: int = MADE_PER_KIND, seed: int = 1) -> DataFrame:
+def made_findings(spark: SparkSession, per_kind: int = MADE_PER_KIND, seed: int = 1, numbered: bool = False) -> DataFrame:
     """Labelled findings (value, before, after, label) of sixteen kinds: seven of secrets, nine of look-alikes.
 
-    All are functions of a row's number and the seed, so they are the same wherever they are made.
+    All are functions of a row's number and the seed, so they are the same wherever they are made. numbered: with the
+    number of each one's kind.
     """
     raw = lambda salt: F.sha2(F.concat_ws("-", F.col("id").cast("string"), F.lit(f"{salt}-{seed}")), 256)
     b64 = lambda salt: F.regexp_replace(F.base64(F.unhex(raw(salt))), "=", "")
@@ -165,7 +166,8 @@ def made_findings(spark: SparkSession, per_kind: int = MADE_PER_KIND, seed: int
     rows = spark.range(len(kinds) * per_kind, numPartitions=2)
     chosen = rows.select("id", F.element_at(F.array(*kinds), (F.col("id") % len(kinds) + 1).cast("int")).alias("x")).select("id", "x.*")
     after = F.when(F.col("before").rlike("\"$"), F.lit('" ')).otherwise(F.lit(" "))
-    return chosen.select("value", F.right("before", F.lit(BEFORE)).alias("before"), F.concat(after, prose("after")).alias("after"), "label")
+    made = chosen.select("value", F.right("before", F.lit(BEFORE)).alias("before"), F.concat(after, prose("after")).alias("after"), "label", (F.col("id") % len(kinds)).alias("kind"))
+    return made if numbered else made.drop("kind")
 
 
 def train(findings: DataFrame, words: DataFrame, likelihoods: list[float]) -> RandomForestClassificationModel:

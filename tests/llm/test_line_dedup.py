@@ -60,3 +60,12 @@ def test_frames(spark):
     assert got == sorted([(1, same, "p", 3, 0), (1, same, "p", 3, 0), (2, "", "q", 3, 3), (99, "w", "r", 4, 3), (3, None, "s", 0, 0), (4, "", "t", 1, 0), (5, "x\ny", "u", 2, 0)], key=str)
     assert dedup_lines(df.limit(0)).count() == 0
     assert dedup_lines(df).columns == ["doc_id", "text", "row", "n_lines", "n_removed"]
+
+
+def test_very_long_texts(spark):
+    """A text of many windows, most of which another has too, some in an order of its own."""
+    rng = random.Random(3)
+    long = [f"line {rng.randrange(30_000)}" for _ in range(40_000)]
+    rows = [(1, "\n".join(long)), (2, "\n".join(long[:20_000] + ["a line of its own"] + long[20_000:])), (3, "\n".join(reversed(long))), (4, "x" * 2_000_000)]
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)

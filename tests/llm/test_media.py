@@ -93,3 +93,10 @@ def test_long_text_and_clashing_columns(spark):
     got = sorted(media.digest(media.describe(media.stored(df))).collect(), key=lambda r: r.doc_id)
     assert [r.n_bytes for r in got] == [1_200_000, 1_200_000, 0] and got[0].media_sha256 == got[1].media_sha256
     assert got[0].payload_sha256 == hashlib.sha256(media.padded(rows[0][1].encode())).hexdigest()
+
+
+def test_empty_texts_without_identifiers(spark):
+    rows = [(None, ""), (None, None), (None, " " * 192), (3, ""), (3, None)]
+    got = media.digest(media.describe(media.stored(spark.createDataFrame(rows, "doc_id long, text string")))).collect()
+    assert len(got) == 5 and {r.n_bytes for r in got} == {0, 192} and {r.payload_bytes for r in got} == {192}
+    assert len({(r.payload_sha256, r.media_sha256, r.feature) for r in got}) == 1  # all are blanks once padded

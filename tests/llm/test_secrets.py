@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.ml.linalg import Vectors
 
 from orefield.llm import secrets
 from orefield.llm.common import materialize
@@ -79,3 +80,33 @@ def test_clashing_names_stay(spark):
     df = spark.createDataFrame([row], "length string, digits int, row double, label string, text string")
     got = secrets.scan(df).collect()
     assert [(r.length, r.digits, r.row, r.label, r.start) for r in got] == [("v", 3, 0.5, "p", 11)]
+
+
+def test_scores_are_the_trees_means(spark):
+    """The forest against its own trees, each asked alone; equal rows have equal scores, and one at the limit is a secret."""
+    words = materialize(secrets.dictionary(spark.read.parquet(f"{SF}/documents.parquet")), "words")
+    likelihoods = secrets.pair_likelihoods(words)
+    findings = materialize(secrets.made_findings(spark, per_kind=8, seed=5), "made")
+    model = secrets.train(findings, words, likelihoods)
+    twice = findings.union(findings)
+    rows = {}
+    for r in secrets.scored(twice, model, words, likelihoods).collect():
+        rows.setdefault((r.value, r.before, r.after), set()).add((round(r.score, 9), r.is_secret))
+    assert all(len(found) == 1 for found in rows.values())
+    features = secrets.featured(findings, words, likelihoods).collect()
+    for r in features:
+        vector = Vectors.dense([r[c] for c in secrets.FEATURES])
+        mean = sum(t.predictProbability(vector)[1] for t in model.trees) / len(model.trees)
+        ((score, secret),) = rows[r.value, r.before, r.after]
+        assert abs(score - mean) < 1e-6 and secret == (score >= secrets.LIMIT)
+
+
+@pytest.mark.parametrize("kind,least", [(0, 0.9), (3, 0.9), (7, 0.6), (9, 0.9), (11, 0.9)])
+def test_kinds_that_training_has_not_seen(spark, kind, least):
+    """A forest that one kind of finding was kept from judges that kind by what it shares with the others."""
+    words = materialize(secrets.dictionary(spark.read.parquet(f"{SF}/documents.parquet")), "words")
+    likelihoods = secrets.pair_likelihoods(words)
+    of = lambda per, seed: secrets.made_findings(spark, per_kind=per, seed=seed, numbered=True)
+    model = secrets.train(of(60, 1).where(f"kind <> {kind}").drop("kind"), words, likelihoods)
+    rows = secrets.scored(of(40, 2).where(f"kind = {kind}").drop("kind"), model, words, likelihoods).collect()
+    assert sum(r.is_secret == (r.label == 1) for r in rows) >= least * len(rows)
