@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orefield.plans import awards, datasets, intake, monitoring, notices, records, relational, searching, streams, text, vectors
+from orefield.plans import awards, datasets, intake, monitoring, notices, records, relational, searching, streams, text, upkeep, vectors
 
-MODULES = (relational, awards, vectors, text, records, searching, streams, notices, monitoring, datasets, intake)
+MODULES = (relational, awards, vectors, text, records, searching, streams, notices, monitoring, datasets, intake, upkeep)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
