@@ -253,11 +253,11 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {TENDER_SQL} SELECT id, list_filter(['sector: ' || sector, 'state: ' || state, CASE WHEN value_inr IS NOT NULL THEN 'within your size' END], lambda x: x IS NOT NULL) AS reasons FROM tender
-WHERE closes_at > TIMESTAMP '{AS_OF}' AND state = 'NATION_3' AND sector IN ('BUILDING', 'MACHINERY') AND (value_inr IS NULL OR value_inr <= 300000)""")
+WHERE closes_at > TIMESTAMP '{AS_OF}' AND state IN ('NATION_3', 'NATION_8', 'NATION_12', 'NATION_20') AND sector IN ('BUILDING', 'MACHINERY') AND (value_inr IS NULL OR value_inr <= 300000)""")
 def recommend_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ARR-03, RUL-06: why each tender is recommended."""
     every = tenders(spark, sf_dir)
-    return rules.recommended(every, every.limit(0).select("id"), AS_OF, states=["NATION_3"], sectors=["BUILDING", "MACHINERY"], cap=300_000).select("id", "reasons")
+    return rules.recommended(every, every.limit(0).select("id"), AS_OF, states=["NATION_3", "NATION_8", "NATION_12", "NATION_20"], sectors=["BUILDING", "MACHINERY"], cap=300_000).select("id", "reasons")
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL WHEN o_orderkey % 5 = 0 AND d >= DATE '2025-04-30' THEN 'morth' WHEN o_orderkey % 2 = 0 AND d >= DATE '2026-01-03' THEN 'odisha' END AS regime
