@@ -77,7 +77,7 @@ class BucketedTable:
         live = {w for v in kept for w, _ in self.manifest(v).values()}
         stale = [f"{self.folder}/manifest/{n}" for n in names(self.spark, f"{self.folder}/manifest") if int(n[2:]) not in kept]
         stale += [f"{self.folder}/data/{n}" for n in names(self.spark, f"{self.folder}/data") if int(n[2:]) not in live]
-        delete(self.spark, *stale, f"{self.folder}/staged")
+        delete(self.spark, *stale, f"{self.folder}/staged", f"{self.folder}/incoming")
 
     # ---- reading ----
 
@@ -107,7 +107,9 @@ class BucketedTable:
         if batch is not None and batch <= self.last_batch():
             return Change()
         fresh = last_wins(rows.select(*self.columns), self.keys, order) if order else rows.select(*self.columns)
-        fresh = fresh.withColumn("__bucket", self.bucket())
+        # written once: the buckets are asked for first, and what made the batch may be dear
+        delete(self.spark, f"{self.folder}/incoming")
+        fresh = written(fresh.withColumn("__bucket", self.bucket()), f"{self.folder}/incoming")
         stored = self.read([r[0] for r in fresh.select("__bucket").distinct().collect()])  # at most a row per bucket
         o, n = stored.withColumn("__there", F.lit(True)).alias("o"), fresh.alias("n")
         joined = n.join(o, _same("o", "n", self.keys), "left")
@@ -141,7 +143,7 @@ class BucketedTable:
         per = {r["__bucket"]: (r["n"], r["new"]) for r in delta.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("__new").alias("new")).collect()}
         entries = self.manifest()
         if not per:
-            delete(self.spark, f"{self.folder}/staged")
+            delete(self.spark, f"{self.folder}/staged", f"{self.folder}/incoming")
             if batch is not None:
                 self._commit(entries, version, number)
             return Change()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from orefield.operators.bucketed import BucketedTable, Change
 from orefield.operators.fulltext import UNCORRECTED, trigrams, vocabulary
 from orefield.operators.stemming import stems
+from orefield.storage import delete, scratch, written
 
 #: So many words nearest by trigrams are candidates; words this long may have two errors, shorter ones one.
 CANDIDATES, LONG, LEAST = 100, 6, 3
@@ -38,10 +39,14 @@ class WordList:
         if batch <= self.words.last_batch():
             return Change()
         counted = vocabulary(docs, text, by).where(F.col("word").rlike(WORD) & (F.length("word") >= LEAST))
+        place = scratch(self.spark, "counted")
+        counted = written(counted, place)  # asked for several times
         known = self.words.read_for(counted)
         fresh = counted.join(known, "word", "left_anti").select("word", trigrams(F.col("word")).alias("g"))
         self.grams.upsert(fresh.select(F.explode("g").alias("gram"), "word", F.size("g").alias("size")))
-        return self.words.upsert(counted, batch=batch, merge={"ndoc": lambda old, new: F.coalesce(old, F.lit(0)) + new})
+        change = self.words.upsert(counted, batch=batch, merge={"ndoc": lambda old, new: F.coalesce(old, F.lit(0)) + new})
+        delete(self.spark, place)
+        return change
 
     def _posted(self, grams: DataFrame) -> DataFrame:
         """(gram, word, size) of some trigrams; grams: a question's few."""
