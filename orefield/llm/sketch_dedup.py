@@ -292,3 +292,18 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -
     found = signed.select("doc_id", "class", "size").join(named, "class", "left")
     name = F.when(F.col("size") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return found.select("doc_id", F.col("size").alias("n_shingles"), name.alias("component_id"), F.col("doc_id").eqNullSafe(name).alias("kept"))
+
+
+#: What DuckDB gives for the same rows, by the shared shingles of all pairs; identifiers are taken to be unique and known.
+ORACLE = r"""
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_distinct(CASE WHEN len(w) >= 4 THEN [array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM split),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+each AS (SELECT doc_id, unnest(s) AS s FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM each a JOIN each b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * k >= 80 * (p.n + q.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT r.x, w.y FROM reached r JOIN ways w ON w.x = r.y),
+named AS (SELECT x, min(y) AS component_id FROM reached GROUP BY x)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM sizes JOIN named ON x = doc_id
+"""
