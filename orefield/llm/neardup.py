@@ -378,3 +378,19 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     wordless = F.coalesce(F.col(text), F.lit("")).rlike(r"^\s*$")
     once = kept.where(~wordless).dropDuplicates([row])
     return once.unionByName(kept.where(wordless)).drop(row)
+
+
+#: What DuckDB gives for the same rows, by the shared shingles of all pairs; identifiers are taken to be unique and known.
+ORACLE = r"""
+WITH RECURSIVE split AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\s\x0B\x1C-\x1F\x{85}\x{A0}]+'), lambda w: w <> '') AS w FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM split),
+sizes AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) ELSE 'none' || doc_id END AS h FROM sets),
+each AS (SELECT doc_id, unnest(s) AS s FROM sets),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM each a JOIN each b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM shared JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 5 * k >= 4 * (p.n + q.n - k)),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reached AS (SELECT doc_id AS x, doc_id AS y FROM sizes UNION SELECT r.x, w.y FROM reached r JOIN ways w ON w.x = r.y),
+named AS (SELECT x, min(y) AS class_id FROM reached GROUP BY x),
+degrees AS (SELECT x, count(*) AS n_links FROM ways GROUP BY x)
+SELECT doc_id, class_id, min(doc_id) OVER (PARTITION BY h) AS exact_id, coalesce(n_links, 0) AS n_links, count(*) OVER (PARTITION BY h) AS copies FROM sizes JOIN named ON named.x = doc_id LEFT JOIN degrees ON degrees.x = doc_id
+"""

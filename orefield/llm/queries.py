@@ -116,4 +116,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_windows": line_dedup.ORACLE, "op11_errata_trie": spelling.ORACLE, "op12_fast_sketch": sketch_dedup.ORACLE, "op13_delta_lloyd": centroids.oracle()}
+    return {"op7_minhash_forest": neardup.ORACLE, "op9_line_windows": line_dedup.ORACLE, "op11_errata_trie": spelling.ORACLE, "op12_fast_sketch": sketch_dedup.ORACLE, "op13_delta_lloyd": centroids.oracle()}
