@@ -198,3 +198,37 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     squared = lambda c: F.coalesce(F.col(c) * F.col(c), F.lit(0.0))
     near = (squared("char_distance") <= CHAR_LIMIT) & (squared("word_distance") <= WORD_LIMIT + WORD_NOISE / F.col("n_words"))
     return a.withColumn("kept", judged & F.coalesce(near, F.lit(True))).drop(*inner)
+
+
+#: What DuckDB gives for the same rows; identifiers are taken to be unique. Distances are rounded as in the query.
+ORACLE = rf"""
+WITH docs AS (SELECT doc_id, lang, text AS raw, coalesce(text, '') AS t FROM documents),
+cut AS (SELECT doc_id, lang, t, raw, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM docs),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM docs),
+spots AS (SELECT doc_id, i, array_to_string(ws[i:i + {REPEAT_WINDOW - 1}], ' ') AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {REPEAT_WINDOW - 2})) AS i FROM cut WHERE len(ws) >= {REPEAT_WINDOW})),
+twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, w) AS k FROM spots) WHERE k > 1),
+repeats AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, {REPEAT_WINDOW}) r(k) GROUP BY doc_id),
+counts AS (SELECT doc_id, lang, raw, t, length(regexp_replace(t, '\P{{Lu}}', '', 'g')) AS u, length(regexp_replace(t, '\P{{L}}', '', 'g')) AS l, length(regexp_replace(t, '\P{{Nd}}', '', 'g')) AS d, length(regexp_replace(t, '[^\x20\x09-\x0D]', '', 'g')) AS w, length(regexp_replace(t, '[^.,;:!?''"()\-]', '', 'g')) AS m, length(t) AS n FROM docs),
+classes AS (SELECT doc_id, lang, raw, [u, l - u, d, w, m, n - l - d - w - m] AS c, n FROM counts),
+class_sums AS (SELECT lang, i, sum(c[i]) AS s FROM classes, range(1, {len(CLASSES) + 1}) r(i) WHERE lang IS NOT NULL AND raw IS NOT NULL GROUP BY lang, i),
+class_refs AS (SELECT lang, i, s / sum(s) OVER (PARTITION BY lang) AS q FROM class_sums),
+base AS (SELECT c.doc_id, c.ws, CAST(len(c.ws) AS BIGINT) AS n_words, CAST(length(array_to_string(c.ws, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(c.t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
+  FROM cut c JOIN lines USING (doc_id) LEFT JOIN repeats r USING (doc_id)),
+failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base),
+char_parts AS (SELECT x.doc_id, r.lang, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2) AS d
+  FROM (SELECT doc_id, i, c[i] / greatest(n, 1) AS p FROM classes, range(1, {len(CLASSES) + 1}) g(i)) x JOIN class_refs r USING (i) GROUP BY x.doc_id, r.lang),
+chars AS (SELECT doc_id, sqrt(greatest(min(d), 0)) AS d FROM char_parts GROUP BY doc_id),
+said AS (SELECT doc_id, lang, unnest(list_filter(string_split_regex(lower(t), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS w FROM docs),
+per_lang AS (SELECT lang, w, count(*) AS n FROM said WHERE lang IS NOT NULL GROUP BY lang, w),
+totals AS (SELECT lang, sum(n) AS n FROM per_lang GROUP BY lang),
+listed AS (SELECT DISTINCT w FROM per_lang JOIN totals t USING (lang) WHERE length(w) <= {COMMON_LENGTH} AND per_lang.n >= t.n * {COMMON_SHARE}),
+word_refs AS (SELECT t.lang, l.w, coalesce(p.n, 0) / t.n AS q FROM totals t CROSS JOIN listed l LEFT JOIN per_lang p ON p.lang = t.lang AND p.w = l.w),
+own AS (SELECT s.doc_id, s.w, count(*) AS n FROM said s JOIN listed USING (w) GROUP BY s.doc_id, s.w),
+pairs AS (SELECT f.doc_id, r.lang, r.q, coalesce(o.n, 0) / f.n_words AS p FROM failed f CROSS JOIN word_refs r LEFT JOIN own o ON o.doc_id = f.doc_id AND o.w = r.w WHERE f.n_words >= {WORD_MIN} AND NOT f.base_failed),
+rests AS (SELECT doc_id, lang, q, p FROM pairs UNION ALL SELECT doc_id, lang, 1 - sum(q), 1 - sum(p) FROM pairs GROUP BY doc_id, lang),
+word_parts AS (SELECT doc_id, lang, sum((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2) AS d FROM rests GROUP BY doc_id, lang),
+near AS (SELECT doc_id, sqrt(greatest(min(d), 0)) AS d FROM word_parts GROUP BY doc_id),
+told AS (SELECT f.*, CASE WHEN NOT base_failed AND word_chars >= {CHAR_MIN} THEN c.d END AS cd, n.d AS wd FROM failed f LEFT JOIN chars c USING (doc_id) LEFT JOIN near n USING (doc_id))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(cd, 9) AS char_distance, round(wd, 9) AS word_distance,
+  NOT base_failed AND coalesce(coalesce(cd * cd, 0) <= {CHAR_LIMIT} AND coalesce(wd * wd, 0) <= {WORD_LIMIT} + {WORD_NOISE} / n_words, TRUE) AS kept FROM told
+"""

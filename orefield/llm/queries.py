@@ -30,7 +30,8 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return quality.judge(docs).drop("text", "lang")
+    found = quality.judge(docs).drop("text", "lang")
+    return found.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
 def op3_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -116,4 +117,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash_forest": neardup.ORACLE, "op9_line_windows": line_dedup.ORACLE, "op11_errata_trie": spelling.ORACLE, "op12_fast_sketch": sketch_dedup.ORACLE, "op13_delta_lloyd": centroids.oracle()}
+    return {"op2_divergence_rules": quality.ORACLE, "op7_minhash_forest": neardup.ORACLE, "op9_line_windows": line_dedup.ORACLE, "op11_errata_trie": spelling.ORACLE, "op12_fast_sketch": sketch_dedup.ORACLE, "op13_delta_lloyd": centroids.oracle()}
