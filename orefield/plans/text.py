@@ -170,7 +170,8 @@ def chunk_pack_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.chunk(pages)
 
 
-@query()
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')) AS title, CAST(len(regexp_extract_all(html, '(?i)<a\s[^>]*href')) AS INTEGER) AS links, CAST(len(regexp_extract_all(html, '(?i)<p[\s>]')) AS INTEGER) AS paragraphs,
+contains(html, 'Stale Session') AND contains(html, 'session has timed out') AS stale FROM pages""")
 def html_title_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles, links and paragraphs of pages, and whether one is of a session that has ended."""
     rows = table(spark, sf_dir, "pages").select("page_id", portal.outline_of("html").alias("o"), portal.is_stale(F.col("html")).alias("stale"))
