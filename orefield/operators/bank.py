@@ -92,7 +92,7 @@ def award_rows(notices: DataFrame, payments: DataFrame, plans: DataFrame, rates:
     one = notices.groupBy("key").agg(F.count(F.lit(1)).alias("n_notices"), F.min(F.struct("notice_id", *[c for c in notices.columns if c not in ("key", "notice_id")])).alias("n"))
     plan = plans.groupBy("key").agg(F.max(F.struct("status", "actual_usd", "estimated_usd", F.col("title").alias("plan_title"))).alias("p"))
     both = one.join(paid, "key", "full").join(plan, "key", "full").withColumn("date", F.coalesce("n.signed_on", "paid_on", "n.noticed_on"))
-    priced = both.join(F.broadcast(rates), F.year("date") == F.col("year"), "left")  # one row a year
+    priced = both.join(rates, F.year("date") == F.col("year"), "left")  # one row a year; Spark checks its size
     actual = F.when(F.lower("p.status").isin(*AWARDED) & (F.col("p.actual_usd") > 0), F.col("p.actual_usd"))
     award = F.coalesce(actual, F.when(F.col("paid_usd") > 0, F.col("paid_usd")), F.try_divide("n.signed_inr", "rupees"))
     winners, bidders = with_roles(F.col("n.bidders"), "awarded"), with_roles(F.col("n.bidders"), "awarded", "evaluated")

@@ -38,7 +38,7 @@ def resolve_sources(asked: DataFrame, registry: DataFrame) -> DataFrame:
     asked: pos, key. registry: source, ord, enabled. Unknown keys stay, with known = false, for the caller to refuse.
     """
     keys = asked.select("pos", F.trim("key").alias("key")).where("key <> ''")
-    every = keys.where("key = 'all'").crossJoin(F.broadcast(registry.where("enabled").select("source", "ord")))  # a few dozen sources
+    every = keys.where("key = 'all'").crossJoin(registry.where("enabled").select("source", "ord"))  # the keys named 'all', at most a few, with each source
     named = keys.where("key <> 'all'").select("pos", F.col("key").alias("source"), F.lit(0).alias("ord"))
     wanted = every.select("pos", "source", "ord").unionByName(named).groupBy("source").agg(F.min(F.struct("pos", "ord")).alias("at"))
     return wanted.join(registry.select("source", F.lit(True).alias("known")), "source", "left").select("source", "at.pos", "at.ord", F.coalesce("known", F.lit(False)).alias("known"))

@@ -151,12 +151,21 @@ def spots_of(labels: dict[str, str], question: Question, stems: bool | dict[str,
     return F.concat(*(part(column, label) for column, label in labels.items()))
 
 
+def may_match(labels: dict[str, str], question: Question) -> Column:
+    """Whether a row can satisfy a (stemmed) question, by its texts as they are: a stem is a part of its word. Most rows go
+    by this, before any is cut into words."""
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in labels]
+    has = lambda w: reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for c in low))
+    term = lambda t: reduce(lambda a, b: a & b, map(has, t))
+    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(term, clause)) for clause in question.clauses))
+
+
 def search_rows(df: DataFrame, question: Question, labels: dict[str, str], stems: bool | dict[str, bool] = True) -> DataFrame:
     """df's rows that satisfy the question, with score and n_terms. One scan: a row's words are judged where they are."""
     asked = stemmed(question)
     if not any(asked.clauses):
         return df.withColumns({"score": F.lit(0.0), "n_terms": F.lit(0)}).limit(0)
-    made = df.withColumn("__found", _let(spots_of(labels, asked, stems), lambda s: judged(s, asked)))
+    made = df.where(may_match(labels, asked)).withColumn("__found", _let(spots_of(labels, asked, stems), lambda s: judged(s, asked)))
     return made.where("__found.matches").withColumns({"score": F.col("__found.score"), "n_terms": F.col("__found.n_terms")}).drop("__found")
 
 

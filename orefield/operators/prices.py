@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: How many years before the last one give the growth that extends a series; shared currencies' areas.
 GROWTH_YEARS = 3
 AREAS = {"EUR": "XC"}
+#: An index has a value for each country and year: 250 countries, two series, and 200 years at most.
+MOST_VALUES = 100_000
 
 
 def extended(index: DataFrame, until: int) -> DataFrame:
@@ -37,7 +39,9 @@ def to_real(df: DataFrame, index: DataFrame, target: int, amount: str, currency:
     Years before a series' first one use its first value. The index has countries times years rows, a few thousand
     whatever df's size: it is extended once, on the driver's side of the plan, and joined three times by broadcast.
     """
-    rows = extended(index, target).collect()
+    rows = extended(index, target).limit(MOST_VALUES + 1).collect()
+    if len(rows) > MOST_VALUES:
+        raise ValueError(f"an index of more than {MOST_VALUES} values is no dimension")
     full = F.broadcast(df.sparkSession.createDataFrame(rows, "series string, country string, year int, value double"))
     firsts: dict[tuple[str, str], int] = {}
     for r in rows:
