@@ -69,13 +69,25 @@ def post(df: DataFrame, by: str, parts=TENDER_PARTS) -> DataFrame:
     return _lexemes(places(df, by, parts), by)
 
 
+def _heads(lexeme: str) -> list[str]:
+    """What a word begins with whose stem begins with the lexeme: all of it but the letters that stemming may change."""
+    return sorted({lexeme[: max(0, len(lexeme) - CHANGED)]} | {s for s, stem in SPECIAL.items() if stem.startswith(lexeme)})
+
+
+def may_match(question: Question, parts) -> Column:
+    """Whether a row can satisfy a question of lexemes, by its texts as they are."""
+    low = [F.lower(F.coalesce(c, F.lit(""))) for c in dict.fromkeys(c for c, _, _ in parts)]
+    has = lambda w: reduce(lambda a, b: a | b, (F.contains(c, F.lit(h)) for c in low for h in _heads(w)))
+    term = lambda t: reduce(lambda a, b: a & b, map(has, t))
+    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(term, clause)) for clause in question.clauses))
+
+
 def hits(df: DataFrame, by: str, question: Question, parts=TENDER_PARTS) -> DataFrame:
-    """The postings that the question (of lexemes) asks for, without making the others: words that can't have such a stem
-    go before any is stemmed."""
-    words = _words(question)
-    heads = {w[: max(0, len(w) - CHANGED)] for w in words} | {s for s, stem in SPECIAL.items() if any(stem.startswith(w) for w in words)}
+    """The postings that the question (of lexemes) asks for, of rows that may satisfy it, without making the others: rows
+    go by their raw texts before any is cut into words, and words that can't have such a stem before any is stemmed."""
+    heads = {h for w in _words(question) for h in _heads(w)}
     may = reduce(lambda a, b: a | b, (F.col("word").startswith(h) for h in sorted(heads)))
-    return asked(_lexemes(places(df, by, parts).where(may), by), question)
+    return asked(_lexemes(places(df.where(may_match(question, parts)), by, parts).where(may), by), question)
 
 
 def asked(posted: DataFrame, question: Question) -> DataFrame:

@@ -134,7 +134,8 @@ _LISTED = f"SELECT word, count(*) AS ndoc FROM (SELECT DISTINCT doc_id, unnest({
 def word_list(spark: SparkSession, sf_dir: str, batches: int = 3) -> WordList:
     """A list that documents came into in so many batches."""
     kept = WordList(spark, scratch(spark, "words"), buckets=16)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    # a small file is one split; its rows are dealt out before they are cut into words
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
     for k in range(batches):
         kept.add(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k), "text", "doc_id", batch=k)
     return kept
