@@ -128,7 +128,8 @@ def class_references(df: DataFrame, text: str, lang: str) -> dict[str, list[floa
     """Per language the shares of the character classes."""
     t = F.col(text)
     there = df.where(F.col(lang).isNotNull() & t.isNotNull()).select(F.col(lang).alias("lang"), t.alias("t"), remainder(t).alias("rest"))
-    white = F.length(F.regexp_replace("t", r"[^\x20\x09-\x0D]+", ""))
+    # blanks without a pattern; the other white space is in the rest
+    white = F.length("t") - F.length(F.replace("t", F.lit(" "))) + _count(F.col("rest"), r"[^\x09-\x0D]")
     rows = there.select("lang", class_counts(F.col("t"), F.col("rest"), white).alias("c"))
     sums = rows.groupBy("lang").agg(*(F.sum(F.col("c")[k]).alias(name) for k, name in enumerate(CLASSES))).collect()
     return {r["lang"]: [r[c] / s for c in CLASSES] for r in sums if (s := sum(r[c] for c in CLASSES))}
