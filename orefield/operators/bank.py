@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from decimal import ROUND_HALF_UP, Decimal
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -111,10 +113,13 @@ def award_rows(notices: DataFrame, payments: DataFrame, plans: DataFrame, rates:
 
 
 #: What marks a section of bidders, the labels of prices and of anything else, and money.
-SECTION = r"(?i)^(awarded|evaluated|rejected)\b[^:]{0,40}:$"
-PRICE_LABELS = [("opening", r"(?i)^(bid price at opening|read out price)\b"), ("evaluated", r"(?i)^(evaluated bid price|final evaluation price)\b"), ("signed", r"(?i)^(signed contract price|contract price)\b")]
-OTHER_LABELS = r"(?i)^(scores|price:?|currency:?|amount:?|reason for rejection|technical:?|financial:?|combined:?|rank:?|country:)"
-MONEY = r"\b([A-Z]{3})\s*(\d[\d,]*(?:\.\d+)?)"
+SECTION = re.compile(r"^(awarded|evaluated|rejected)\b[^:]{0,40}:$", re.I | re.A)
+PRICE_LABELS = [("opening", re.compile(r"^(bid price at opening|read out price)\b", re.I | re.A)), ("evaluated", re.compile(r"^(evaluated bid price|final evaluation price)\b", re.I | re.A)), ("signed", re.compile(r"^(signed contract price|contract price)\b", re.I | re.A))]
+OTHER_LABELS = re.compile(r"^(scores|price:?|currency:?|amount:?|reason for rejection|technical:?|financial:?|combined:?|rank:?|country:)", re.I | re.A)
+NAMED = re.compile(r"^name\s*:\s*", re.I | re.A)
+MONEY = re.compile(r"\b([A-Z]{3})\s*(\d[\d,]*(?:\.\d+)?)", re.A)
+#: Sums from here on have more digits than a decimal(28,6).
+MOST = Decimal(10) ** 22
 NOTICE_DATE = r"\s*:?\s*(?:\(YYYY/MM/DD\))?\s*(\d{4}/\d{2}/\d{2}|\d{1,2}-[A-Za-z]{3}-\d{4})"
 
 
@@ -136,60 +141,93 @@ class _Said(HTMLParser):
             self.out.append({"text": text, "bold": self.bold > 0})
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("text", T.StringType()), T.StructField("bold", T.BooleanType())])))
-def said(html: pd.Series) -> pd.Series:
-    """What a notice's page says, stretch by stretch."""
+def _money_in(text: str) -> tuple[str, float] | None:
+    """The first sum in rupees, else the first of any currency."""
+    some = [(c, Decimal(a.replace(",", ""))) for c, a in MONEY.findall(text)]
+    some = [(c, float(a.quantize(Decimal("0.000001"), ROUND_HALF_UP))) for c, a in some if Decimal("0.0000005") <= a < MOST]
+    return next((m for m in some if m[0] == "INR"), some[0] if some else None)
+
+
+class _Bidders:
+    """The bidders of a notice, from its stretches of text in order.
+
+    A stretch is a section, a price's label, a name, another label, or a value. A section holds for what follows, a name
+    begins a bidder, and a sum belongs to the label that it stands in or right after; sums after another section's head are
+    no bidder's.
+    """
 
-    def one(page: str | None) -> list[dict]:
-        own = _Said()
+    def __init__(self):
+        self.role, self.since, self.waiting, self.out = None, 0, None, []
+
+    def take(self, text: str, bold: bool) -> None:
+        if section := SECTION.search(text):
+            self.role, self.since, self.waiting = section[1].lower(), self.since + 1, None
+            return
+        if self.role is None:
+            return
+        label = next((kind for kind, rx in PRICE_LABELS if rx.search(text)), None)
+        if label:
+            inside = _money_in(text.split(":", 1)[1]) if ":" in text else None
+            self.waiting = None if inside else label
+            self._price(label, inside)
+            return
+        waiting, self.waiting = self.waiting, None
+        other = OTHER_LABELS.search(text)
+        if NAMED.search(text) or (bold and not other):
+            self.out.append({"name": _called(text), "role": self.role, "since": self.since, "prices": []})
+        elif waiting and not other:
+            self._price(waiting, _money_in(text))
+
+    def _price(self, of: str, money: tuple[str, float] | None) -> None:
+        if money and self.out and self.out[-1]["since"] == self.since:
+            self.out[-1]["prices"].append((of, *money))
+
+    def found(self) -> list[dict] | None:
+        return [self._told(b) for b in self.out] or None
+
+    @staticmethod
+    def _told(b: dict) -> dict:
+        """A bidder with its last prices, in one currency: that of the evaluated price if there is one."""
+        currency = next((c for of, c, _ in b["prices"] if of == "evaluated"), b["prices"][0][1] if b["prices"] else "")
+        own = {of: amount for of, c, amount in b["prices"] if c == currency}
+        return {"name": b["name"], "role": b["role"], "currency": currency} | {kind: own.get(kind) for kind, _ in PRICE_LABELS}
+
+
+def _called(text: str) -> str:
+    """A bidder's name without its label, number and kind."""
+    bare = re.sub(r"\s*\[[^\]]*\]\s*$", "", re.sub(r"\s*\(\d+\)\s*$", "", NAMED.sub("", text), flags=re.A))
+    return " ".join(bare.split())
+
+
+_BIDDER = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "role", "currency")] + [T.StructField(kind, T.DoubleType()) for kind, _ in PRICE_LABELS])
+TOLD = T.StructType([T.StructField("text", T.StringType()), T.StructField("bidders", T.ArrayType(_BIDDER))])
+
+
+@F.pandas_udf(TOLD)
+def _read(html: pd.Series) -> pd.DataFrame:
+    """What a notice's page says, a stretch a line, and its bidders."""
+
+    def one(page: str | None) -> tuple:
+        own, bidders = _Said(), _Bidders()
         own.feed(page or "")
         own.close()
-        return own.out
+        for x in own.out:
+            bidders.take(x["text"], x["bold"])
+        return "\n".join(x["text"] for x in own.out), bidders.found()
 
-    return html.map(one)
+    return pd.DataFrame([one(page) for page in html], columns=["text", "bidders"])
 
 
-def _money_in(text: Column) -> Column:
-    """The first sum in rupees, else the first of any currency."""
-    sums = F.zip_with(F.regexp_extract_all(text, F.lit(MONEY), F.lit(1)), F.regexp_extract_all(text, F.lit(MONEY), F.lit(2)), lambda c, a: F.struct(c.alias("currency"), bank_amount(a).cast("double").alias("amount")))
-    some = F.filter(sums, lambda m: m["amount"].isNotNull())
-    return F.coalesce(F.get(F.filter(some, lambda m: m["currency"] == "INR"), 0), F.get(some, 0))
+#: Each page is read once, whatever is asked of what it says.
+read_page = _read.asNondeterministic()
 
 
 def read_notices(pages: DataFrame, by: str = "id", html: str = "html") -> DataFrame:
-    """(by, project_id, ref, version, signed_on, notified_on, bidders) of award notices in either layout.
-
-    A stretch of text is a section, a price's label, a name, another label, or a value. A section holds for what follows, a
-    name begins a bidder, and a sum belongs to the label that it stands in or right after: all of it windows over a
-    notice's stretches. A bidder has one currency, that of the evaluated price if there is one.
-    """
-    told = pages.select(by, said(F.col(html)).alias("said"))
-    text = F.array_join(F.transform("said", lambda x: x["text"]), "\n")
+    """(by, project_id, ref, version, signed_on, notified_on, bidders) of award notices in either layout; null bidders
+    where a page names none. A page is read in the row where it is, once, and nothing is shuffled."""
+    told = pages.select(by, read_page(F.col(html)).alias("told")).select(by, "told.text", "told.bidders")
     find = lambda rx, k=1: F.regexp_extract(F.col("text"), rx, k)
-    heads = told.select(by, text.alias("text")).select(
+    return told.select(
         by, find(r"Project\s*:\s*(P\d{5,7})").alias("project_id"), plain(find(r"Bid/Contract Reference No\s*:[ \t]*\n?[ \t]*([^\n]+)")).alias("ref"), F.coalesce(find(r"Notice Version No\s*:\s*(\d+)").try_cast("int"), F.lit(0)).alias("version"),
-        bank_date(find(r"Contract Signature Date" + NOTICE_DATE)).alias("signed_on"), bank_date(find(r"Date Notification of Award Issued" + NOTICE_DATE)).alias("notified_on"),
+        bank_date(find(r"Contract Signature Date" + NOTICE_DATE)).alias("signed_on"), bank_date(find(r"Date Notification of Award Issued" + NOTICE_DATE)).alias("notified_on"), "bidders",
     )
-    rows = told.select(by, F.posexplode("said").alias("pos", "x")).select(by, "pos", "x.text", "x.bold")
-    t, order = F.col("text"), W.partitionBy(by).orderBy("pos")
-    label = F.coalesce(*(F.when(t.rlike(rx), name) for name, rx in PRICE_LABELS))
-    role = F.when(t.rlike(SECTION), F.lower(F.regexp_extract(t, SECTION, 1)))
-    name = role.isNull() & label.isNull() & (t.rlike(r"(?i)^name\s*:") | (F.col("bold") & ~t.rlike(OTHER_LABELS)))
-    rows = rows.select(by, "pos", "text", role.alias("section"), label.alias("label"), name.alias("named"), F.when(label.isNotNull() & t.contains(":"), _money_in(F.regexp_replace(t, "^[^:]*:", ""))).alias("inside"))
-    rows = rows.withColumn("role", F.last("section", ignorenulls=True).over(order)).where("role is not null")
-    plain_value = F.col("section").isNull() & F.col("label").isNull() & ~F.col("named") & ~t.rlike(OTHER_LABELS)
-    waiting = F.lag(F.when(F.col("inside").isNull(), F.col("label"))).over(order)
-    rows = rows.withColumns({"bidder": F.sum(F.col("named").cast("int")).over(order), "since": F.max(F.when(F.col("section").isNotNull(), F.col("pos"))).over(order), "of": F.coalesce(F.when(F.col("inside").isNotNull(), F.col("label")), F.when(plain_value, waiting))})
-    money = F.coalesce("inside", F.when(F.col("of").isNotNull(), _money_in(t)))
-    called = plain(F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?i)^name\s*:\s*", ""), r"\s*\(\d+\)\s*$", ""), r"\s*\[[^\]]*\]\s*$", ""))
-    price = F.struct("pos", "of", money["currency"].alias("currency"), money["amount"].alias("amount"))
-    each = rows.where("bidder > 0").groupBy(by, "bidder").agg(
-        F.min_by(F.struct(called.alias("name"), "role", "since"), F.when(F.col("named"), F.col("pos"))).alias("b"), F.sort_array(F.collect_list(F.when(F.col("of").isNotNull() & money.isNotNull(), F.struct(price.alias("p"), F.col("since").alias("since"))))).alias("prices")
-    )
-    # sums after another section's head are no bidder's
-    own = F.transform(F.filter("prices", lambda x: x["since"] == F.col("b.since")), lambda x: x["p"])
-    currency = F.coalesce(F.get(F.filter(own, lambda p: p["of"] == "evaluated"), 0)["currency"], F.get(own, 0)["currency"])
-    last = lambda kind: F.element_at(F.concat(F.array(F.lit(None).cast("double")), F.transform(F.filter(own, lambda p: (p["of"] == kind) & (p["currency"] == currency)), lambda p: p["amount"])), -1)
-    made = each.select(by, "bidder", F.struct(F.col("b.name").alias("name"), F.col("b.role").alias("role"), F.coalesce(currency, F.lit("")).alias("currency"), last("opening").alias("opening"), last("evaluated").alias("evaluated"), last("signed").alias("signed")).alias("x"))
-    listed = made.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("bidder", "x"))), lambda s: s["x"]).alias("bidders"))
-    return heads.join(listed, by, "left")

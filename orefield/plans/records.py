@@ -751,5 +751,7 @@ def notices_read(spark: SparkSession, sf_dir: str) -> DataFrame:
         "<div>Bid Price at Opening</div><div>USD 9.00 INR ", text(n), "</div><div>Evaluated Bid Price: INR ", text(n + 1), "</div><div>Signed Contract price</div><div>INR ", text(n + 2), "</div><div>INR 1</div><div>Evaluated Bidder(s):</div><p>Name: Second Co [SC]</p>",
         "<p>Read Out Price : USD 3</p><p>Final Evaluation Price</p><p>INR ", text(n + 5), "</p><div>Rejected Bidder(s):</div><div><strong>Third Co</strong></div><div>Bid price at opening</div><div>USD 7</div><div>Evaluated Bid Price</div><div>Reason for rejection</div><div>INR 3</div>",
     )
-    rows = bank.read_notices(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), html.alias("html")))
+    # pages are far larger than the rows that they are made from, which lie in few files
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    rows = bank.read_notices(orders.select(F.col("o_orderkey").alias("id"), html.alias("html")))
     return rows.select("id", "project_id", "ref", "version", "signed_on", F.inline("bidders"))
