@@ -14,6 +14,12 @@ def _seconds(a: Column, b: Column) -> Column:
     return F.unix_millis(b.cast("timestamp")) / 1000 - F.unix_millis(a.cast("timestamp")) / 1000
 
 
+def to_millis(at: Column) -> Column:
+    """A moment to the nearest millisecond, halves up."""
+    micros = F.unix_micros(at.cast("timestamp")) + 500
+    return F.timestamp_micros(micros - F.pmod(micros, F.lit(1000)))
+
+
 def closes_in(closes: Column, now: Column) -> Column:
     """(text, urgent, closed): 'Closed', 'Closes within an hour', 'Closes in 5h', 'Closes in 2 days'."""
     left = _seconds(now, closes)
