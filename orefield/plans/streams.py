@@ -7,12 +7,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from orefield.operators.bucketed import BucketedTable
 from orefield.sources import feeds
 from orefield.sources.tables import table
-from orefield.storage import scratch
+from orefield.storage import scratch, written
 from orefield.streaming import stateful
 
 SQL: dict[str, str] = {}
@@ -105,6 +106,18 @@ def reminders_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
 PAGE_ROWS, OWN = 500, 450
 
 
+def placed(rows: DataFrame, by: str) -> DataFrame:
+    """rows with their place in order of `by`, from 0, whatever gaps there are: numbered within ranges, a task each."""
+    spark = rows.sparkSession
+    ranged = written(rows.repartitionByRange(8 * spark.sparkContext.defaultParallelism, by).withColumn("range", F.spark_partition_id()), scratch(spark, "ranges"))
+    sizes = {r["range"]: r["count"] for r in ranged.groupBy("range").count().collect()}  # a number a range
+    before, n = [], 0
+    for k in sorted(sizes):
+        before, n = [*before, (k, n)], n + sizes[k]
+    starts = F.broadcast(spark.createDataFrame(before, "range int, before long"))
+    return ranged.join(starts, "range").withColumn("place", F.col("before") + F.row_number().over(W.partitionBy("range").orderBy(by)) - 1).drop("range", "before")
+
+
 def publish(records: DataFrame, folder: str, rows: int = PAGE_ROWS) -> None:
     """Write records (pos, record) as a feed's pages, a page a group."""
     total = records.agg(F.max("pos")).first()[0] + 1
@@ -123,16 +136,16 @@ def publish(records: DataFrame, folder: str, rows: int = PAGE_ROWS) -> None:
 def feed_drained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SRC-11: a feed of pages in two runs of a stream, the second from where the first stopped; a tenth of the records
     come on two pages."""
-    events = table(spark, sf_dir, "events").select("event_id", (F.col("user_id") * 1000000 + F.col("event_id")).alias("id"), "event_type")
+    events = placed(table(spark, sf_dir, "events"), "event_id").select("event_id", "place", (F.col("user_id") * 1000000 + F.col("event_id")).alias("id"), "event_type")
     # a page has 450 records of its own, and the last 50 of the page before again
-    page, k = F.floor(F.col("event_id") / OWN), F.col("event_id") % OWN
+    page, k = F.floor(F.col("place") / OWN), F.col("place") % OWN
     again = PAGE_ROWS - OWN
     places = F.array(page * PAGE_ROWS + k, F.when(k >= OWN - again, (page + 1) * PAGE_ROWS + again + k))
     kinds = F.struct("id", F.col("event_type").alias("kind"), F.col("event_id").alias("page_order"))
     records = events.select(F.explode(F.array_compact(places)).alias("pos"), F.to_json(kinds).alias("record"))
     folder = scratch(spark, "feed")
     publish(records, f"{folder}/pages")
-    kept = BucketedTable(spark, f"{folder}/table", "id long, offset long, ord int, kind string, page_order long", ["id"], 8)
+    kept = BucketedTable(spark, f"{folder}/table", "id long, offset long, ord int, kind string, page_order long", ["id", "page_order"], 8)
     options = {"pages": f"{folder}/pages", "cache": f"{folder}/cache", "rows": str(PAGE_ROWS)}
     for more in ({"limit": str(3 * PAGE_ROWS)}, {"per_batch": "100"}):
         stream = feeds.read_feed(spark, **options, **more).select(F.from_json("record", "id long, kind string, page_order long").alias("r"), "offset", "ord")

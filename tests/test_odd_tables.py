@@ -6,7 +6,7 @@ import duckdb
 from compare import rows_of
 
 from orefield.operators import entities
-from orefield.plans import intake
+from orefield.plans import intake, streams
 
 
 def agrees(spark, folder, name, table, query, sql, view):
@@ -27,6 +27,13 @@ def test_times_are_told_to_the_nearest_millisecond(spark, tmp_path):
     assert len(rows) == len(events)
 
 
+def test_a_feed_of_events_with_gaps_and_numbers_over_a_million(spark, tmp_path):
+    # user 1's event 7 and user 0's event 1,000,007 have one identifier, and whole pages of numbers are missing
+    events = [(k, 1, "view") for k in range(1200)] + [(1_000_000 + k, 0, "click") for k in range(700)]
+    rows = agrees(spark, tmp_path, "events", (events, "event_id long, user_id long, event_type string"), streams.feed_drained, streams.SQL["feed_drained"], "select * from '{at}'")
+    assert len(rows) == 1900
+
+
 def test_numbers_are_not_misspelt():
     assert entities.score("roads wing 12345 | division 7", "roads wing 12346 | division 7") <= entities.OWN_TOKEN_CAP
     assert entities.score("public works divison", "public works division") >= entities.MERGE_FROM
