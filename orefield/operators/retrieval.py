@@ -17,6 +17,8 @@ LIST_K, RRF_K, RERANK, FINAL = 50, 60, 30, 5
 QUESTION_CHARS = 1000
 #: So many queries are sent to the tasks at once; more come in further passes.
 QUERIES_AT_ONCE = 4096
+#: So many distances of questions to rows are looked at, at once.
+PAIRS_AT_ONCE = 1 << 20
 
 
 def cosine_distance(vector: Column, asked: list[float]) -> Column:
@@ -33,6 +35,34 @@ def dense(df: DataFrame, asked: list[float], k: int = LIST_K, by: str = "id", ve
     return df.withColumn("distance", cosine_distance(F.col(vector), asked)).orderBy("distance", by).limit(k)
 
 
+class Nearest:
+    """The k nearest rows of each question so far, ties by identifier; what a task holds doesn't grow with its rows."""
+
+    def __init__(self, questions: int, k: int, like: np.ndarray):
+        self.k, self.distance, self.ids = k, np.full((questions, k), np.inf), np.zeros((questions, k), like.dtype)
+
+    @staticmethod
+    def parts(rows: int, questions: int) -> Iterator[slice]:
+        """Stretches of rows, so many that their distances to the questions are PAIRS_AT_ONCE at most."""
+        step = max(1, PAIRS_AT_ONCE // max(1, questions))
+        return (slice(at, at + step) for at in range(0, rows, step))
+
+    def take(self, some: np.ndarray, ids: np.ndarray, distance: np.ndarray) -> None:
+        """Rows by identifier and their distances (a line for each of some questions)."""
+        distance = np.where(np.isfinite(distance), distance, np.inf)
+        nearer = distance.min(1) <= self.distance[some, -1]
+        some, distance = some[nearer], distance[nearer]
+        every = np.hstack([self.distance[some], distance])
+        names = np.hstack([self.ids[some], np.broadcast_to(ids, distance.shape)])
+        order = np.lexsort((names, every), axis=1)[:, : self.k]
+        self.distance[some], self.ids[some] = np.take_along_axis(every, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+    def found(self, names: np.ndarray, by: str) -> Iterator[pd.DataFrame]:
+        for few in self.parts(len(names), self.k):
+            there = np.isfinite(self.distance[few])
+            yield pd.DataFrame({"query": np.repeat(names[few], there.sum(1)), by: self.ids[few][there], "distance": self.distance[few][there]})
+
+
 def dense_many(df: DataFrame, queries: DataFrame, k: int, by: str = "id", vector: str = "embedding") -> DataFrame:
     """(query, id, distance, rank): the k nearest other rows of each query, exactly.
 
@@ -50,18 +80,20 @@ def dense_many(df: DataFrame, queries: DataFrame, k: int, by: str = "id", vector
 
     def scan(names: np.ndarray, matrix: np.ndarray):
         def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
             for f in frames:
                 if not len(f):
                     continue
                 rows = np.stack(f[vector].to_numpy()).astype(float)
                 rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-                ids = f[by].to_numpy()
-                distance = 1 - matrix @ rows.T
-                distance[names[:, None] == ids[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
-                picked = np.take_along_axis(distance, order, axis=1)
-                there = np.isfinite(picked)
-                yield pd.DataFrame({"query": np.repeat(names, order.shape[1])[there.ravel()], by: ids[order].ravel()[there.ravel()], "distance": picked.ravel()[there.ravel()]})
+                best = best or Nearest(len(names), k, f[by].to_numpy())
+                for few in best.parts(len(rows), len(names)):
+                    ids = f[by].to_numpy()[few]
+                    distance = 1 - matrix @ rows[few].T
+                    distance[names[:, None] == ids[None, :]] = np.inf
+                    best.take(np.arange(len(names)), ids, distance)
+            if best:
+                yield from best.found(names, by)
 
         return run
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from orefield.operators.retrieval import LIST_K
+from orefield.operators.retrieval import LIST_K, Nearest
 from orefield.storage import delete, scratch, written
 
 #: Centroids are fitted on at most about so many vectors, chosen by a hash of their identifier, in so many rounds.
@@ -180,13 +180,17 @@ class VectorIndex:
         by, vector = self.by, self.vector
 
         def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            best = None
             for f in frames:
                 for number, part in f.groupby("list"):
                     (mine,) = (wanted == number).any(1).nonzero()
                     if not len(mine):
                         continue
-                    ids, distance = part[by].to_numpy(), 1 - vectors[mine] @ _unit(np.stack(part[vector].to_numpy()).astype(float)).T
-                    order = np.lexsort((np.broadcast_to(ids, distance.shape), distance), axis=1)[:, :k]
-                    yield pd.DataFrame({"query": np.repeat(names[mine], order.shape[1]), by: ids[order].ravel(), "distance": np.take_along_axis(distance, order, axis=1).ravel()})
+                    ids, rows = part[by].to_numpy(), _unit(np.stack(part[vector].to_numpy()).astype(float))
+                    best = best or Nearest(len(names), k, ids)
+                    for few in best.parts(len(rows), len(mine)):
+                        best.take(mine, ids[few], 1 - vectors[mine] @ rows[few].T)
+            if best:
+                yield from best.found(names, by)
 
         return run
