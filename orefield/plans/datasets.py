@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import io
+import itertools
+import shutil
+import tempfile
 import zipfile
 from collections.abc import Iterator
 
@@ -34,23 +36,29 @@ def query(sql: str | None = None):
 
 
 def archived(rows: DataFrame, folder: str, archives: int) -> None:
-    """Write rows as CSV files in zip archives, two files each and a note that isn't one, a task an archive."""
+    """Write rows as CSV files in zip archives, two files each and a note that isn't one, a task an archive.
+
+    Half of the rows of each batch goes to the archive at once, the other half waits in a file of the task's own, so a task
+    holds a batch at a time.
+    """
 
     def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = list(frames)
-        if parts:
-            whole = pd.concat(parts)
-            body = io.BytesIO()
-            with zipfile.ZipFile(body, "w", zipfile.ZIP_DEFLATED) as z:
-                half = len(whole) // 2
-                z.writestr("one.CSV", whole[:half].to_csv(index=False, quoting=1))
-                z.writestr("two.csv", whole[half:].to_csv(index=False))
-                z.writestr("readme.txt", "not,a,table")
+        n, frames = 0, (f for f in frames if len(f))
+        if (first := next(frames, None)) is not None:
             system, path = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
             system.create_dir(path, recursive=True)
-            with system.open_output_stream(f"{path}/{whole['ID_NOTICE_CAN'].iloc[0]}.zip") as f:
-                f.write(body.getvalue())
-        yield pd.DataFrame({"n": [len(parts)]})
+            with system.open_output_stream(f"{path}/{first['ID_NOTICE_CAN'].iloc[0]}.zip") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z, tempfile.TemporaryFile() as rest:
+                with z.open("one.CSV", "w", force_zip64=True) as one:
+                    for part in itertools.chain([first], frames):
+                        half = len(part) // 2
+                        one.write(part[:half].to_csv(index=False, quoting=1, header=not n).encode())
+                        rest.write(part[half:].to_csv(index=False, header=not n).encode())
+                        n += 1
+                rest.seek(0)
+                with z.open("two.csv", "w", force_zip64=True) as two:
+                    shutil.copyfileobj(rest, two)
+                z.writestr("readme.txt", "not,a,table")
+        yield pd.DataFrame({"n": [n]})
 
     rows.repartition(archives, "ID_NOTICE_CAN").mapInPandas(put, "n long").write.format("noop").mode("overwrite").save()
 
