@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.operators import documents
+from orefield.operators.fulltext import _let
 
 #: Labels of a work's name, gaps of table columns, published identifiers, clock times, and lengths.
 TITLE_LABEL = r"(?i)^\s*(?:\d{1,2}[.)]\s*)?(?:(?:name|title|description|nature)\s+of\s+(?:the\s+)?(?:work|project|tender|assignment|services?|supply|contract)s?|subject|sub\.?|work\s+name|tender\s+title|title)\b\s*[:\-–.]*\s*"
@@ -32,7 +33,7 @@ def title_of(lines: Column) -> Column:
         value = F.when(below, F.trim(F.coalesce(F.get(lines, i + 1), F.lit("")))).otherwise(own)
         first = i + 1 + below.cast("int")
         rest = F.slice(lines, first + 1, F.greatest(F.lit(0), i + 1 + WRAPPED_LINES - first))
-        good = raw.rlike(TITLE_LABEL) & (F.length(value) >= 6) & (F.length(F.regexp_replace(value, r"\P{L}", "")) >= 4)
+        good = (F.length(value) >= 6) & (F.length(F.regexp_replace(value, r"\P{L}", "")) >= 4)
         return F.struct(good.alias("good"), value.alias("value"), rest.alias("rest"))
 
     def wrapped(acc: Column, line: Column) -> Column:
@@ -40,8 +41,10 @@ def title_of(lines: Column) -> Column:
         over = acc["over"] | (s == "") | (indent < INDENT) | s.rlike(COLUMN_GAP) | documents.is_heading(s)
         return F.struct(F.when(over, acc["text"]).otherwise(F.concat(acc["text"], F.lit(" "), s)).alias("text"), over.alias("over"))
 
-    found = F.get(F.filter(F.transform(F.sequence(F.lit(0), n - 1), at), lambda x: x["good"]), 0)
-    whole = F.aggregate(found["rest"], F.struct(found["value"].alias("text"), F.lit(False).alias("over")), wrapped)["text"]
+    # few lines have a label: what follows it is looked at there only, and of the first good one only what is wrapped
+    labelled = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.get(lines, i).rlike(TITLE_LABEL))
+    first = F.get(F.filter(F.transform(labelled, at), lambda x: x["good"]), 0)
+    whole = _let(first, lambda found: F.aggregate(found["rest"], F.struct(found["value"].alias("text"), F.lit(False).alias("over")), wrapped)["text"])
     return F.when(n > 0, F.coalesce(F.left(_tidy(whole), F.lit(TITLE_CHARS)), F.lit(""))).otherwise("")
 
 

@@ -496,7 +496,8 @@ def contracts_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOC-04: the name of the work with its wrapped line, and what a document is about."""
     k = text("o_orderkey")
-    o = table(spark, sf_dir, "orders")
+    # a small file is one split: keys are dealt out before the texts are made and searched
+    o = table(spark, sf_dir, "orders").select("o_orderkey").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
     head = F.concat(F.lit("NOTICE\nTender 2024_ABC_"), k, F.lit("_1\n1. Name of the work : Construction of road no "), k, F.lit("\n          in the district\nEMD    Rs. 5"))
     pages = o.select(F.col("o_orderkey").alias("doc_id"), F.explode(F.array(F.struct(F.lit(1).alias("page"), head.alias("text")), F.struct(F.lit(2).alias("page"), F.lit("Subject: other matters of no use").alias("text")))).alias("p")).select("doc_id", "p.*")
     known = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("doc_id"), F.lit("").alias("title"), F.concat(F.lit("REF/"), k).alias("reference"), F.lit(" ").alias("buyer"))

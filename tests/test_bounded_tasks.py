@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from orefield.operators import contracts, retrieval
-from orefield.plans import datasets
+from orefield.plans import datasets, records
 
 
 def test_nearest_holds_few_distances_and_breaks_ties_by_identifier():
@@ -64,3 +64,8 @@ def test_an_organisations_pairs_are_written_by_many_tasks(spark):
     found = contracts.recipients(tracks, members)
     sizes = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 60_000 and found.distinct().count() == 60_000 and max(sizes) <= 20_000
+
+
+def test_documents_are_dealt_out_before_their_texts_are_made(spark):
+    plan = records.document_contexts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
