@@ -1,13 +1,15 @@
-"""Topics of texts: clusters of their words, fitted on a bounded sample.
+"""Topics of texts: clusters of their words, fitted on all texts.
 
-A text is its words' counts in BINS bins by hash, weighted by how few texts of the sample have the bin. Spherical k-means
-over the sample gives the topics' centres; a text's topic is the centre that it has the least angle to. Words that most
-texts have weigh nothing, so a text of only such words has topic 0, as has one without words.
+A text is its words' counts in BINS bins by hash, weighted by how few texts have the bin. The counts are written once;
+spherical k-means runs over them, one pass of all texts a round. It begins at the mean and at texts drawn by a hash of
+their counts, with chances that grow with how far they are from the centres before. Sums are whole numbers, so that they don't depend
+on how the texts are dealt out. A text's topic is the centre that it has the least angle to. Words that all texts have
+weigh nothing, so a text of only such words has topic 0, as has one without words.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm import words
-from orefield.llm.common import slices
+from orefield.llm.common import discard, materialize, slices
 
 BINS, TOPICS = 1024, 8
-#: The sample that topics are fitted on: at most so many different texts, those with the least hashes.
-SAMPLE = 3000
 ROUNDS = 30
+#: A component of a text's unit vector as a whole number; the sums over 2 ** 43 texts still fit.
+UNIT = 1 << 20
+#: Of a text's vector: a bin, and how often the text has it. At most BINS of them a text.
+ENTRY = np.dtype([("bin", "<u2"), ("n", "<u4")])
+ROWS_AT_ONCE = 1024
 BLANKS = " \n\t\r"
 
 
@@ -44,37 +49,122 @@ def counted(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray]:
 def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, "text"):
         found, bins, _ = counted(part.column("text"))
-        each = bins[np.asarray(found.codes)]
-        rows = [np.bincount(each[a:b], minlength=BINS + 1)[:BINS].astype(np.float32) for a, b in zip(found.starts, found.starts[1:])]
-        yield pa.RecordBatch.from_pydict({"h": part.column("h"), "v": pa.array([r.tobytes() for r in rows], pa.binary())})
-
-
-def fit(df: DataFrame, text: str = "text", sample: int = SAMPLE) -> Topics:
-    """Topics of df's texts. The driver gets the sample's counts, at most `sample` times BINS numbers."""
-    rows = df.where(F.length(text) > 0).select(F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    n = rows.count()
-    share = min(1.0, 4.0 * sample / max(n, 1))  # few copies more or less; the least hashes of these are the sample
-    few = rows.where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).dropDuplicates(["h"]) if share < 1 else rows.dropDuplicates(["h"])
-    least = few.orderBy(F.pmod("h", F.lit(1 << 30)), "h").limit(sample)
-    found = sorted((r["h"], bytes(r["v"])) for r in least.mapInArrow(_vectors, "h long, v binary").collect())
-    counts = np.stack([np.frombuffer(v, np.float32) for _, v in found]) if found else np.zeros((1, BINS), np.float32)
-    weight = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0)))
-    x = _unit(counts * weight)
-    return Topics((_centres(x) * weight).astype(np.float32))
+        owner = np.repeat(np.arange(part.num_rows), np.diff(found.starts))
+        there, n = np.unique(owner * (BINS + 1) + bins[np.asarray(found.codes)], return_counts=True)
+        owner, bin_ = np.divmod(there, BINS + 1)
+        kept = bin_ < BINS
+        own = np.zeros(kept.sum(), ENTRY)
+        own["bin"], own["n"] = bin_[kept], n[kept]
+        ends = np.searchsorted(owner[kept], np.arange(part.num_rows + 1)) * ENTRY.itemsize
+        rows = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(own.tobytes())])
+        yield pa.RecordBatch.from_arrays([rows], ["v"])
+
+
+def _entries(batches: Iterable[pa.RecordBatch], weight: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows, where each one's entries begin, and of all entries the bin and the weighted component of a unit vector."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            rows = batch.slice(at, ROWS_AT_ONCE)
+            v = rows.column("v")
+            offsets = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1]
+            all_ = np.frombuffer(v.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(ENTRY)
+            starts = (offsets[:-1] - offsets[0]).astype(np.int64) // ENTRY.itemsize
+            bins = all_["bin"].astype(np.int64)
+            x = all_["n"] * (weight[bins] if weight is not None else 1.0)
+            length = np.sqrt(np.add.reduceat(x * x, starts))
+            yield rows, starts, bins, x / np.repeat(np.maximum(length, 1e-12), np.diff(np.append(starts, len(x))))
+
+
+def _cosines(centres: np.ndarray, starts: np.ndarray, bins: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return np.round([np.add.reduceat(c[bins] * x, starts) for c in centres], 9)
+
+
+def _sums(vectors: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]], slots: int) -> np.ndarray:
+    """The sums of what run gives for the rows, whole numbers in so many slots: added in the tasks, of which there are as
+    many as cores, then of these."""
+
+    def added(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(slots, np.int64)
+        for some in run(batches):
+            total += some
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    parts = vectors.mapInArrow(added, "total binary").collect()
+    return sum((np.frombuffer(bytes(r["total"]), np.int64) for r in parts), np.zeros(slots, np.int64))
+
+
+def fit(df: DataFrame, text: str = "text") -> Topics:
+    """Topics of df's texts, over all of them. The driver gets sums only, TOPICS times BINS numbers a core and round."""
+    rows = df.where(F.length(text) > 0).select(F.col(text).alias("text"))
+    written = materialize(rows.mapInArrow(_vectors, "v binary").where(F.length("v") > 0), "vectors")
+    # tasks stream over their rows and hold sums only, so few of them do at any size
+    vectors = written.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    having = _sums(vectors, _having, BINS + 1)
+    weight = np.log((1 + having[BINS]) / (1 + having[:BINS]))
+    centres = _centres(vectors, weight)
+    discard(written)
+    return Topics((centres * weight).astype(np.float32))
+
+
+def _having(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """How many texts have each bin, and how many texts there are."""
+    for rows, _, bins, _ in _entries(batches):
+        yield np.append(np.bincount(bins, minlength=BINS), rows.num_rows)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-
-
-def _centres(x: np.ndarray) -> np.ndarray:
-    """k-means on the sphere, begun at the texts farthest from those before."""
-    centres = _unit(x.mean(0, keepdims=True))
-    while len(centres) < TOPICS:
-        centres = np.vstack([centres, x[(x @ centres.T).max(1).argmin()]])
+    return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+
+
+def _assigned(vectors: DataFrame, weight: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The sum of the unit vectors that each centre is nearest to."""
+    slots = len(centres) * BINS
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for _, starts, bins, x in _entries(batches, weight):
+            own = _cosines(centres, starts, bins, x).argmax(0)
+            at = np.repeat(own, np.diff(np.append(starts, len(x)))) * BINS + bins
+            yield np.bincount(at, np.rint(x * UNIT), slots).astype(np.int64)
+
+    return _sums(vectors, run, slots).reshape(-1, BINS)
+
+
+def _drawn(vectors: DataFrame, weight: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray | None:
+    """A text's unit vector: of all texts that with the least exponential draw, at a rate of its distance (1 - cosine)."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least = None
+        for rows, starts, bins, x in _entries(batches, weight):
+            far = 1 - _cosines(centres, starts, bins, x).max(0)
+            h = np.asarray(rows.column("h")).astype(np.uint64) >> np.uint64(11)
+            draw = np.where(far > 1e-9, -np.log((h + 0.5) / (1 << 53)) / np.maximum(far, 1e-9), np.inf)
+            at = int(draw.argmin())
+            found = min((float(draw[j]), rows.column("v")[j].as_py()) for j in np.flatnonzero(draw == draw[at]))
+            least = min(least or found, found)
+        if least:
+            yield pa.RecordBatch.from_arrays([pa.array([least[0]]), pa.array([least[1]], pa.binary())], ["draw", "v"])
+
+    keyed = vectors.select("v", F.xxhash64("v", F.lit(k)).alias("h"))
+    found = keyed.mapInArrow(run, "draw double, v binary").collect()
+    if not found:
+        return None
+    _, v = min((r["draw"], bytes(r["v"])) for r in found)
+    own, out = np.frombuffer(v, ENTRY), np.zeros(BINS)
+    out[own["bin"]] = own["n"] * weight[own["bin"]]
+    return _unit(out)
+
+
+def _centres(vectors: DataFrame, weight: np.ndarray) -> np.ndarray:
+    """k-means on the sphere."""
+    centres = _unit(_assigned(vectors, weight, np.zeros((1, BINS))).astype(float))
+    for k in range(1, TOPICS):
+        new = _drawn(vectors, weight, centres, k)
+        if new is None:
+            return np.zeros((TOPICS, BINS))
+        centres = np.vstack([centres, new])
     for _ in range(ROUNDS):
-        own = (x @ centres.T).argmax(1)
-        new = _unit(np.stack([x[own == k].sum(0) if (own == k).any() else centres[k] for k in range(TOPICS)]))
+        total = _assigned(vectors, weight, centres)
+        new = np.where(total.any(1, keepdims=True), _unit(total.astype(float)), centres)
         if np.allclose(new, centres, atol=1e-6):
             break
         centres = new

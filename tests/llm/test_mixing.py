@@ -132,3 +132,14 @@ def test_cells_without_tokens_are_kept(spark, cells_on_driver):
     assert sorted(r.doc_id for r in got if r.doc_id >= 20) == list(range(20, 35))
     assert {(r.mix_probability, r.mix_weight) for r in got} == {(0.5, 8.0), (1.0, 0.0)}
     assert mix(df.where("doc_id >= 20"), targets, cells_on_driver=cells_on_driver).count() == 15
+
+
+def test_topics_are_fitted_on_all_texts(spark):
+    """Each bin that any text has is in a centre, and how texts are dealt out changes nothing."""
+    rng = random.Random(3)
+    texts = [" ".join(f"kind{k % 5}{rng.randrange(30)}" for _ in range(20)) + (f" only{k}" if k % 100 == 0 else "") for k in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = topics.fit(df.repartition(5))
+    _, bins, _ = topics.counted(pa.array(texts))
+    assert (model.weights > 0).any(0)[np.unique(bins)].all()
+    assert np.array_equal(model.weights, topics.fit(df.coalesce(2)).weights)
