@@ -23,10 +23,10 @@ from orefield.llm.common import discard, materialize, slices
 
 BINS, TOPICS = 1024, 8
 ROUNDS = 30
-#: A component of a text's unit vector as a whole number; the sums over 2 ** 43 texts still fit.
-UNIT = 1 << 20
-#: Of a text's vector: a bin, and how often the text has it. At most BINS of them a text.
-ENTRY = np.dtype([("bin", "<u2"), ("n", "<u4")])
+#: A component of 1 of a text's unit vector as a whole number; sums of them are exact.
+UNIT = (1 << 16) - 1
+#: Of a text's vector: a bin, and how often the text has it; and its component in UNITs. At most BINS of them a text.
+ENTRY, COMPONENT = np.dtype([("bin", "<u2"), ("n", "<u4")]), np.dtype([("bin", "<u2"), ("n", "<u2")])
 ROWS_AT_ONCE = 1024
 BLANKS = " \n\t\r"
 
@@ -60,23 +60,26 @@ def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows], ["v"])
 
 
-def _entries(batches: Iterable[pa.RecordBatch], weight: np.ndarray | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Some rows, where each one's entries begin, and of all entries the bin and the weighted component of a unit vector."""
+def _entries(batches: Iterable[pa.RecordBatch], kind: np.dtype = COMPONENT) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Some rows, where each one's entries begin and the last one's end, and all entries."""
     for batch in batches:
         for at in range(0, batch.num_rows, ROWS_AT_ONCE):
             rows = batch.slice(at, ROWS_AT_ONCE)
             v = rows.column("v")
             offsets = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1]
-            all_ = np.frombuffer(v.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(ENTRY)
-            starts = (offsets[:-1] - offsets[0]).astype(np.int64) // ENTRY.itemsize
-            bins = all_["bin"].astype(np.int64)
-            x = all_["n"] * (weight[bins] if weight is not None else 1.0)
-            length = np.sqrt(np.add.reduceat(x * x, starts))
-            yield rows, starts, bins, x / np.repeat(np.maximum(length, 1e-12), np.diff(np.append(starts, len(x))))
+            entries = np.frombuffer(v.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(kind)
+            yield rows, (offsets - offsets[0]) // kind.itemsize, entries
 
 
-def _cosines(centres: np.ndarray, starts: np.ndarray, bins: np.ndarray, x: np.ndarray) -> np.ndarray:
-    return np.round([np.add.reduceat(c[bins] * x, starts) for c in centres], 9)
+def _matrix(starts: np.ndarray, entries: np.ndarray) -> np.ndarray:
+    """Rows by bins; whole numbers, so that sums of rows are exact."""
+    out = np.zeros((len(starts) - 1, BINS))
+    out.ravel()[np.repeat(np.arange(len(out)) * BINS, np.diff(starts)) + entries["bin"]] = entries["n"]
+    return out
+
+
+def _cosines(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.round(rows @ (centres.T / UNIT), 9)
 
 
 def _sums(vectors: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[np.ndarray]], slots: int) -> np.ndarray:
@@ -101,41 +104,52 @@ def fit(df: DataFrame, text: str = "text") -> Topics:
     vectors = written.coalesce(df.sparkSession.sparkContext.defaultParallelism)
     having = _sums(vectors, _having, BINS + 1)
     weight = np.log((1 + having[BINS]) / (1 + having[:BINS]))
-    centres = _centres(vectors, weight)
+
+    def scaled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, starts, entries in _entries(batches, ENTRY):
+            x = entries["n"] * weight[entries["bin"]]
+            length = np.sqrt(np.add.reduceat(x * x, starts[:-1]))
+            own = np.empty(len(entries), COMPONENT)
+            own["bin"], own["n"] = entries["bin"], np.rint(x * UNIT / np.repeat(np.maximum(length, 1e-12), np.diff(starts)))
+            unit = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer((starts * COMPONENT.itemsize).astype(np.int32).tobytes()), pa.py_buffer(own.tobytes())])
+            yield pa.RecordBatch.from_arrays([unit], ["v"])
+
+    units = materialize(vectors.mapInArrow(scaled, "v binary"), "units")
     discard(written)
+    centres = _centres(units.coalesce(df.sparkSession.sparkContext.defaultParallelism))
+    discard(units)
     return Topics((centres * weight).astype(np.float32))
 
 
 def _having(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """How many texts have each bin, and how many texts there are."""
-    for rows, _, bins, _ in _entries(batches):
-        yield np.append(np.bincount(bins, minlength=BINS), rows.num_rows)
+    for rows, _, entries in _entries(batches, ENTRY):
+        yield np.append(np.bincount(entries["bin"], minlength=BINS), rows.num_rows)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
 
 
-def _assigned(vectors: DataFrame, weight: np.ndarray, centres: np.ndarray) -> np.ndarray:
+def _assigned(vectors: DataFrame, centres: np.ndarray) -> np.ndarray:
     """The sum of the unit vectors that each centre is nearest to."""
-    slots = len(centres) * BINS
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for _, starts, bins, x in _entries(batches, weight):
-            own = _cosines(centres, starts, bins, x).argmax(0)
-            at = np.repeat(own, np.diff(np.append(starts, len(x)))) * BINS + bins
-            yield np.bincount(at, np.rint(x * UNIT), slots).astype(np.int64)
+        for _, starts, entries in _entries(batches):
+            rows = _matrix(starts, entries)
+            own = _cosines(rows, centres).argmax(1)
+            yield ((own == np.arange(len(centres))[:, None]).astype(float) @ rows).astype(np.int64).ravel()
 
-    return _sums(vectors, run, slots).reshape(-1, BINS)
+    return _sums(vectors, run, len(centres) * BINS).reshape(-1, BINS)
 
 
-def _drawn(vectors: DataFrame, weight: np.ndarray, centres: np.ndarray, k: int) -> np.ndarray | None:
+def _drawn(vectors: DataFrame, centres: np.ndarray, k: int) -> np.ndarray | None:
     """A text's unit vector: of all texts that with the least exponential draw, at a rate of its distance (1 - cosine)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = None
-        for rows, starts, bins, x in _entries(batches, weight):
-            far = 1 - _cosines(centres, starts, bins, x).max(0)
+        for rows, starts, entries in _entries(batches):
+            far = 1 - _cosines(_matrix(starts, entries), centres).max(1)
             h = np.asarray(rows.column("h")).astype(np.uint64) >> np.uint64(11)
             draw = np.where(far > 1e-9, -np.log((h + 0.5) / (1 << 53)) / np.maximum(far, 1e-9), np.inf)
             at = int(draw.argmin())
@@ -149,21 +163,21 @@ def _drawn(vectors: DataFrame, weight: np.ndarray, centres: np.ndarray, k: int)
     if not found:
         return None
     _, v = min((r["draw"], bytes(r["v"])) for r in found)
-    own, out = np.frombuffer(v, ENTRY), np.zeros(BINS)
-    out[own["bin"]] = own["n"] * weight[own["bin"]]
+    own, out = np.frombuffer(v, COMPONENT), np.zeros(BINS)
+    out[own["bin"]] = own["n"]
     return _unit(out)
 
 
-def _centres(vectors: DataFrame, weight: np.ndarray) -> np.ndarray:
+def _centres(vectors: DataFrame) -> np.ndarray:
     """k-means on the sphere."""
-    centres = _unit(_assigned(vectors, weight, np.zeros((1, BINS))).astype(float))
+    centres = _unit(_assigned(vectors, np.zeros((1, BINS))).astype(float))
     for k in range(1, TOPICS):
-        new = _drawn(vectors, weight, centres, k)
+        new = _drawn(vectors, centres, k)
         if new is None:
             return np.zeros((TOPICS, BINS))
         centres = np.vstack([centres, new])
     for _ in range(ROUNDS):
-        total = _assigned(vectors, weight, centres)
+        total = _assigned(vectors, centres)
         new = np.where(total.any(1, keepdims=True), _unit(total.astype(float)), centres)
         if np.allclose(new, centres, atol=1e-6):
             break
