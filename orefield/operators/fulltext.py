@@ -152,12 +152,16 @@ def spots_of(labels: dict[str, str], question: Question, stems: bool | dict[str,
 
 
 def may_match(labels: dict[str, str], question: Question) -> Column:
-    """Whether a row can satisfy a (stemmed) question, by its texts as they are: a stem is a part of its word. Most rows go
-    by this, before any is cut into words."""
-    low = [F.lower(F.coalesce(c, F.lit(""))) for c in labels]
-    has = lambda w: reduce(lambda a, b: a | b, (F.contains(c, F.lit(w)) for c in low))
-    term = lambda t: reduce(lambda a, b: a & b, map(has, t))
-    return reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(term, clause)) for clause in question.clauses))
+    """Whether a row can satisfy a (stemmed) question, by its texts as they are: a stem begins its word, so some word begins
+    with what is asked, and none with a negated word. Most rows go by this, before any is cut into words."""
+
+    def judge(low: Column) -> Column:
+        has = lambda w: F.exists(low, lambda x: F.contains(x, F.lit(w)) & x.rlike(f"(?:^|{SPLIT})" + re.escape(w)))
+        term = lambda t: reduce(lambda a, b: a & b, map(has, t))
+        some = reduce(lambda a, b: a & b, (reduce(lambda a, b: a | b, map(term, clause)) for clause in question.clauses))
+        return reduce(lambda a, t: a & ~has(t[0]), (t for t in question.negated if len(t) == 1), some)
+
+    return _let(F.array(*(F.lower(F.coalesce(c, F.lit(""))) for c in labels)), judge)
 
 
 def search_rows(df: DataFrame, question: Question, labels: dict[str, str], stems: bool | dict[str, bool] = True) -> DataFrame:
