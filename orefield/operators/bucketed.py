@@ -21,6 +21,8 @@ BUCKETS = 64
 #: So many versions can still be read; files that only older ones name are deleted.
 KEPT_VERSIONS = 2
 MANIFEST = "bucket int, written long, rows long, batch long"
+#: A task writes about so many rows of a bucket.
+TASK_ROWS = 500_000
 
 Side = Callable[[str], Column]
 
@@ -110,6 +112,9 @@ class BucketedTable:
         # written once: the buckets are asked for first, and what made the batch may be dear
         delete(self.spark, f"{self.folder}/incoming")
         fresh = written(fresh.withColumn("__bucket", self.bucket()), f"{self.folder}/incoming")
+        if not self.manifest():
+            value = {c: (merge or {}).get(c, lambda _, x: x)(F.lit(None).cast(fresh.schema[c].dataType), F.col(c)) for c in self.columns if c not in self.keys}
+            return self._apply(fresh.select("__bucket", F.lit(True).alias("__new"), *(value.get(c, F.col(c)).alias(c) for c in self.columns)), batch, dropped=False)
         stored = self.read([r[0] for r in fresh.select("__bucket").distinct().collect()])  # at most a row per bucket
         o, n = stored.withColumn("__there", F.lit(True)).alias("o"), fresh.alias("n")
         joined = n.join(o, _same("o", "n", self.keys), "left")
@@ -135,11 +140,37 @@ class BucketedTable:
         found = there.alias("t").join(gone.alias("g"), _same("t", "g", self.keys), "left_semi")
         return self._apply(found.withColumn("__new", F.lit(False)), batch, dropped=True)
 
+    def rework(self, made: Callable[[DataFrame], DataFrame]) -> Change:
+        """Every row anew from what is in it alone: made() gives each row of a frame with other values in columns that are
+        no keys, and keeps its further columns. Nothing is joined or shuffled, and only buckets with a row that changes
+        are written."""
+        rest, entries = [c for c in self.columns if c not in self.keys], self.manifest()
+
+        def anew(buckets: list[int]) -> DataFrame:
+            return made(self.read(buckets).withColumns({"__bucket": self.bucket(), "__old": F.struct(*rest)}))
+
+        rows = anew(sorted(entries))
+        differs = reduce(lambda x, y: x | y, (~F.col(c).eqNullSafe(F.col("__old")[c]) for c in rest), F.lit(False))
+        per = {r["__bucket"]: (r["n"], r["changed"]) for r in rows.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if(differs).alias("changed")).collect()}
+        if {b: n for b, (n, _) in per.items()} != {b: n for b, (_, n) in entries.items()}:
+            raise ValueError("made() must give each row once")
+        changed = {b: n for b, (_, n) in per.items() if n}
+        if not changed:
+            return Change()
+        version = max(self.versions()) + 1
+        delete(self.spark, f"{self.folder}/data/v={version:012d}")  # of a writer that was lost
+        data = rows if len(changed) == len(entries) else anew(sorted(changed))
+        # a file has rows of one bucket, so tasks write few files each
+        data.select(*self.columns, F.col("__bucket").alias("bucket")).write.partitionBy("bucket").parquet(f"{self.folder}/data/v={version:012d}")
+        self._commit({b: (version if b in changed else w, n) for b, (w, n) in entries.items()}, version, self.last_batch())
+        return Change(0, sum(changed.values()), 0, len(changed))
+
     def _apply(self, delta: DataFrame, batch: int | None, dropped: bool) -> Change:
         version = max(self.versions(), default=0) + 1
         number = self.last_batch() if batch is None else batch
         delete(self.spark, f"{self.folder}/staged", f"{self.folder}/data/v={version:012d}")  # of a writer that was lost
-        delta = written(delta, f"{self.folder}/staged")
+        if self.manifest():
+            delta = written(delta, f"{self.folder}/staged")
         per = {r["__bucket"]: (r["n"], r["new"]) for r in delta.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("__new").alias("new")).collect()}
         entries = self.manifest()
         if not per:
@@ -147,9 +178,13 @@ class BucketedTable:
             if batch is not None:
                 self._commit(entries, version, number)
             return Change()
-        stays = self.read(list(per)).alias("o").join(delta.alias("d"), _same("o", "d", self.keys), "left_anti")
-        rows = stays if dropped else stays.unionByName(delta.select(*self.columns))
-        data = rows.withColumn("bucket", self.bucket()).repartition(len(per), "bucket")
+        stays = self.read(list(per)).alias("o").join(delta.alias("d"), _same("o", "d", self.keys), "left_anti") if entries else None
+        rows = stays if dropped else delta.select(*self.columns)
+        if entries and not dropped:
+            rows = stays.unionByName(rows)
+        most = max(entries.get(b, (0, 0))[1] + new for b, (_, new) in per.items())
+        pieces = most // TASK_ROWS + 1
+        data = rows.withColumn("bucket", self.bucket()).repartition(len(per) * pieces, "bucket", F.pmod(F.xxhash64(F.lit(1), *self.keys), F.lit(pieces)))
         data.write.partitionBy("bucket").parquet(f"{self.folder}/data/v={version:012d}")
         inserted, total = sum(new for _, new in per.values()), sum(n for n, _ in per.values())
         for b, (n, new) in per.items():

@@ -14,13 +14,12 @@ from orefield.operators.documents import passage
 def restate(table: BucketedTable, index: DataFrame, target: int, amount: str = "award_value", out: str = "inr_real") -> Change:
     """Amounts of a table in rupees of the target year, after the index has changed: only rows whose amount differs are
     written, and only their buckets."""
-    rows = prices.to_real(table.read().drop(out), index, target, amount, out=out)
-    return table.upsert(rows)
+    return table.rework(lambda rows: prices.to_real(rows.drop(out), index, target, amount, out=out))
 
 
 def reclassify(table: BucketedTable, title: str = "title", product: str = "product_category", category: str = "category", out: str = "sector") -> Change:
     """Sectors of a table, after the rules have changed: only rows whose sector differs are written."""
-    return table.upsert(table.read().withColumn(out, classify(F.col(title), F.col(product), F.col(category))))
+    return table.rework(lambda rows: rows.withColumn(out, classify(F.col(title), F.col(product), F.col(category))))
 
 
 def replay(table: BucketedTable, pages: DataFrame, since: str, until: str, source: str | None = None, order: tuple[str, ...] = ("fetched_at", "page_id")) -> Change:

@@ -54,3 +54,19 @@ def test_requests(spark, given, errors):
 def test_categories(spark, ref, hints, category):
     df = spark.createDataFrame([(ref, *hints)], ", ".join(["r string", *(f"h{k} string" for k in range(len(hints)))]))
     assert df.select(upkeep.category_of(F.col("r"), *(F.col(f"h{k}") for k in range(len(hints))))).first()[0] == category
+
+
+def test_restating_joins_and_shuffles_no_rows(spark, tmp_path, monkeypatch):
+    shape = "id long, currency string, country string, year int, award_value double, inr_real double"
+    kept = BucketedTable(spark, str(tmp_path / "t"), shape, ["id"], 4)
+    kept.upsert(spark.createDataFrame([(k, "INR", "IN", 2000 + 10 * (k % 2), 100.0, None) for k in range(40)] + [(None, "INR", "IN", 2010, 7.0, None)], shape))
+    index = spark.createDataFrame(INDEX, "series string, country string, year int, value double")
+    plans, group = [], type(index).groupBy
+    monkeypatch.setattr(type(index), "groupBy", lambda df, *c: (plans.append(df._jdf.queryExecution().executedPlan().toString()) if "__old" in df.columns else None, group(df, *c))[1])
+    assert upkeep.restate(kept, index, 2010) == Change(0, 41, 0, 4)
+    assert plans and not any("SortMergeJoin" in p or "Exchange hashpartitioning" in p for p in plans)
+    assert {r["inr_real"] for r in kept.read().where("id % 2 = 0").collect()} == {200.0} and kept.read().where("id is null").first()["inr_real"] == 7.0
+    only = kept.rework(lambda rows: rows.withColumn("award_value", F.when(F.col("id") == 3, 1.0).otherwise(F.col("award_value"))))
+    assert only == Change(0, 1, 0, 1) and kept.read().count() == 41 and kept.read().where("award_value = 1").count() == 1
+    with pytest.raises(ValueError):
+        kept.rework(lambda rows: rows.where("id > 3"))
