@@ -41,6 +41,11 @@ def text(x) -> Column:
     return (F.col(x) if isinstance(x, str) else x).cast("string")
 
 
+def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
+    """Some columns of a table, whose small file is one split, dealt out before texts are made of them and searched."""
+    return table(spark, sf_dir, name).select(key, *columns).repartition(spark.sparkContext.defaultParallelism, key)
+
+
 # ---- scalars ----------------------------------------------------------------------------------------------------------
 
 RUPEES = "CAST(floor(o_totalprice) AS BIGINT)"
@@ -221,7 +226,7 @@ def facts_in_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GRD-01, GRD-02: dates, money, percentages and numbers; a citation and a plural of 'deck' are none of them."""
     n, d = F.floor("o_totalprice").cast("long"), F.date_trunc("day", "o_orderdate")
     said = F.concat(F.lit("By "), F.date_format(d, "d MMMM yyyy"), F.lit(" Rs. "), text(n), F.lit(" and "), text(F.col("o_orderkey") % 50 + 1), F.lit(" per cent for 7 decks [3]."))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(documents.facts_of(said)).alias("f"))
+    rows = dealt(spark, sf_dir, "orders", "o_orderkey", "o_totalprice", "o_orderdate").select("o_orderkey", F.explode(documents.facts_of(said)).alias("f"))
     return rows.select("o_orderkey", "f.kind", "f.value")
 
 
@@ -509,14 +514,14 @@ def meeting_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DAT-05: exactly one date and one clock time, of twelve or twenty-four hours."""
     day = F.date_format("o_orderdate", "dd-MMM-yyyy")
     said = pick(F.col("o_orderkey"), [F.concat(day, F.lit(" at 11:00 AM")), F.concat(F.date_format("o_orderdate", "dd.MM.yyyy"), F.lit(", 15:00 hrs")), F.concat(day, F.lit(" 12.30 a.m.")), day, F.concat(day, F.lit(" 10:00 or 11:00"))])
-    return table(spark, sf_dir, "orders").select("o_orderkey", notices.meeting_time(said).alias("at"))
+    return dealt(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select("o_orderkey", notices.meeting_time(said).alias("at"))
 
 
 @query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN d ELSE CASE o_orderkey % 4 WHEN 1 THEN d + INTERVAL 1410 MINUTE END END AS prebid FROM (SELECT o_orderkey, CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS d FROM orders)""")
 def meetings_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOC-07: stored ones stay; others are filled if inside the tender's time and the document names the tender."""
     k, day = F.col("o_orderkey"), F.date_trunc("day", "o_orderdate")
-    rows = table(spark, sf_dir, "orders").select(k.alias("id"), F.concat(F.lit("NIT/00"), text(k)).alias("reference"), day.alias("published_at"), (day + F.expr("INTERVAL 9 DAYS")).alias("closes_at"), F.when(k % 4 == 0, day).alias("prebid"))
+    rows = dealt(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(k.alias("id"), F.concat(F.lit("NIT/00"), text(k)).alias("reference"), day.alias("published_at"), (day + F.expr("INTERVAL 9 DAYS")).alias("closes_at"), F.when(k % 4 == 0, day).alias("prebid"))
     days = F.when(F.col("id") % 4 == 2, 30).otherwise(1)
     said = F.concat(F.date_format(F.date_add(F.col("published_at"), days), "dd-MMM-yyyy"), F.lit(" 05:00 AM"))
     fields = rows.select("id", said.alias("value"), F.concat(F.lit("Notice  no. "), F.when(F.col("id") % 4 == 3, F.lit("of another")).otherwise(F.lower("reference")), F.lit(" of today")).alias("text"))

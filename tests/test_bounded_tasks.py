@@ -69,3 +69,7 @@ def test_an_organisations_pairs_are_written_by_many_tasks(spark):
 def test_documents_are_dealt_out_before_their_texts_are_made(spark):
     plan = records.document_contexts(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_facts_are_found_by_many_tasks(spark):
+    assert records.facts_in_sentences(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
