@@ -68,9 +68,10 @@ def contexts(pages: DataFrame, tenders: DataFrame | None = None) -> DataFrame:
     return named.select("doc_id", F.coalesce("own", F.lit("")).alias("title"), F.left(line, F.lit(CONTEXT_CHARS)).alias("context"))
 
 
-def meeting_time(value: Column) -> Column:
-    """The moment of a text with exactly one date and one clock time, in India's time; null for any other."""
-    dates = F.filter(documents.facts_of(value), lambda f: f["kind"] == "date")
+def meeting_time(value: Column, facts: Column | None = None) -> Column:
+    """The moment of a text with exactly one date and one clock time, in India's time; null for any other. facts: those of
+    the text, if they are known."""
+    dates = F.filter(documents.facts_of(value) if facts is None else facts, lambda f: f["kind"] == "date")
     day = F.get(dates, 0)
     clocks = F.regexp_extract_all(F.replace(value, day["text"], F.lit(" ")), F.lit(CLOCK), F.lit(0))
     clock = F.lower(F.get(clocks, 0))
@@ -88,8 +89,9 @@ def with_meetings(tenders: DataFrame, fields: DataFrame) -> DataFrame:
     tenders: id, reference, published_at, closes_at, prebid. fields: id, value (of the field), text (of the document).
     The time must be exact, between a day before publication and closing, and the text must name the tender's reference.
     """
-    when = meeting_time(F.col("value"))
-    found = fields.select("id", when.alias("at"), F.lower(_tidy(F.col("text"))).alias("text")).where("at is not null")
+    told = fields.select("id", "value", "text", documents.facts_once("value").alias("facts"))
+    when = meeting_time(F.col("value"), F.col("facts"))
+    found = told.select("id", when.alias("at"), F.lower(_tidy(F.col("text"))).alias("text")).where("at is not null")
     mine = tenders.where("prebid is null").join(found, "id")
     named = (F.length("reference") >= MENTION_CHARS) & F.contains("text", F.lower(_tidy(F.col("reference"))))
     inside = (F.col("at") >= F.col("published_at") - F.expr("INTERVAL 1 DAY")) & (F.col("at") <= F.col("closes_at"))
