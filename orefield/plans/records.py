@@ -42,8 +42,9 @@ def text(x) -> Column:
 
 
 def dealt(spark: SparkSession, sf_dir: str, name: str, key: str, *columns: str) -> DataFrame:
-    """Some columns of a table, whose small file is one split, dealt out before texts are made of them and searched."""
-    return table(spark, sf_dir, name).select(key, *columns).repartition(spark.sparkContext.defaultParallelism, key)
+    """Some columns of a table, whose small file is one split, dealt out before texts are made of them and searched; to
+    more tasks than cores, so that none waits long for the last one."""
+    return table(spark, sf_dir, name).select(key, *columns).repartition(4 * spark.sparkContext.defaultParallelism, key)
 
 
 # ---- scalars ----------------------------------------------------------------------------------------------------------
@@ -254,8 +255,7 @@ def brief_of_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Earnest Money Deposit of Rs. "), text(n), F.lit(" by draft. Period of completion "), text(F.col("o_orderkey") % 30 + 1), F.lit(" months. Pre-bid meeting: 03-Oct-2026 at 11:00 AM in the hall. "),
         F.lit("Liquidated damages 0.5% per week subject to 10% of all. Average annual turnover of Rs. "), text(n * 2), F.lit(" (30% of the estimated cost) is needed. Bids shall remain valid for ninety days. Nothing else."),
     )
-    # a small file is one split: two numbers a row are dealt out before the texts are made and searched
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").repartition(spark.sparkContext.defaultParallelism, "o_orderkey")
+    orders = dealt(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
     rows = answers.brief_fields(orders.select("o_orderkey", said.alias("text")))
     return rows.select("o_orderkey", "key", "value")
 
