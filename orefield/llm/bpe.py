@@ -39,6 +39,8 @@ LONG_PIECE = 4096
 FEED = 1 << 16
 #: Pairs of tokens (two numbers each) of which a worker remembers whether they can be neighbours.
 FITS_ENTRIES = 400_000
+#: Bytes of text that are encoded at once: the more, the fewer pieces are met again.
+TEXT_AT_ONCE = 32 << 20
 #: White space that a text can't be cut at word by word: at its ends, next to other white space, or rare.
 ODD = "  |\n | \n|^[ \n]|[ \n]$|[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
@@ -383,12 +385,15 @@ def _ids_array(ids: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
 
 
-def encode_documents(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, drop_text: bool = False) -> DataFrame:
-    """Add the ids of `text` as array<int>; with `decoded`, also the text that these ids decode to."""
+def encode_documents(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, drop_text: bool = False, at_once: int = TEXT_AT_ONCE) -> DataFrame:
+    """Add the ids of `text` as array<int>; with `decoded`, also the text that these ids decode to.
+
+    at_once: bytes of text that a task encodes at once, or one row; less takes less memory and more time.
+    """
 
     def run(batches):
         own = codec(path)
-        for batch in slices(batches, text, rows=1 << 16, most=32 << 20):  # the more at once, the fewer pieces are met again
+        for batch in slices(batches, text, rows=1 << 16, most=at_once):
             encoded = own.encode_texts(batch.column(text))
             columns = {ids: _ids_array(encoded)}
             if decoded:

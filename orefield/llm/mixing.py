@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm import topics
-from orefield.llm.common import discard, materialize, own_name, slices
+from orefield.llm.common import discard, drop_kept, materialize, own_name, slices
 
 #: Raking ends once all margins are so close, or after so many rounds (margins that contradict each other never meet).
 ROUNDS = 500
@@ -133,7 +133,8 @@ def formed(df: DataFrame, text: str, doc_id: str, source: str, lang: str, topic:
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, text):
+        drop_kept()
+        for part in slices(batches, text, most=topics.TEXT_AT_ONCE):
             texts, old = part.column(text), part.column(form)
             if sent.value is None:
                 names, n = None, topics.counted(texts)[2]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orefield.llm import words
-from orefield.llm.common import discard, materialize, slices
+from orefield.llm.common import discard, drop_kept, materialize, slices
 
 BINS, TOPICS = 1024, 8
 ROUNDS = 30
@@ -28,6 +28,8 @@ UNIT = (1 << 16) - 1
 #: Of a text's vector: a bin, and how often the text has it; and its component in UNITs. At most BINS of them a text.
 ENTRY, COMPONENT = np.dtype([("bin", "<u2"), ("n", "<u4")]), np.dtype([("bin", "<u2"), ("n", "<u2")])
 ROWS_AT_ONCE = 1024
+#: Bytes of text that are cut into words at once: each word takes some tens of bytes in a worker until it is counted.
+TEXT_AT_ONCE = 1 << 20
 BLANKS = " \n\t\r"
 
 
@@ -47,7 +49,8 @@ def counted(texts: pa.Array) -> tuple[words.Words, np.ndarray, np.ndarray]:
 
 
 def _vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in slices(batches, "text"):
+    drop_kept()
+    for part in slices(batches, "text", most=TEXT_AT_ONCE):
         found, bins, _ = counted(part.column("text"))
         owner = np.repeat(np.arange(part.num_rows), np.diff(found.starts))
         there, n = np.unique(owner * (BINS + 1) + bins[np.asarray(found.codes)], return_counts=True)

@@ -128,3 +128,11 @@ def test_tokens_leave_before_the_piece_ends(library):
         most = max(most, len(own.data))
     assert len(early) > 1000 and most <= own.window + 50
     assert early + own.flush() == table.greedy(piece) == library.encode(piece.decode(), add_special_tokens=False).ids
+
+
+def test_texts_at_once_change_nothing(spark):
+    rng = random.Random(5)
+    rows = [(k, "".join(rng.choice(BITS) for _ in range(200))) for k in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    some, whole = (sorted(encode_documents(df, PATH, decoded="decoded", **given).collect(), key=lambda r: r.doc_id) for given in ({"at_once": 1000}, {}))
+    assert some == whole and len(some) == 62

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -143,3 +144,17 @@ def test_topics_are_fitted_on_all_texts(spark):
     _, bins, _ = topics.counted(pa.array(texts))
     assert (model.weights > 0).any(0)[np.unique(bins)].all()
     assert np.array_equal(model.weights, topics.fit(df.coalesce(2)).weights)
+
+
+def test_large_batches_take_little_memory():
+    """Pipeline's memory: what a worker holds beside a batch doesn't grow with the batch."""
+    rng = random.Random(4)
+    some = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(50)) for _ in range(500)) for _ in range(50)]
+    batch = pa.RecordBatch.from_pydict({"text": some * 80 + ["", None, "long " * 300_000]})
+    tracemalloc.start()
+    rows = [v for part in topics._vectors(iter([batch])) for v in part.column("v").to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20 and len(rows) == batch.num_rows
+    alone = [part.column("v").to_pylist()[0] for k in (0, 1, 4000, 4001, 4002) for part in topics._vectors(iter([batch.slice(k, 1)]))]
+    assert alone == [rows[k] for k in (0, 1, 4000, 4001, 4002)]

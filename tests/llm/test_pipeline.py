@@ -62,3 +62,20 @@ def test_frames(spark):
         assert ids["language_id"] == ids["line_dedup"] == (["3", "3", "None"] if some else [])  # null and empty texts go
         assert ids["jaccard_join"] == (["3", "None"] if some else [])  # of rows alike one stays
         assert ids["mixing"] == ids["bpe"] == (["3"] if some else [])  # half of the tokens are drawn
+
+
+def test_batches_are_bounded(spark):
+    """Pipeline's memory: what goes between Spark and Python at once, unless the session has its own bounds."""
+    rows = lambda: max(r.n for r in spark.range(0, 9000, 1, 1).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n long").collect())
+    for key in corpus_pipeline.BATCHES:
+        spark.conf.unset(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES[:1]:
+            stage(spark, spark.read.parquet(f"{SF}/documents.parquet"), SF)
+        assert rows() == 2500
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+        corpus_pipeline.bound_batches(spark)
+        assert rows() == 700
+    finally:
+        for key in corpus_pipeline.BATCHES:
+            spark.conf.unset(key)
