@@ -3,7 +3,7 @@
 A page is a JSON object with the feed's `total` (or `count`) and a list of records. Fetching is sequential by nature: a
 page says whether there is another. It ends at the total, at an empty or missing page, or at the limit. Each page is kept
 in the cache once it is whole, so a stream that starts again goes on behind the last record, also where the last page has
-grown since, and tasks read pages from there, a task for each.
+grown since, and tasks read pages from there, some each.
 """
 
 from __future__ import annotations
@@ -11,16 +11,21 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from orefield.operators.bucketed import BucketedTable
+from orefield.storage import delete, names
 
 #: Records of a page, and pages fetched for a micro-batch at most.
 ROWS, PAGES_PER_BATCH = 500, 200
+#: Pages that a task reads at most; it starts a Python worker's work anew, which takes longer than to read a page.
+PAGES_PER_TASK = 8
 FEED = "offset long, ord int, record string"
+FEED_ARROW = pa.schema([("offset", pa.int64()), ("ord", pa.int32()), ("record", pa.string())])
 
 
 def page_name(offset: int) -> str:
@@ -108,13 +113,14 @@ class _Reader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         pages = range(start["offset"] // self.rows * self.rows, end["offset"], self.rows)
-        return [InputPartition((page, max(0, start["offset"] - page), min(self.rows, end["offset"] - page))) for page in pages]
+        parts = [(page, max(0, start["offset"] - page), min(self.rows, end["offset"] - page)) for page in pages]
+        return [InputPartition(parts[k : k + PAGES_PER_TASK]) for k in range(0, len(parts), PAGES_PER_TASK)]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        page, first, behind = partition.value
-        records = json.loads(read_page(self.cache, page)).get(self.items) or []
-        for k in range(first, min(behind, len(records))):
-            yield (page, k, json.dumps(records[k]))
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        for page, first, behind in partition.value:
+            records = (json.loads(read_page(self.cache, page)).get(self.items) or [])[first:behind]
+            columns = [[page] * len(records), range(first, first + len(records)), [json.dumps(r) for r in records]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FEED_ARROW)], schema=FEED_ARROW)
 
 
 class PagedFeed(DataSource):
@@ -139,15 +145,32 @@ def read_feed(spark: SparkSession, **options: str) -> DataFrame:
 
 def drain(stream: DataFrame, table: BucketedTable, checkpoint: str) -> None:
     """Read a stream of records to its present end into a table of (its key, offset, ord, ...): of a record that pages
-    bring more than once, as they shift while they are fetched, the first stays."""
-    first = lambda old, new: F.struct(new("offset"), new("ord")) < F.struct(old("offset"), old("ord"))
+    bring more than once, as they shift while they are fetched, the first stays.
+
+    A micro-batch writes its own records beside the table, so its work follows the batch; at the end they go into the table
+    at once. What a run that was lost has written goes with the next one; records that come again change nothing.
+    """
+    pending = f"{table.folder}/pending"
 
-    def into(batch: DataFrame, number: int) -> None:
-        best = batch.groupBy(*table.keys).agg(F.min(F.struct("offset", "ord", *(c for c in table.columns if c not in (*table.keys, "offset", "ord")))).alias("b"))
-        table.upsert(best.select(*table.keys, "b.*"), batch=number, take=first)
+    def aside(batch: DataFrame, number: int) -> None:
+        batch.select(*table.columns).write.mode("overwrite").parquet(f"{pending}/{number:012d}")
 
-    started = stream.writeStream.foreachBatch(into).option("checkpointLocation", checkpoint).start()
+    _take_in(table, pending)
+    started = stream.writeStream.foreachBatch(aside).option("checkpointLocation", checkpoint).start()
     try:
         started.processAllAvailable()
     finally:
         started.stop()
+    _take_in(table, pending)
+
+
+def _take_in(table: BucketedTable, pending: str) -> None:
+    """Put into the table what micro-batches have written; deleted only then."""
+    batches = names(table.spark, pending)
+    if not batches:
+        return
+    first = lambda old, new: F.struct(new("offset"), new("ord")) < F.struct(old("offset"), old("ord"))
+    rows = table.spark.read.schema(table.schema).parquet(*(f"{pending}/{n}" for n in batches))
+    best = rows.groupBy(*table.keys).agg(F.min(F.struct("offset", "ord", *(c for c in table.columns if c not in (*table.keys, "offset", "ord")))).alias("b"))
+    table.upsert(best.select(*table.keys, "b.*"), take=first)
+    delete(table.spark, pending)

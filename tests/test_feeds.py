@@ -86,3 +86,35 @@ def test_restart_in_mid_feed_gives_the_same(spark, tmp_path, table):
     put(tmp_path / "feed", records, 10)  # the feed has grown, its last page too
     feeds.drain(rows_of(spark, tmp_path), table, str(tmp_path / "cp"))
     assert sorted(r.id for r in table.read().collect()) == list(range(60))
+
+
+def test_the_table_is_written_once_a_run_however_many_batches(spark, tmp_path, table):
+    records = [{"id": k, "name": f"n{k}"} for k in range(95)] + [{"id": 3, "name": "again"}]
+    put(tmp_path / "feed", records, 10)
+    feeds.drain(rows_of(spark, tmp_path, per_batch="2"), table, str(tmp_path / "cp"))
+    assert table.versions() == [1] and {r.id: r.name for r in table.read().collect()} == {k: f"n{k}" for k in range(95)}
+    assert not (tmp_path / "t" / "pending").exists()
+
+
+def test_nothing_is_lost_with_a_run_or_its_checkpoint(spark, tmp_path, table, monkeypatch):
+    records = [{"id": k, "name": f"n{k}"} for k in range(60)]
+    put(tmp_path / "feed", records[:34], 10)
+    with monkeypatch.context() as lost:
+        lost.setattr(table, "upsert", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            feeds.drain(rows_of(spark, tmp_path, per_batch="1"), table, str(tmp_path / "cp"))
+    feeds.drain(rows_of(spark, tmp_path, per_batch="1"), table, str(tmp_path / "cp"))
+    assert table.read().count() == 34
+    put(tmp_path / "feed", records, 10)
+    # the first batch of a new checkpoint has what is cached, and what is new
+    feeds.drain(rows_of(spark, tmp_path), table, str(tmp_path / "cp2"))
+    assert sorted(r.id for r in table.read().collect()) == list(range(60))
+
+
+def test_a_task_reads_some_pages(tmp_path):
+    put(tmp_path / "feed", [{"id": k} for k in range(195)], 10)
+    reader = feeds.PagedFeed({"pages": str(tmp_path / "feed"), "cache": str(tmp_path / "cache"), "rows": "10"}).streamReader(None)
+    parts = reader.partitions({"offset": 3}, reader.latestOffset())
+    assert len(parts) == 3
+    got = [(r["offset"], r["ord"], json.loads(r["record"])["id"]) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert got == [(k // 10 * 10, k % 10, k) for k in range(3, 195)]
