@@ -151,3 +151,16 @@ def test_pages_that_markup_decides_are_compared_too(spark):
     for n in (1, 3):
         got = {r.page_id: (r.text, r.n_shared) for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)).collect()}
         assert got == {k: (f"Story {k} of its own.\nA passage that all have.", 4) for k in range(4)} | {9: ("Story 9 of its own.\nA passage that all have.", 0), 10: ("", 0)}
+
+
+def test_lines_outside_an_article_stay_if_they_are_the_pages_own(spark):
+    page = "<div>Site name</div><article><p>Lead {0} in a few words.</p></article><div><p>Body {1} goes on outside the article, at some length.</p></div><nav>Menu {0}</nav><div>All rights</div>"
+    text = "Lead {0} in a few words.\nBody {1} goes on outside the article, at some length."
+    rows = [(k, f"http://a.example/x/{k}", page.format(k, k)) for k in range(5)] + [(9, "http://b.example/", page.format(9, 9))]
+    rows += [(k, f"http://c.example/{k}", page.format(k, body)) for k, body in ((20, "x"), (21, "x"), (22, "y"))]  # one body at two addresses
+    want = {k: text.format(k, k) for k in range(5)} | {9: "Lead 9 in a few words.", 20: text.format(20, "x"), 21: text.format(21, "x"), 22: text.format(22, "y")}
+    for n in (1, 3):
+        got = {r.page_id: r.text for r in extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n)).collect()}
+        assert got == want
+    own, other = (text_lines(page.format(k, k)) for k in (1, 2))
+    assert main_text(own, other) == text.format(1, 1) and main_text(own, None) == main_text(own, own) == "Lead 1 in a few words."
